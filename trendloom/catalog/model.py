@@ -207,7 +207,7 @@ VIEWS = {
 
 _PICK_WORD = re.compile(r"\bW\(([^()]*(?:\([^()]*\)[^()]*)*)\)")
 _PICK_DIMENSION = re.compile(r"\bD\(([^()]*)\)")
-_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+_PLACEHOLDER = re.compile(r"\{([a-z_]{3,})\}")
 
 
 def _expand(sql: str) -> str:
