@@ -27,6 +27,15 @@ def find_all(value: Column, pattern: str) -> Column:
     return F.regexp_extract_all(value, F.lit(pattern), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once per row and hand it to `body`.
+
+    A lambda body evaluates outer expressions again for every element, so anything costly that a
+    lambda needs is bound to a lambda variable first.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 

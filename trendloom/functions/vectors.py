@@ -7,6 +7,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trendloom.functions.text import let
+
 
 def as_doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -23,13 +25,13 @@ def norm(a: Column) -> Column:
 def l2_normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
     length = norm(a)
-    return F.transform(a, lambda x: x / F.when(length == 0, F.lit(1.0)).otherwise(length))
+    return let(F.when(length == 0, F.lit(1.0)).otherwise(length), lambda n: F.transform(a, lambda x: x / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """0 for missing or zero vectors."""
-    length = norm(a) * norm(b)
-    return F.coalesce(F.when(length > 0, dot(a, b) / length), F.lit(0.0))
+    scaled = let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n))
+    return F.coalesce(scaled, F.lit(0.0))
 
 
 def mean_vector(v: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trendloom.constants import MAX_TOPICS, STOP_WORDS
 from trendloom.functions.joins import salted_join
-from trendloom.functions.text import words
+from trendloom.functions.text import let, words
 from trendloom.functions.vectors import as_doubles, cosine
 
 TOP_TERMS = 10
@@ -46,9 +46,13 @@ def terms(text: Column, stop_words=STOP_WORDS, bigrams: bool = False) -> Column:
     kept = F.filter(words(text), lambda t: ~t.isin(*stop_words)) if stop_words else words(text)
     if not bigrams:
         return kept
-    following = F.slice(kept, F.lit(2), F.greatest(F.size(kept), F.lit(1)))
-    pairs = F.filter(F.zip_with(kept, following, lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
-    return F.concat(kept, pairs)
+
+    def with_pairs(ts: Column) -> Column:
+        following = F.slice(ts, F.lit(2), F.greatest(F.size(ts), F.lit(1)))
+        pairs = F.zip_with(ts, following, lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(ts, F.array_compact(pairs))
+
+    return let(kept, with_pairs)
 
 
 def class_terms(docs: DataFrame, bigrams: bool = False, stop_words=STOP_WORDS, min_df: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trendloom.constants import EMBEDDING_DIM, EVIDENCE_K
 from trendloom.functions.joins import salted_join
-from trendloom.functions.text import content_fingerprint, words
+from trendloom.functions.text import content_fingerprint, let, words
 from trendloom.functions.vectors import as_doubles, cosine, dot, l2_normalize, mean_vector
 
 SCORE_DIGITS = 6  # scores equal to this many digits are ties, broken by document id
@@ -24,23 +24,24 @@ def hashed_counts(text: Column, dim: int = EMBEDDING_DIM) -> Column:
 
     Buckets are sorted inside the row, so run lengths give the counts: no explode and no shuffle.
     """
-    def from_sorted(buckets: Column) -> Column:
+    def run_lengths(buckets: Column) -> Column:
         starts = F.transform(F.array_distinct(buckets), lambda b: F.struct(b.alias("b"), F.array_position(buckets, b).alias("p")))
-        ends = F.concat(
-            F.transform(F.slice(starts, F.lit(2), F.greatest(F.size(starts), F.lit(1))), lambda s: s["p"]),
-            F.array((F.size(buckets) + 1).cast("bigint")),
-        )
-        return F.zip_with(starts, ends, lambda s, e: F.struct(s["b"].alias("bucket"), (e - s["p"]).cast("double").alias("n")))
+        end = (F.size(buckets) + 1).cast("bigint")
+        return let(starts, lambda s: F.transform(s, lambda x, i: F.struct(
+            x["b"].alias("bucket"), (F.coalesce(F.get(s, i + 1)["p"], end) - x["p"]).cast("double").alias("n")
+        )))
 
-    sorted_buckets = F.array_sort(F.transform(words(text), lambda t: token_bucket(t, dim)))
-    counted = F.when(F.size(sorted_buckets) == 0, F.array().cast("array<struct<bucket:int,n:double>>")).otherwise(from_sorted(sorted_buckets))
-    length = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
-    return F.transform(counted, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / length).alias("weight")))
+    def unit(counted: Column) -> Column:
+        length = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda s, x: s + x["n"] * x["n"]))
+        return let(length, lambda n: F.transform(counted, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / n).alias("weight"))))
+
+    return let(let(F.array_sort(F.transform(words(text), lambda t: token_bucket(t, dim))), run_lengths), unit)
 
 
 def densify(sparse: Column, dim: int = EMBEDDING_DIM) -> Column:
-    weights = F.map_from_entries(sparse)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(weights, i), F.lit(0.0)).cast("float"))
+    return let(F.map_from_entries(sparse), lambda weights: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(weights, i), F.lit(0.0)).cast("float")
+    ))
 
 
 def hashing_embedder(dim: int = EMBEDDING_DIM) -> Callable[[Column], Column]:

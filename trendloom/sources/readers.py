@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.constants import REGION_COUNTRIES
-from trendloom.functions.text import blank_to_null, strip
+from trendloom.functions.text import blank_to_null, let, strip
 
 logger = logging.getLogger(__name__)
 
@@ -62,14 +62,16 @@ def reconstruct_abstract(inverted: Column) -> Column:
 
 def dominant_country(codes: Column) -> Column:
     """Most frequent code of an array; the first seen wins ties."""
-    upper = F.transform(F.filter(codes, lambda c: c.isNotNull() & (c != "")), F.upper)
-    ranked = F.transform(
-        F.array_distinct(upper),
-        lambda c: F.struct(
-            F.size(F.filter(upper, lambda x: x == c)).alias("n"), (-F.array_position(upper, c)).alias("p"), c.alias("c")
-        ),
-    )
-    return F.array_max(ranked)["c"]
+    def ranked(upper: Column) -> Column:
+        return F.transform(
+            F.array_distinct(upper),
+            lambda c: F.struct(
+                F.size(F.filter(upper, lambda x: x == c)).alias("n"), (-F.array_position(upper, c)).alias("p"), c.alias("c")
+            ),
+        )
+
+    known = F.transform(F.filter(codes, lambda c: c.isNotNull() & (c != "")), F.upper)
+    return F.array_max(let(known, ranked))["c"]
 
 
 def works_to_documents(works: DataFrame) -> DataFrame:
