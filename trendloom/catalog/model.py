@@ -149,7 +149,7 @@ VIEWS = {
             CAST(1 + c_custkey % 10 AS DOUBLE) + CAST(c_custkey % 3 AS DOUBLE) / 100 AS uncertainty,
             split_part('act,prepare,watch', ',', CAST(1 + c_custkey % 3 AS INT)) AS radar_stage,
             CASE WHEN c_custkey % 6 = 0 THEN CAST((c_custkey * 13) % 101 AS DOUBLE) END AS position,
-            1 + c_custkey % 5 AS first_run_id, 60 + c_custkey % 24 AS last_run_id,
+            CASE WHEN c_custkey % 50 = 0 THEN 60 + c_custkey % 24 ELSE 1 + c_custkey % 5 END AS first_run_id, 60 + c_custkey % 24 AS last_run_id,
             CASE WHEN c_custkey % 11 = 4 THEN 'ct-' || CAST(c_custkey - CASE WHEN c_custkey >= 11 AND c_custkey % 2 = 0
                 THEN 11 ELSE 1 END AS STRING) END AS merged_into_id,
             CAST('2024-06-01' AS DATE) + CAST((c_custkey * 17) % 300 AS INT) AS updated_at
