@@ -411,11 +411,11 @@ def h22(m):
 @catalog.add(
     "h22_latest_run_trends",
     f"""WITH {PROP_SQL}, v AS ({LOCAL_SQL}) SELECT trend_id, run_id, l_title AS title, maturity, region FROM v
-        WHERE run_id = (SELECT max(run_id) FROM {{runs}} WHERE status = 'completed') AND maturity = 'emerging'""",
+        WHERE run_id = (SELECT max(run_id) FROM {{runs}} WHERE status = 'completed')""",
 )
 def h22_latest(m):
     latest = C.latest_completed(m.runs).first()[0]
-    return trend_view(m, run_id=latest, maturity="emerging").select("trend_id", "run_id", "title", "maturity", "region")
+    return trend_view(m, run_id=latest).select("trend_id", "run_id", "title", "maturity", "region")
 
 
 @catalog.add(

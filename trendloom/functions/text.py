@@ -146,10 +146,10 @@ def expansion_words(title: Column, stop: tuple[str, ...]) -> Column:
 
 
 def adjacent_pairs(tokens: Column) -> Column:
-    return F.filter(
-        F.arrays_zip(tokens.alias("a"), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))).alias("b")),
-        lambda p: p["1"].isNotNull(),
-    )
+    """Neighbouring tokens as array<struct<w1, w2>>; bind a computed token array with `let` first."""
+    following = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1)))
+    pairs = F.zip_with(tokens, following, lambda a, b: F.struct(a.alias("w1"), b.alias("w2")))
+    return F.filter(pairs, lambda p: p["w2"].isNotNull())
 
 
 def literal_array(values) -> Column:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from trendloom.constants import NEAR_DUPLICATE_LOOKBACK, NEAR_DUPLICATE_RATIO
 from trendloom.functions.ordering import dense_positions
@@ -116,7 +117,7 @@ def lookback_pairs(docs: DataFrame, order: str = "seq", lookback: int = NEAR_DUP
     return pairs.where((F.col("other") < F.col("seq")) & (F.col("other") >= F.col("seq") - lookback)).drop("block")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _alike(title: pd.Series, other: pd.Series, ratio: pd.Series) -> pd.Series:
     def check(a: str, b: str, least: float) -> bool:
         if a == b:

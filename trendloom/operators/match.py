@@ -20,6 +20,7 @@ from trendloom.constants import (
 )
 from trendloom.functions.text import fold_case
 from trendloom.functions.vectors import cosine
+from trendloom.session import ensure_checkpoint_dir
 
 PAIR = ["run_id", "cur", "known"]
 
@@ -175,6 +176,9 @@ def split_candidates(scores: DataFrame, assigned: DataFrame, review_threshold: f
 
 
 def match_run(scores: DataFrame) -> DataFrame:
+    """All matches of all runs; the small score table is stored once because four steps read it."""
+    ensure_checkpoint_dir(scores.sparkSession)
+    scores = scores.checkpoint()
     assigned = one_to_one(scores)
     return match_reasons(assigned).unionByName(split_candidates(scores, assigned))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -44,3 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """Fresh folder below the shared checkpoint folder for sinks and stream checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
