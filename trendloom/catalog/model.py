@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trendloom.functions.joins import spread
 from trendloom.session import configure
 
 TABLES = (
@@ -17,6 +18,9 @@ TABLES = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# Wide text in a single file: one split would leave all but one core idle.
+TEXT_TABLES = ("documents", "pages")
+
 # Test vocabulary: lexicon words of every dimension so that derived trends hit the lexicons.
 WORDS = (
     "policy,funding,trade,market,cost,demand,skills,health,housing,sensor,software,data,ai,twin,climate,carbon,"
@@ -242,7 +246,8 @@ class Model:
 
     def _load(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return spread(table) if name in TEXT_TABLES else table
         if name not in VIEWS:
             raise AttributeError(name)
         sql = spark_sql(name)

@@ -171,7 +171,7 @@ def reason_text(reasons):
 
 @catalog.add("h6_value_differences", f"WITH {DIFF_SQL} SELECT trend_id, canonical_id, changed FROM df")
 def h6(m):
-    return differences(m).select("trend_id", "canonical_id", joined("changed"))
+    return differences(m).select("trend_id", "canonical_id", F.array_join(M.field_names(F.col("diffs")), ",").alias("changed"))
 
 
 @catalog.add(
@@ -180,13 +180,13 @@ def h6(m):
         WHEN trend_id % 2 = 0 THEN 'evidence_only' ELSE 'unchanged' END AS change_type FROM df""",
 )
 def h7(m):
-    typed = M.change_type(F.col("changed"), F.col("material"), F.col("trend_id") % 2 == 0)
-    return differences(m).select("trend_id", joined("material"), typed.alias("change_type"))
+    typed = M.change_type(F.col("diffs"), F.col("trend_id") % 2 == 0)
+    return differences(m).select("trend_id", F.array_join(M.material_names(F.col("diffs")), ",").alias("material"), typed.alias("change_type"))
 
 
 @catalog.add("h8_review_reasons", f"WITH {DIFF_SQL}, r AS (SELECT trend_id, {REASONS} AS reasons FROM df) SELECT *, CASE WHEN reasons <> '' THEN 'pending' ELSE 'not_required' END AS review_status FROM r")
 def h8(m):
-    reasons = M.review_reasons(F.col("changed"), F.col("material"), F.col("review_reason"))
+    reasons = M.review_reasons(F.col("diffs"), F.col("review_reason"))
     rows = differences(m).select("trend_id", reasons.alias("r"))
     return rows.select("trend_id", reason_text("r").alias("reasons"), F.when(F.size("r") > 0, "pending").otherwise("not_required").alias("review_status"))
 
@@ -452,7 +452,7 @@ LOCAL_REASONS = "concat_ws(';', CASE WHEN review_reason IS NOT NULL THEN review_
 def h25(m):
     de = m.translations.where("language = 'de'").select("trend_id", F.col("title").alias("de_title"), F.col("summary").alias("de_summary"))
     rows = differences(m).join(de, "trend_id", "left")
-    reasons = M.review_reasons(F.col("changed"), F.col("material"), F.col("review_reason"))
+    reasons = M.review_reasons(F.col("diffs"), F.col("review_reason"))
     before = {f: F.concat(F.lit("DE "), F.col(f"c_{f}")) for f in ("title", "summary")}
     after = {f: F.col(f"de_{f}") for f in ("title", "summary")}
     return rows.select("trend_id", reason_text(P.localize_reasons(reasons, before, after)).alias("reasons"))

@@ -17,3 +17,9 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: st
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for expensive per-row work on an input of few splits; big inputs pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

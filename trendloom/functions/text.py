@@ -13,6 +13,11 @@ from trendloom.constants import TRACKING_PARAMS
 WHITESPACE = (
     r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 )
+# The same characters as a plain set, for trimming at the ends.
+WHITESPACE_CHARS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"[\p{L}\p{N}_]{2,}"
 SIGNAL_TOKEN = r"[a-z0-9äöüß-]+"
 LEXICON_TOKEN = r"[a-zA-Z][a-zA-Z-]{2,}"
@@ -42,7 +47,7 @@ def blank_to_null(value: Column) -> Column:
 
 def strip(value: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(value, rf"^{WHITESPACE}|{WHITESPACE}$", "")
+    return F.btrim(value, F.lit(WHITESPACE_CHARS))
 
 
 def fold_case(value: Column) -> Column:

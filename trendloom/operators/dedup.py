@@ -141,9 +141,11 @@ def near_duplicates_by_edits(docs: DataFrame, order: str = "seq", ratio: float =
     raw = lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")
     pairs = lookback_pairs(docs, order).withColumns({"a": raw("norm_title"), "b": raw("other_title")})
     longest = F.greatest(F.length("a"), F.length("b"))
-    edits = F.levenshtein("a", "b")
-    possible = F.least(F.length("a"), F.length("b")) / longest >= ratio
-    close = pairs.where(possible).where(F.when(possible, 1 - edits / longest >= ratio))
+    pairs = pairs.withColumns({"longest": longest, "allowed": F.floor(longest * (1 - ratio) + 1e-9).cast("int")})
+    possible = pairs.where(F.least(F.length("a"), F.length("b")) / F.col("longest") >= ratio)
+    # The bounded distance walks a band as wide as the allowed edits and gives -1 beyond it.
+    edits = F.expr("levenshtein(a, b, allowed)")
+    close = possible.where((edits >= 0) & (1 - edits / F.col("longest") >= ratio))
     return close.groupBy("seq").agg(F.max("other").alias("near_duplicate_of"))
 
 

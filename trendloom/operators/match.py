@@ -209,54 +209,61 @@ def material_change(field: str, a: Column, b: Column) -> Column:
     return F.lit(field in ALWAYS_MATERIAL)
 
 
-def _fields_where(conditions: dict[str, Column]) -> Column:
-    return F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in conditions.items()]))
+DIFF = "struct<field:string,material:boolean,before:string,after:string>"
 
 
-def changed_fields(before: str = "c_", assessed: Column | None = None) -> Column:
-    """Proposed fields that differ from the `before` columns; labels and scores need an assessment."""
+def field_diffs(before: str = "c_", assessed: Column | None = None) -> Column:
+    """Proposed fields that differ from the `before` columns, with weight and both values.
+
+    One array per row feeds change type, changed fields and review reasons, so every comparison is
+    made once. Labels and scores need an assessment.
+    """
     assessed = F.lit(True) if assessed is None else assessed
     text = ("title", "summary", "maturity")
-    return _fields_where({
-        f: values_differ(f, F.col(before + f), F.col(f)) & (F.lit(True) if f in text else assessed) for f in PROPOSED_FIELDS
-    })
 
+    def diff(f: str) -> Column:
+        a, b = F.col(before + f), F.col(f)
+        changed = values_differ(f, a, b) if f in text else values_differ(f, a, b) & assessed
+        return F.when(changed, F.struct(
+            F.lit(f).alias("field"), material_change(f, a, b).alias("material"), _as_text(f, a).alias("before"), _as_text(f, b).alias("after"),
+        ).cast(DIFF))
 
-def material_fields(changed: Column, before: str = "c_") -> Column:
-    return _fields_where({
-        f: F.array_contains(changed, f) & material_change(f, F.col(before + f), F.col(f)) for f in PROPOSED_FIELDS
-    })
+    return F.array_compact(F.array(*[diff(f) for f in PROPOSED_FIELDS]))
+
+
+def _as_text(field: str, value: Column) -> Column:
+    return F.array_join(value, ",") if field == "pestel" else value.cast("string")
 
 
-def change_type(changed: Column, material: Column, evidence_changed: Column) -> Column:
+def field_names(diffs: Column) -> Column:
+    return F.transform(diffs, lambda d: d["field"])
+
+
+def material_names(diffs: Column) -> Column:
+    return field_names(F.filter(diffs, lambda d: d["material"]))
+
+
+def change_type(diffs: Column, evidence_changed: Column) -> Column:
     return (
-        F.when(F.size(material) > 0, "classification_changed")
-        .when(F.size(changed) > 0, "content_changed")
+        F.when(F.exists(diffs, lambda d: d["material"]), "classification_changed")
+        .when(F.size(diffs) > 0, "content_changed")
         .when(evidence_changed, "evidence_only")
         .otherwise("unchanged")
     )
 
 
-def _as_text(field: str, value: Column) -> Column:
-    return F.array_join(value, ",") if field == "pestel" else value.cast("string")
-
-
 REASON = "struct<code:string,kind:string,field:string,before:string,after:string>"
 
 
-def review_reasons(changed: Column, material: Column, identity_reason: Column, before: str = "c_") -> Column:
+def review_reasons(diffs: Column, identity_reason: Column) -> Column:
     """Identity reason first, then one reason per changed field with its values before and after."""
     null = F.lit(None).cast("string")
     identity = F.struct(identity_reason.alias("code"), F.lit("identity").alias("kind"), null.alias("field"), null.alias("before"), null.alias("after"))
-    fields = [
-        F.when(F.array_contains(changed, f), F.struct(
-            F.when(F.array_contains(material, f), "material_change").otherwise("content_change").alias("code"),
-            F.lit("classification").alias("kind"), F.lit(f).alias("field"),
-            _as_text(f, F.col(before + f)).alias("before"), _as_text(f, F.col(f)).alias("after"),
-        ).cast(REASON))
-        for f in PROPOSED_FIELDS
-    ]
-    return F.array_compact(F.array(F.when(identity_reason.isNotNull(), identity.cast(REASON)), *fields))
+    fields = F.transform(diffs, lambda d: F.struct(
+        F.when(d["material"], "material_change").otherwise("content_change").alias("code"), F.lit("classification").alias("kind"),
+        d["field"].alias("field"), d["before"].alias("before"), d["after"].alias("after"),
+    ).cast(REASON))
+    return F.concat(F.array_compact(F.array(F.when(identity_reason.isNotNull(), identity.cast(REASON)))), fields)
 
 
 def with_proposed(trends: DataFrame, assessments: DataFrame) -> DataFrame:
@@ -267,10 +274,9 @@ def with_proposed(trends: DataFrame, assessments: DataFrame) -> DataFrame:
 
 
 def against_portfolio(proposed: DataFrame, canonicals: DataFrame) -> DataFrame:
-    """Proposed rows (with canonical_id) next to the portfolio values, changed and material fields added."""
+    """Proposed rows (with canonical_id) next to the portfolio values, differences in `diffs`."""
     before = canonicals.select("canonical_id", *[F.col(f).alias(f"c_{f}") for f in PROPOSED_FIELDS])
-    rows = proposed.join(before, "canonical_id").withColumn("changed", changed_fields(assessed=F.col("assessed")))
-    return rows.withColumn("material", material_fields(F.col("changed")))
+    return proposed.join(before, "canonical_id").withColumn("diffs", field_diffs(assessed=F.col("assessed")))
 
 
 # ---------------------------------------------------------------- history
@@ -336,8 +342,8 @@ def reconcile(
     moved = (F.col("evidence_added") > 0) | (F.col("evidence_removed") > 0)
     known = known.select(
         "trend_id", "run_id", "topic_id", "canonical_id", "score", "margin", "evidence_added", "evidence_removed",
-        change_type(F.col("changed"), F.col("material"), moved).alias("change_type"), F.col("changed").alias("changed_fields"),
-        review_reasons(F.col("changed"), F.col("material"), F.col("reason")).alias("review_reasons"),
+        change_type(F.col("diffs"), moved).alias("change_type"), field_names(F.col("diffs")).alias("changed_fields"),
+        review_reasons(F.col("diffs"), F.col("reason")).alias("review_reasons"),
     )
     own = topic_docs.where("NOT is_outlier").groupBy("topic_id").agg(F.count_distinct("doc_id").alias("evidence_added"))
     text, labels = PROPOSED_FIELDS[:3], PROPOSED_FIELDS
@@ -379,12 +385,10 @@ def sanitize(rows: DataFrame, before: str = "b_") -> DataFrame:
 
     rows: change_type, changed_fields, evidence flag `evidence_changed`, `has_before`, current fields and `before` fields.
     """
-    differs = {f: F.array_contains("changed_fields", f) & values_differ(f, F.col(before + f), F.col(f)) for f in PROPOSED_FIELDS}
     redo = F.col("has_before") & F.col("change_type").isin("classification_changed", "content_changed")
-    rows = rows.withColumn("kept", _fields_where(differs))
-    rows = rows.withColumn("kept_material", material_fields(F.col("kept"), before))
-    typed = change_type(F.col("kept"), F.col("kept_material"), F.col("evidence_changed"))
+    stored = F.filter(field_diffs(before), lambda d: F.array_contains("changed_fields", d["field"]))
+    rows = rows.withColumn("kept", stored)
     return rows.withColumns({
-        "change_type": F.when(redo, typed).otherwise(F.col("change_type")),
-        "changed_fields": F.when(redo, F.col("kept")).otherwise(F.col("changed_fields")),
-    }).drop("kept", "kept_material")
+        "change_type": F.when(redo, change_type(F.col("kept"), F.col("evidence_changed"))).otherwise(F.col("change_type")),
+        "changed_fields": F.when(redo, field_names(F.col("kept"))).otherwise(F.col("changed_fields")),
+    }).drop("kept")
