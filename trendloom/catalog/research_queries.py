@@ -16,7 +16,11 @@ from trendloom.session import scratch_dir
 from trendloom.streaming import streams as K
 
 catalog = Catalog()
-EMPTY = F.array().cast("array<string>")
+
+
+def no_keywords():
+    return F.array().cast("array<string>").alias("keywords")
+
 
 # ---------------------------------------------------------------- evaluation
 
@@ -39,9 +43,9 @@ SIMILAR_SQL = f"""{TRENDS_SQL}, tt AS (SELECT run_id, trend_id, len(toks) AS n,
 def overlap_inputs(m):
     lines = m.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "title")).where(F.trim("title") != "")
     trends = lines.select(
-        (F.col("doc_id") % 4).alias("run_id"), (F.col("doc_id") * 100000 + F.col("no") + 1).alias("trend_id"), "title", EMPTY.alias("keywords")
+        (F.col("doc_id") % 4).alias("run_id"), (F.col("doc_id") * 100000 + F.col("no") + 1).alias("trend_id"), "title", no_keywords()
     )
-    references = m.references.withColumn("keywords", EMPTY)
+    references = m.references.withColumn("keywords", no_keywords())
     return I.with_tokens(trends), I.with_tokens(references)
 
 
@@ -55,7 +59,7 @@ def overlap_matches(m):
 
 @catalog.add("i1_overlap_tokens", f"SELECT doc_id, array_to_string(list_sort({overlap_sql('text')}), ' ') AS tokens FROM {{documents}}")
 def i1(m):
-    rows = I.with_tokens(m.documents.select("doc_id", F.col("text").alias("title"), EMPTY.alias("keywords")))
+    rows = I.with_tokens(m.documents.select("doc_id", F.col("text").alias("title"), no_keywords()))
     return rows.select("doc_id", F.array_join(F.array_sort("tokens"), " ").alias("tokens"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.constants import OVERLAP_STOP, OVERLAP_THRESHOLD
@@ -14,33 +14,21 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", overlap_tokens(F.col("title"), F.col("keywords"), OVERLAP_STOP))
 
 
-def _prefixes(rows: DataFrame, keys: list[str], frequency: DataFrame, threshold: float) -> DataFrame:
-    """The rarest tokens of every set that any partner reaching the threshold must share."""
-    tokens = rows.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    ranked = tokens.join(frequency, "token").withColumn(
-        "rank", F.row_number().over(Window.partitionBy(*keys).orderBy("df", "token"))
-    )
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(*keys, "n", "token")
-
-
 def similar_pairs(trends: DataFrame, references: DataFrame, threshold: float = OVERLAP_THRESHOLD) -> DataFrame:
     """All (run, trend, reference) pairs whose Jaccard similarity reaches the threshold.
 
-    Exact prefix filter: with tokens ordered from rare to frequent, two sets this similar share a
-    token among their rarest ones, so frequent tokens never join. Candidates are then verified on
-    their full token sets.
+    Shared tokens are counted over an equi-join on the token. Trends are partitioned by their id before
+    their tokens are exploded, so the counts of a pair meet inside one task: while the curated list
+    fits a broadcast, nothing but the trends themselves is shuffled and only similar pairs survive.
     """
-    tokens = trends.select(F.explode("tokens").alias("token")).union(references.select(F.explode("tokens").alias("token")))
-    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    left = _prefixes(trends, ["run_id", "trend_id"], frequency, threshold)
-    right = _prefixes(references, ["reference_id"], frequency, threshold).withColumnRenamed("n", "m")
-    sizes_fit = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
-    candidates = left.join(right, "token").where(sizes_fit).select("run_id", "trend_id", "reference_id").distinct()
-    full = candidates.join(trends.select("run_id", "trend_id", F.col("tokens").alias("a")), ["run_id", "trend_id"])
-    full = full.join(references.select("reference_id", F.col("tokens").alias("b")), "reference_id")
-    both = F.size(F.array_intersect("a", "b"))
-    score = both / (F.size("a") + F.size("b") - both)
-    return full.select("run_id", "trend_id", "reference_id", score.alias("score")).where(F.col("score") >= threshold)
+    left = trends.repartition("run_id", "trend_id").select("run_id", "trend_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    right = references.select("reference_id", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
+    possible = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+    shared = left.join(right, "token").where(possible).groupBy("run_id", "trend_id", "reference_id").agg(
+        F.count("*").alias("both"), F.max("n").alias("n"), F.max("m").alias("m")
+    )
+    score = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
+    return shared.select("run_id", "trend_id", "reference_id", score.alias("score")).where(F.col("score") >= threshold)
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:

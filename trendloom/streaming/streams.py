@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions.joins import spread
 from trendloom.operators.dedup import exact_dedupe, with_identity
 from trendloom.operators.portfolio import first_per_key
 from trendloom.operators.vectors import cached_embeddings
@@ -153,7 +154,7 @@ def ingest_documents(stream: DataFrame, out: str) -> None:
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        docs = with_identity(batch)
+        docs = with_identity(spread(batch))
         kept = exact_dedupe(docs, _earlier(spark, out, docs.schema, batch_id))
         kept.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
