@@ -44,7 +44,7 @@ def planned_queries(query: Column, region: Column, keywords: Column, holistic: C
     def frontier(focused: Column) -> Column:
         lenses = F.transform(literal_array(PESTEL_LENSES), lambda lens: F.concat(focused, F.lit(" "), lens))
         chosen = F.when(holistic, lenses).otherwise(F.array().cast("array<string>"))
-        trimmed = F.transform(F.concat(F.array(focused), keywords, chosen), F.trim)
+        trimmed = F.transform(F.concat(F.array(focused), keywords, chosen), lambda s: F.trim(s))
         return F.array_distinct(F.filter(trimmed, lambda s: s != ""))
 
     return let(F.trim(F.concat(query, F.lit(" "), context)), frontier)
