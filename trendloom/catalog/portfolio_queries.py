@@ -234,7 +234,7 @@ def matches(m):
 
 
 def reconciled(m):
-    return M.reconcile(proposed(m), matches(m), canon(m), m.occurrences, m.topic_docs, S.latest_prevalence(m.timepoints))
+    return M.reconcile(proposed(m), matches(m), canon(m), m.occurrences.withColumn("topic_id", F.col("trend_id")), m.topic_docs, S.latest_prevalence(m.timepoints))
 
 
 RECONCILE_SQL = f"""{DIFF_SQL}, {DELTA_SQL},

@@ -150,14 +150,32 @@ def near_duplicates_by_edits(docs: DataFrame, order: str = "seq", ratio: float =
 
 
 def ingest(docs: DataFrame, store: DataFrame | None = None) -> DataFrame:
-    """Raw documents to accepted ones: identity, exact dedupe, dense ids, near-duplicate marks."""
-    kept = exact_dedupe(with_identity(docs), store)
-    narrow = dense_positions(kept.select("seq", "title"), [], [F.col("seq")], "ingest_no")
-    marks = near_duplicates(narrow, "ingest_no").withColumnsRenamed({"seq": "ingest_no", "near_duplicate_of": "other_no"})
-    numbers = narrow.select("seq", "ingest_no")
-    original = numbers.select(F.col("seq").alias("near_duplicate_of"), F.col("ingest_no").alias("other_no"))
-    marks = marks.join(numbers, "ingest_no").join(original, "other_no").select("seq", "near_duplicate_of")
-    return kept.join(marks, "seq", "left")
+    """Raw documents to accepted ones: identity, exact dedupe, dense ids, near-duplicate marks.
+
+    `store` holds accepted documents (doc_id and identity columns). Titles are compared with the most
+    recent documents, so only the last few of the store take part.
+    """
+    known = None if store is None else store.withColumn("seq", F.col("doc_id"))
+    kept = dense_positions(exact_dedupe(with_identity(docs), known), [], [F.col("seq")], "ingest_no")
+    titles = kept.select("ingest_no", "title", F.lit(None).cast("bigint").alias("old_id"))
+    offset, first_id = 0, 1
+    if store is not None:
+        tail = store.orderBy(F.desc("doc_id")).limit(NEAR_DUPLICATE_LOOKBACK)
+        offset, newest = tail.agg(F.count("*"), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+        first_id = newest + 1
+        rank = F.row_number().over(Window.orderBy("doc_id")) - 1  # at most `lookback` rows
+        old = tail.select(rank.cast("bigint").alias("no"), "title", F.col("doc_id").alias("old_id"))
+        titles = old.unionByName(titles.select((F.col("ingest_no") + offset).alias("no"), "title", "old_id"))
+    else:
+        titles = titles.withColumnRenamed("ingest_no", "no")
+    marks = near_duplicates(titles, "no").where(F.col("seq") >= offset)
+    other = titles.select(F.col("no").alias("near_duplicate_of"), "old_id")
+    marked = marks.join(other, "near_duplicate_of").select(
+        (F.col("seq") - offset).alias("ingest_no"),
+        F.coalesce("old_id", F.col("near_duplicate_of") - offset + first_id).alias("near_duplicate_of_id"),
+    )
+    rows = kept.join(marked, "ingest_no", "left").withColumn("doc_id", F.col("ingest_no") + first_id)
+    return rows.drop("ingest_no", "seq")
 
 
 def extend_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -323,18 +323,18 @@ def reconcile(
     """Occurrence rows of runs from given matches.
 
     proposed: with_proposed() rows; matches: trend_id, canonical_id, score, margin, reason;
-    history: earlier occurrences; prevalence: topic_id, prevalence.
+    history: earlier occurrences with their topic_id; prevalence: topic_id, prevalence.
     """
     rows = proposed.join(matches, "trend_id", "left")
     fresh = rows.where("canonical_id IS NULL")
     if max_new is not None:
         fresh = admit_new(fresh, max_new).drop("rank")
     known = against_portfolio(rows.where("canonical_id IS NOT NULL"), canonicals)
-    current = known.select(F.col("trend_id").alias("occurrence_id"), "canonical_id", "run_id", "trend_id")
-    past = history.select("occurrence_id", "canonical_id", "run_id", "trend_id")
-    linked = previous_occurrences(past.join(current, "occurrence_id", "left_anti").unionByName(current))
-    topic_of = proposed.select("trend_id", "topic_id")
-    links = linked.join(topic_of, "trend_id").join(
+    keys = ["occurrence_id", "canonical_id", "run_id", "trend_id", "topic_id"]
+    current = known.withColumn("occurrence_id", F.col("trend_id")).select(*keys)
+    everything = history.select(*keys).join(current, "occurrence_id", "left_anti").select(*keys).unionByName(current)
+    topic_of = everything.select("trend_id", "topic_id")
+    links = previous_occurrences(everything).join(topic_of, "trend_id").join(
         topic_of.select(F.col("trend_id").alias("prev_trend_id"), F.col("topic_id").alias("prev_topic_id")), "prev_trend_id", "left"
     ).select("occurrence_id", "topic_id", "prev_topic_id")
     delta = evidence_delta(links, topic_docs).withColumnRenamed("occurrence_id", "trend_id")
