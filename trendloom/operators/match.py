@@ -329,9 +329,10 @@ def reconcile(
     fresh = rows.where("canonical_id IS NULL")
     if max_new is not None:
         fresh = admit_new(fresh, max_new).drop("rank")
-    known = against_portfolio(rows.where("canonical_id IS NOT NULL"), canonicals)
+    matched = rows.where("canonical_id IS NOT NULL")
+    known = against_portfolio(matched, canonicals)
     keys = ["occurrence_id", "canonical_id", "run_id", "trend_id", "topic_id"]
-    current = known.withColumn("occurrence_id", F.col("trend_id")).select(*keys)
+    current = matched.withColumn("occurrence_id", F.col("trend_id")).select(*keys)
     everything = history.select(*keys).join(current, "occurrence_id", "left_anti").select(*keys).unionByName(current)
     topic_of = everything.select("trend_id", "topic_id")
     links = previous_occurrences(everything).join(topic_of, "trend_id").join(

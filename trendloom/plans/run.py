@@ -162,7 +162,7 @@ def execute_run(raw: DataFrame, state: dict[str, DataFrame], run_id: int, day: d
     )
     found = M.match_run(pairs).select(
         F.col("cur").alias("trend_id"), F.col("known").alias("canonical_id"), "score", "margin", "reason"
-    )
+    ).checkpoint()
     proposed = M.with_proposed(_shaped(assessed, "trends"), _shaped(assessed, "assessments"))
     topic_docs = out["run_documents"].select("topic_id", "doc_id", "is_outlier")
     occurrences = M.reconcile(
