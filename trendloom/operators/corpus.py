@@ -135,7 +135,7 @@ def latest_completed(runs: DataFrame) -> DataFrame:
 
 
 def previous_completed(runs: DataFrame) -> DataFrame:
-    """For every run the newest completed run before it."""
+    """For every run the newest completed run before it; the input holds one row per run."""
     before = Window.orderBy("run_id").rowsBetween(Window.unboundedPreceding, -1)
     done = F.when(F.col("status") == "completed", F.col("run_id"))
     return runs.select("run_id", F.max(done).over(before).alias("previous_run_id"))

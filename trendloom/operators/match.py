@@ -311,7 +311,7 @@ def evidence_delta(links: DataFrame, topic_docs: DataFrame) -> DataFrame:
 
 
 def admit_new(unmatched: DataFrame, cap: int = MAX_NEW_TRENDS) -> DataFrame:
-    """Largest new topics of every run; the surplus gets no occurrence (the reference's review limit)."""
+    """Largest new topics of every run; the surplus stays in the run without an occurrence."""
     order = Window.partitionBy("run_id").orderBy(F.desc("size"), "trend_id")
     return unmatched.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
 
