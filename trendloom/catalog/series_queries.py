@@ -134,9 +134,7 @@ def f10(m):
 
 def flagship(m):
     """Quarterly prevalence, growth and maturity per topic in one table."""
-    points = S.run_series(m.series)
-    levels = S.topic_maturity(points).select("run_id", "topic_index", "growth", "maturity")
-    return points.join(levels, S.TOPIC).select(
+    return S.with_dynamics(S.run_series(m.series)).select(
         "run_id", "topic_index", "period", "doc_count", F.round("prevalence", 6).alias("prevalence"),
         F.round("growth", 6).alias("growth"), "maturity",
     )

@@ -105,6 +105,22 @@ def topic_maturity(series: DataFrame, emergence: DataFrame | None = None, keys:
     )
 
 
+def with_dynamics(points: DataFrame, keys: list[str] = TOPIC) -> DataFrame:
+    """Growth and maturity next to every point of a series, without a second pass over the counts."""
+    series = Window.partitionBy(*keys)
+    rows = points.withColumns({"rn": F.row_number().over(series.orderBy("period")), "span": F.count("*").over(series)})
+    older = F.col("rn") <= F.floor(F.col("span") / 2)
+    rows = rows.withColumns({
+        "total": F.sum("doc_count").over(series),
+        "older": F.sum(F.when(older, F.col("doc_count")).otherwise(0)).over(series),
+        "recent": F.sum(F.when(older, 0).otherwise(F.col("doc_count"))).over(series),
+    })
+    base = F.when(F.col("older") == 0, F.lit(1)).otherwise(F.col("older"))
+    rows = rows.withColumn("growth", (F.col("recent") - base) / base)
+    level = maturity_level(F.col("total"), F.col("span"), F.col("growth"), F.lit(None).cast("double"))
+    return rows.withColumn("maturity", level).drop("rn", "older", "recent")
+
+
 def stabilize_maturity(previous: Column, proposed: Column, evidence_count: Column) -> Column:
     """A jump over more than one level needs eight pieces of evidence, otherwise it moves one level."""
     levels = F.array(*[F.lit(level) for level in MATURITY_LEVELS])
