@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.text import let
+
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,20 +50,15 @@ def repeated_window_words(words: Column, size: Column) -> Column:
 
     def places(hashes: Column) -> Column:
         placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return bind(placed, lambda s: F.sort_array(F.filter(F.transform(s, lambda e, j: F.when((e["h"] == F.get(s, j - 1)["h"]) | (e["h"] == F.get(s, j + 1)["h"]), e["i"])), lambda i: i.isNotNull())))
+        return let(placed, lambda s: F.sort_array(F.filter(F.transform(s, lambda e, j: F.when((e["h"] == F.get(s, j - 1)["h"]) | (e["h"] == F.get(s, j + 1)["h"]), e["i"])), lambda i: i.isNotNull())))
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
 
-    count = bind(keys, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(bind(places(h), covered)))
+    count = let(keys, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(places(h), covered)))
     return F.when(size >= 3, count).otherwise(F.lit(0)).cast("long")
 
 
-def bind(value: Column, body) -> Column:
-    """Evaluate `value` once and hand it to `body` (lambda bodies would evaluate an outer expression per element)."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ledger(documents: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `carry`, the measurements (long) and `failures` (long bit set) per input row; nothing is shuffled.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from trendloom.llm import byte_bpe, exact_substring, quality_rules, substring
+from trendloom.llm import byte_bpe, decontaminate, exact_substring, near_dedup, quality_rules, substring
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Build]:
     return {
+        "op1_minhash_near_dedup": lambda s, d: near_dedup.class_rows(table(s, d, "documents")),
+        "op2_benchmark_decontamination": lambda s, d: decontaminate.digest_rows(table(s, d, "documents"), table(s, d, "benchmark")),
         "op4_suffix_array_dedup": lambda s, d: exact_substring.digest_rows(table(s, d, "documents")),
         "op7_substring_dedup": lambda s, d: substring.digest_rows(table(s, d, "documents")),
         "op9_quality_rules": lambda s, d: quality_rules.verdict_rows(table(s, d, "documents")),
@@ -27,4 +29,4 @@ def queries() -> dict[str, Build]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.ORACLE}
+    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
