@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from trendloom.llm import byte_bpe, decontaminate, exact_substring, near_dedup, quality_rules, substring
+from trendloom.llm import byte_bpe, decontaminate, exact_substring, language, near_dedup, quality_net, quality_rules, substring, toxicity, url_filter
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +20,12 @@ def queries() -> dict[str, Build]:
     return {
         "op1_minhash_near_dedup": lambda s, d: near_dedup.class_rows(table(s, d, "documents")),
         "op2_benchmark_decontamination": lambda s, d: decontaminate.digest_rows(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op3_quality_classifier": lambda s, d: quality_net.scored_rows(table(s, d, "documents"), table(s, d, "labels")),
         "op4_suffix_array_dedup": lambda s, d: exact_substring.digest_rows(table(s, d, "documents")),
+        "op5_language_id": lambda s, d: language.predicted_rows(table(s, d, "documents")),
+        "op6_toxicity": lambda s, d: toxicity.scored_rows(table(s, d, "documents"), table(s, d, "labels")),
         "op7_substring_dedup": lambda s, d: substring.digest_rows(table(s, d, "documents")),
+        "op8_url_filter": lambda s, d: url_filter.filter_urls(table(s, d, "pages")),
         "op9_quality_rules": lambda s, d: quality_rules.verdict_rows(table(s, d, "documents")),
         "op10_byte_bpe": lambda s, d: byte_bpe.digest_rows(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
