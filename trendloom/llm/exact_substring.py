@@ -64,8 +64,8 @@ def remove_repeated_bytes(documents: DataFrame, id_col: str = "doc_id", text_col
     nor change. Rows that repeat an id count as one document: their spans apply to each, clipped to its length. Input columns of the
     names above are replaced. An empty table gives an empty result.
     """
-    docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    spans = repeated_spans(docs.where(F.length("text") >= window), None, window, anchor, match_bytes(window), True)
+    documents = documents.withColumn(id_col, F.col(id_col).cast("long"))
+    spans = repeated_spans(documents.select(id_col, text_col), id_col, text_col, None, window, anchor, match_bytes(window), True)
     return apply_spans(documents, spans, id_col, text_col)
 
 
@@ -73,7 +73,7 @@ def apply_spans(documents: DataFrame, spans: DataFrame, id_col: str, text_col: s
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
     rest = documents.drop(*new)
     old = rest.columns
-    joined = rest.join(spans.select(F.col("id").alias("__id"), F.col("covered").alias("__covered")), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    joined = rest.join(spans.select(F.col("id").alias("__id"), F.col("covered").alias("__covered")), F.col(id_col) == F.col("__id"), "left").drop("__id")
     schema = T.StructType(rest.schema.fields + [T.StructField("kept", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in new[1:]])
 
     def strip(batches):

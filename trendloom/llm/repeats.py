@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.llm.graph import stored
+
 from trendloom.llm.arrays import hash_spans, ids_of, raw_text, segments, slices, stream, word_spans
 
 HOT_SHARE = 2000
@@ -84,12 +86,14 @@ def heavy_anchors(docs: DataFrame, table, window: int, k: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def repeated_spans(docs: DataFrame, table, window: int, k: int, matcher, by_place: bool) -> DataFrame:
-    """(id, spans) of the tokens covered by windows that also start earlier; spans are [a, b) token positions.
+def repeated_spans(texts: DataFrame, id_col: str, text_col: str, table, window: int, k: int, matcher, by_place: bool) -> DataFrame:
+    """(id, covered) of the rows with tokens in windows that also start earlier; `covered` lists (start, spans) in token positions.
 
-    `docs`: (id long not null, text). `by_place`: earlier means a smaller (id, start), else a smaller id. `matcher(words, bounds, ids,
+    Rows without id are left out. `by_place`: earlier means a smaller (id, start), else a smaller id. `matcher(words, bounds, ids,
     starts, counts, anchors)` gives per piece the windows that start earlier in another piece, as (piece, first window, windows).
     """
+    docs = texts.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= (window if table is None else 2 * window - 1)))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hot = heavy_anchors(docs, table, window, k)
 
     def cut(batches):
@@ -103,16 +107,16 @@ def repeated_spans(docs: DataFrame, table, window: int, k: int, matcher, by_plac
 
     runs = docs.mapInArrow(cut, "anchor long, digest long, id long, place long")
     again = runs.groupBy("anchor").count().where("count > 1").select("anchor")
-    shared = runs.join(again, "anchor")
+    shared = stored(runs.join(again, "anchor"), "runs")
     pieces = shared.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "place")).alias("first"))
-    pieces = pieces.select("anchor", "digest", "copies", F.col("first.id").alias("own"), F.col("first.place").alias("own_place"))
+    pieces = stored(pieces.select("anchor", "digest", "copies", F.col("first.id").alias("own"), F.col("first.place").alias("own_place")), "pieces")
     mixed = pieces.groupBy("anchor").count().where("count > 1").select("anchor")
     wanted = pieces.join(mixed, "anchor").groupBy("own").agg(F.collect_list(F.struct("own_place", "anchor", "digest")).alias("wanted"))
 
     def fetch(batches):
         for batch in batches:
             ids = ids_of(batch.column("id"))
-            want = batch.column("wanted")
+            want = batch.column("wanted").fill_null([])
             bounds, flat = want.offsets.to_numpy(), want.flatten()
             base = bounds[0]
             place, anchor, digest = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -137,7 +141,8 @@ def repeated_spans(docs: DataFrame, table, window: int, k: int, matcher, by_plac
                         names=["anchor", "digest", "own", "own_place", "content"],
                     )
 
-    owners = docs.join(wanted, docs["id"] == wanted["own"]).select("id", "text", "wanted")
+    # an outer join without filters: its exchange of the texts is the one the caller's last join uses again
+    owners = texts.join(wanted, texts[id_col] == wanted["own"], "left").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "wanted")
     content = owners.mapInArrow(fetch, "anchor long, digest long, own long, own_place long, content binary")
 
     def match(batches):

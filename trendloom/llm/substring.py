@@ -148,12 +148,12 @@ def remove_repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col
     never remove each other; rows that repeat an id count as one document, their spans clipped to each row. Rows without id neither match
     nor change. Input columns of the names above are replaced. An empty table gives an empty result.
     """
-    docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(docs.where(F.length("text") >= 2 * window - 1), NOT_SPACE, window, anchor, match_words(window), False)
+    documents = documents.withColumn(id_col, F.col(id_col).cast("long"))
+    spans = repeated_spans(documents.select(id_col, text_col), id_col, text_col, NOT_SPACE, window, anchor, match_words(window), False)
     new = ["kept", "n_words", "n_removed"]
     rest = documents.drop(*new)
     old = rest.columns
-    joined = rest.join(spans.select(F.col("id").alias("__id"), F.col("covered").alias("__covered")), F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
+    joined = rest.join(spans.select(F.col("id").alias("__id"), F.col("covered").alias("__covered")), F.col(id_col) == F.col("__id"), "left").drop("__id")
     schema = T.StructType(rest.schema.fields + [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def strip(batches):
