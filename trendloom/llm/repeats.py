@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from trendloom.llm.graph import stored
 
-from trendloom.llm.arrays import hash_spans, ids_of, raw_text, segments, slices, stream, word_spans
+from trendloom.llm.arrays import hash_spans, ids_of, mix, raw_text, segments, slices, stream, word_spans
 
 HOT_SHARE = 2000
+SALTS = 64
 PIECE_TOKENS = 1 << 22
 BATCH_TOKENS = 1 << 20
 SPANS = "array<struct<a:int,b:int>>"
@@ -96,20 +97,27 @@ def repeated_spans(texts: DataFrame, id_col: str, text_col: str, table, window:
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hot = heavy_anchors(docs, table, window, k)
 
+    def salts(anchor: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """0 for most runs; those of heavy anchors are dealt over SALTS join keys by their row."""
+        if not len(hot):
+            return np.zeros(len(anchor), dtype=np.int8)
+        heavy = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+        return np.where(heavy, 1 + (mix(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0).astype(np.int8)
+
     def cut(batches):
         for batch in batches:
             ids = ids_of(batch.column(0))
             for row, anchor, first, count, digest in runs_of(batch.column(1), table, window, k, hot):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ids[row]), pa.array((first << 24) | count)],
-                    names=["anchor", "digest", "id", "place"],
+                    [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ids[row]), pa.array((first << 24) | count), pa.array(salts(anchor, ids[row]))],
+                    names=["anchor", "digest", "id", "place", "salt"],
                 )
 
-    runs = docs.mapInArrow(cut, "anchor long, digest long, id long, place long")
-    again = runs.groupBy("anchor").count().where("count > 1").select("anchor")
-    shared = stored(runs.join(again, "anchor"), "runs")
-    pieces = shared.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "place")).alias("first"))
-    pieces = stored(pieces.select("anchor", "digest", "copies", F.col("first.id").alias("own"), F.col("first.place").alias("own_place")), "pieces")
+    runs = docs.mapInArrow(cut, "anchor long, digest long, id long, place long, salt byte")
+    again = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.max("salt").alias("salt")).where("n > 1")
+    shared = stored(runs.join(all_salts(again.select("anchor", "salt")), ["anchor", "salt"]), "runs")
+    pieces = shared.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "place")).alias("first"), F.max("salt").alias("salt"))
+    pieces = stored(pieces.select("anchor", "digest", "salt", "copies", F.col("first.id").alias("own"), F.col("first.place").alias("own_place")), "pieces")
     mixed = pieces.groupBy("anchor").count().where("count > 1").select("anchor")
     wanted = pieces.join(mixed, "anchor").groupBy("own").agg(F.collect_list(F.struct("own_place", "anchor", "digest")).alias("wanted"))
 
@@ -186,7 +194,7 @@ def repeated_spans(texts: DataFrame, id_col: str, text_col: str, table, window:
     by_anchor = content.repartition("anchor").sortWithinPartitions("anchor")
     found = by_anchor.mapInArrow(match, f"anchor long, digest long, spans {SPANS}")
     known = pieces.join(found, ["anchor", "digest"], "left").where("copies > 1 OR spans IS NOT NULL")
-    place = shared.join(known.drop("copies"), ["anchor", "digest"])
+    place = shared.join(all_salts(known.drop("copies")), ["anchor", "digest", "salt"])
     later = (F.col("id") > F.col("own")) | (F.lit(by_place) & (F.col("id") == F.col("own")) & (F.col("place") > F.col("own_place")))
     start, count = F.shiftright("place", 24).cast("int"), F.col("place").bitwiseAND(0xFFFFFF).cast("int")
     whole = F.array(F.struct(F.lit(0).alias("a"), (count + (window - 1)).cast("int").alias("b")))
@@ -199,6 +207,12 @@ def _binary(column: pa.Array):
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
+def all_salts(df: DataFrame) -> DataFrame:
+    """One row for each join key that the runs of a heavy anchor are dealt over."""
+    keys = F.when(F.col("salt") > 0, F.sequence(F.lit(1), F.lit(SALTS)).cast("array<byte>")).otherwise(F.array(F.lit(0).cast("byte")))
+    return df.withColumn("salt", F.explode(keys))
+
+
 def earlier_windows(group: np.ndarray, ids: np.ndarray, starts: np.ndarray, by_place: bool) -> np.ndarray:
     """Per window, whether its group of equal windows has an earlier one: smaller (id, start), or smaller id."""
     n_groups = int(group.max()) + 1 if len(group) else 0
