@@ -16,8 +16,9 @@ from trendloom.llm.arrays import ALNUM, LOWER, Rolling, hash_spans, ids_of, mix,
 from trendloom.llm.graph import components, stored
 
 SHINGLE = 5
-BANDS = 24
-ROWS = 4
+BANDS = 72
+ROWS = 8
+BLOCK = 1000
 
 
 def shingles_of(buf: np.ndarray, offs: np.ndarray):
@@ -105,8 +106,8 @@ def sketches(docs: DataFrame, bands: int, rows: int, counts: bool) -> DataFrame:
     return docs.mapInArrow(run, "id long, d1 long, d2 long, words long, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, set) with the sorted shingle hashes and their counts as packed 64-bit and 32-bit numbers."""
+def shingle_sets(docs: DataFrame, slots: int, counts: bool) -> DataFrame:
+    """(id, set, sig): sorted shingle hashes and counts as packed 64-bit and 32-bit numbers; 16 bits of each signature slot."""
 
     def run(batches):
         for batch in batches:
@@ -114,38 +115,82 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for lo, hi, buf, offs in slices(batch.column(1)):
                 row, value, count, _, _ = shingles_of(buf, offs)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                weight = count.astype(np.float64) if counts else np.ones(len(row))
+                sig = signatures(row, value, weight, hi - lo, slots).astype(np.uint16)
                 packed = [value[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(packed, pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], names=["id", "set", "sig"])
 
-    return docs.mapInArrow(run, "id long, set binary")
+    return docs.mapInArrow(run, "id long, set binary, sig binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float, counts: bool) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are at least `least` similar."""
+    """The pairs (a, b) with the similarity of their shingle sets; `near` says whether it is at least `least`."""
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
 
-    def unpack(raw: bytes):
-        n = len(raw) // 12
-        weight = np.frombuffer(raw, dtype=np.uint32, offset=8 * n) if counts else np.ones(n)
-        return np.frombuffer(raw, dtype=np.uint64, count=n), weight
-
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = unpack(x.as_py()), unpack(y.as_py())
-                small, large = sorted((len(p[0]), len(q[0])))
-                if not counts and small < least * large:
-                    keep.append(False)
-                elif counts:
-                    keep.append(similarity(p, q) >= least)
-                else:
-                    common = small + large - len(np.union1d(p[0], q[0]))
-                    keep.append(common >= least * (small + large - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return two.mapInArrow(run, "a long, b long")
+            alike = [likeness(unpack(x.as_py(), counts), unpack(y.as_py(), counts), counts) for x, y in zip(batch.column(2), batch.column(3))]
+            columns = [batch.column(0), batch.column(1), pa.array(alike, pa.float64()), pa.array([x >= least for x in alike], pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "alike", "near"])
+
+    return two.mapInArrow(run, "a long, b long, alike double, near boolean")
+
+
+def unpack(raw: bytes, counts: bool) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 12
+    return np.frombuffer(raw, dtype=np.uint64, count=n), np.frombuffer(raw, dtype=np.uint32, offset=8 * n) if counts else np.ones(n)
+
+
+def likeness(p, q, counts: bool) -> float:
+    if counts:
+        return similarity(p, q)
+    union = len(np.union1d(p[0], q[0]))
+    return (len(p[0]) + len(q[0]) - union) / union
+
+
+def compared_in_blocks(rest: DataFrame, sets: DataFrame, least: float, counts: bool, slots: int) -> DataFrame:
+    """Links (a, b) between members of one lead that are still in different components.
+
+    `rest`: (lead, id, alike, home, label, blocks). The members of a lead are dealt over blocks; those outside the lead's component are the
+    queries, sent to every block of their lead and compared there. A pair is verified if the signatures agree within 0.1 of `least` (six
+    standard errors) and the distances to the lead do not rule it out. Only links leave the task.
+    """
+    member = rest.select("lead", "id", "alike", "label", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(0).alias("query"))
+    query = rest.where("home <> label").select("lead", "id", "alike", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("query"))
+    rows = member.union(query).join(sets, "id").select("lead", "block", "query", "id", "alike", "label", "set", "sig")
+    rows = rows.repartition("lead", "block").sortWithinPartitions("lead", "block", "query")
+
+    def run(batches):
+        at, held = None, None
+
+        def blocks():
+            for batch in batches:
+                plain = [batch.column(i).to_numpy() for i in range(6)]
+                cut = np.flatnonzero(np.diff(plain[0]) | np.diff(plain[1]) | np.diff(plain[2])) + 1
+                for lo, hi in zip([0, *cut], [*cut, len(batch)]):
+                    for a in range(lo, hi, 32):
+                        b = min(a + 32, hi)
+                        sig = np.frombuffer(b"".join(batch.column(7).slice(a, b - a).to_pylist()), dtype=np.uint16).reshape(-1, slots)
+                        yield (plain[0][a], plain[1][a]), plain[2][a], [x[a:b] for x in plain[3:]], batch.column(6).slice(a, b - a).to_pylist(), sig
+
+        for key, is_query, (ids, alike, label), raw, sig in blocks():
+            if key != at:
+                at, held = key, ([], [], [], [], [])
+            if not is_query:
+                for part, x in zip(held, (ids, alike, label, raw, sig)):
+                    part.append(x)
+                continue
+            if isinstance(held, tuple) and held[0]:  # the members of a block come before its queries
+                held = [np.concatenate(held[0]), np.concatenate(held[1]), np.concatenate(held[2]), [r for part in held[3] for r in part], np.concatenate(held[4])]
+            if len(held[0]):
+                agree = np.stack([(held[4] == one).mean(axis=1) for one in sig])
+                close = (agree >= least - 0.1) & (np.abs(alike[:, None] - held[1][None, :]) <= 1 - least + 1e-9) & (label[:, None] != held[2][None, :])
+                found = [(i, j) for i, j in zip(*np.nonzero(close)) if likeness(unpack(raw[i], counts), unpack(held[3][j], counts), counts) >= least]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found]), pa.array([held[0][j] for _, j in found])], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_classes(
@@ -155,10 +200,11 @@ def near_duplicate_classes(
 
     Shingle weights are their presence (the probability Jaccard is then the plain one) or, with `counts`, their numbers of occurrences.
     Texts without words (null, empty, signs only) are alone in their class. Rows that repeat an id count with one text, the least in byte order.
-    A pair at the threshold misses all bands with probability (1 - least^rows)^bands, 3e-6 by default.
+    A pair at the threshold misses all bands with probability (1 - least^rows)^bands, 2e-6 by default.
 
-    Texts of equal words are one representative. Within a bucket all are compared with its most central member; members still in different
-    components after that are compared with each other, so no link inside a bucket is lost.
+    Texts of equal words are one representative. Within a bucket all are compared with its most central member. Members still in different
+    components after that are compared with each other, unless the triangle inequality of the distance rules a link out, so no link inside
+    a bucket is lost.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -176,18 +222,16 @@ def near_duplicate_classes(
     pairs = shared.join(lead, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     wanted = shared.select("id").distinct()
     texts = docs.join(wanted, "id").select("id", "text")
-    sets = stored(shingle_sets(texts), "sets")
-    edges = stored(verified(pairs, sets, least, counts), "verified")
+    sets = stored(shingle_sets(texts, bands * rows, counts), "sets")
+    tried = stored(verified(pairs, sets, least, counts), "verified")
+    edges = tried.where("near").select("a", "b")
     labels = components(spark, edges)
-    placed = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    split = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = stored(placed.join(split, "key"), "rest")
-    left = rest.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-    right = rest.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-    across = left.join(right, "key").where("la < lb").select("a", "b").distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    untried = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    more = stored(verified(untried, sets, least, counts), "verified")
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}"))
+    star = tried.select("a", "b", "alike").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    star = star.select(F.col("a").alias("lead"), F.col("b").alias("id"), "alike", F.coalesce("label_a", "a").alias("home"), F.coalesce("label_b", "b").alias("label"))
+    sizes = star.groupBy("lead").agg(F.count("*").alias("n"), F.sum((F.col("home") != F.col("label")).cast("long")).alias("away")).where("away > 0 AND n > 1")
+    rest = stored(star.join(sizes.select("lead", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "lead"), "rest")
+    more = stored(compared_in_blocks(rest, sets, least, counts, bands * rows), "verified")
     if more.limit(1).count():
         labels = components(spark, edges.union(more))
     classes = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
