@@ -210,8 +210,9 @@ def near_duplicate_classes(
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = stored(sketches(docs, bands, rows, counts), "sketch")
     per_id = sketch.groupBy("id").agg(F.min(F.struct("d1", "d2", "words")).alias("x")).select("id", "x.*")
-    exact = per_id.where("words > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    member = stored(per_id.join(exact, ["d1", "d2"], "left").select("id", F.when(F.col("words") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"), "d1", "d2"), "member")
+    exact = per_id.where("words > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    copies = stored(exact.select("d1", "d2", "rep"), "copies")  # written first, so the join below may split a digest with many copies
+    member = stored(per_id.join(copies, ["d1", "d2"], "left").select("id", F.when(F.col("words") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")).alias("rep"), "d1", "d2"), "member")
     only = sketch.where("words > 0").join(member.where("id = rep").select("id", "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id"])
     slots = only.select("id", F.explode("bands").alias("key"))
     sizes = slots.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
