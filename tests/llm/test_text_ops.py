@@ -105,7 +105,7 @@ def test_quality_network_learns_and_reads_whole_texts(documents):
 
 
 def test_language_backs_off_to_characters(documents, awkward):
-    rows = [("the house and the garden are there", "en"), ("das haus und der garten sind dort", "de")] * 3
+    rows = [("the house and the garden are there with gardens gardener gardening", "en"), ("das haus und der garten sind dort gartenzaun gartenweg hausgarten gartentor", "de")] * 3
     model = language.train(rows)
     df = documents([(1, "the garden"), (2, "der garten"), (3, "123 ."), (4, None), (5, "gartenhaus"), (6, "THERE")] + [(10 + i, t) for i, (_, t) in enumerate(awkward)])
     pred = {r["doc_id"]: r["lang_pred"] for r in language.with_language(df, model).collect()}
