@@ -19,7 +19,7 @@ def test_stages_take_effect(spark, tmp_path):
         seen.append({r["doc_id"]: r for r in docs.collect()})
     assert not [i for i in seen[0] if i is not None and i >= 100] and None in seen[0]
     assert 70 not in seen[1] and 71 not in seen[1] and len(seen[1]) == 63
-    assert seen[2][72]["text"].startswith("g2n") is False and seen[2][5]["text"] == good[5]
+    assert seen[2][72]["text"].startswith("g2n11 z0") and seen[2][5]["text"] == good[5]
     assert "bench3" not in seen[3][73]["text"] and seen[3][73]["n_chars"] == len(seen[3][73]["text"])
     assert set(seen[4]) == set(seen[3]) and seen[4][None]["n_tokens"] == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
