@@ -11,8 +11,8 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts
 
 
-def sample_per_label(documents: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, train: Column, per_label: int) -> list[tuple[str, int]]:
-    """At most `per_label` (text, label) rows of each of the labels 0 and 1, those of least id hash; the only rows a classifier learns from.
+def sample_per_label(documents: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, train: Column, per_label: tuple[int, int]) -> list[tuple[str, int]]:
+    """At most `per_label[y]` (text, label) rows of label y, 0 and 1, those of least id hash; the only rows a classifier learns from.
 
     Ids with several labels take the largest; null labels and texts are left out.
     """
@@ -20,6 +20,6 @@ def sample_per_label(documents: DataFrame, labels: DataFrame, label: str, id_col
     rows = documents.where(train & F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(marks, "__id")
     out = []
     for y in (0, 1):
-        picked = rows.where(F.col("__y") == y).orderBy(F.xxhash64("__id", F.lit(5)), "__id").limit(per_label).select("__t")
+        picked = rows.where(F.col("__y") == y).orderBy(F.xxhash64("__id", F.lit(5)), "__id").limit(per_label[y]).select("__t")
         out += [(r[0], y) for r in picked.collect()]
     return out

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from trendloom.llm.arrays import slices
 from trendloom.llm.labelled import fold, sample_per_label
 
-PER_LABEL = 2500
+PER_LABEL = (2500, 2500)
 STEP, EMBED, FILTERS, HIDDEN = 8, 8, 32, 16
 POOL, STRIDE = 63, 56
 CHUNKS_PER_TEXT = 6
@@ -160,7 +160,7 @@ def with_score(documents: DataFrame, net: Network, text_col: str = "text", score
     return rest.mapInArrow(run, schema)
 
 
-def scored_rows(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+def scored_rows(documents: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_LABEL) -> DataFrame:
     """The query's columns; learns from at most `per_label` rows of each label whose crc32 remainder by 5 is not 0."""
     net = train(sample_per_label(documents, labels, "quality", "doc_id", "text", fold("doc_id", 5) != 0, per_label))
     scored = with_score(documents.select("doc_id", "text"), net)

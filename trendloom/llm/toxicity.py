@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from trendloom.llm.arrays import ALNUM, LOWER, hash_spans, mix, slices, word_spans
 from trendloom.llm.labelled import fold, sample_per_label
 
-PER_LABEL = 4000
+PER_LABEL = (2500, 1400)  # clean and toxic rows the model learns from at most
 FEATURES = 1500
 SURE = 4.5  # root of the likelihood ratio statistic, above chance for some hundred thousand candidate features
 BEGINNING = 5
@@ -144,7 +144,7 @@ def with_score(documents: DataFrame, model, text_col: str = "text", score_col: s
     return rest.mapInArrow(run, schema)
 
 
-def learn(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL):
+def learn(documents: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_LABEL):
     """Model from at most `per_label` rows of each label, of rows whose crc32 remainder by 3 is not 1."""
     return train(sample_per_label(documents, labels, "toxic", "doc_id", "text", fold("doc_id", 3) != 1, per_label))
 
