@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from trendloom.llm.arrays import Rolling, slices, stream
 from trendloom.llm.labelled import fold
 
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 4000
 NGRAM = 5
 LEAST_WORD, LEAST_GRAM = 2, 3
 UNKNOWN = "und"
@@ -65,40 +65,46 @@ def places(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + starts[which]
 
 
-def frequencies(keys: np.ndarray, lang: np.ndarray, n_langs: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys seen at least `least` times and their smoothed log frequency per language."""
-    names, code = np.unique(keys, return_inverse=True)
-    counts = np.stack([np.bincount(code[lang == i], minlength=len(names)) for i in range(n_langs)], axis=1)
-    keep = counts.sum(axis=1) >= least
-    total = counts.sum(axis=0) + 0.5 * len(names)
-    return names[keep], np.log((counts[keep] + 0.5) / total).astype(np.float32)
+class Counts:
+    """Counts per key and language, merged slice by slice so that memory follows the distinct keys."""
+
+    def __init__(self, n_langs: int):
+        self.names, self.counts = np.zeros(0, np.uint64), np.zeros((0, n_langs), np.int32)
+
+    def add(self, keys: np.ndarray, lang: np.ndarray) -> None:
+        fresh, code = np.unique(keys, return_inverse=True)
+        names = np.union1d(self.names, fresh)
+        counts = np.zeros((len(names), self.counts.shape[1]), np.int32)
+        counts[np.searchsorted(names, self.names)] = self.counts
+        np.add.at(counts, (np.searchsorted(names, fresh)[code], lang), 1)
+        self.names, self.counts = names, counts
+
+    def frequencies(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys seen at least `least` times and their smoothed log frequency per language."""
+        keep = self.counts.sum(axis=1) >= least
+        total = self.counts.sum(axis=0) + 0.5 * len(self.names)
+        return self.names[keep], np.log((self.counts[keep] + 0.5) / total).astype(np.float32)
 
 
 def train(rows: list[tuple[str, str]]):
     """(languages, word table, n-gram tables by length) from (text, language) rows."""
     langs = sorted({r[1] for r in rows})
+    if not rows:
+        return [], None, None
     number = {c: i for i, c in enumerate(langs)}
-    words, word_lang = [], []
-    grams: list[list[np.ndarray]] = [[] for _ in range(NGRAM + 1)]
-    gram_lang: list[list[np.ndarray]] = [[] for _ in range(NGRAM + 1)]
-    for lo, hi, buf, offs in slices(pa.array([r[0] for r in rows], pa.string())):
+    words, grams = Counts(len(langs)), [Counts(len(langs)) for _ in range(NGRAM + 1)]
+    for lo, hi, buf, offs in slices(pa.array([r[0] for r in rows], pa.string()), 1 << 21):
         text = Letters(buf, offs)
         lang = np.array([number[rows[i][1]] for i in range(lo, hi)], dtype=np.int64)
         of_word = np.repeat(lang, np.diff(text.rows))
-        words.append(text.words)
-        word_lang.append(of_word)
+        words.add(text.words, of_word)
         _, one = np.unique(text.words * np.uint64(len(langs)) + of_word.astype(np.uint64), return_index=True)  # n-grams from distinct words
         starts, ends = text.starts[one], text.ends[one]
         which, at = places(starts, ends)
         for n in range(1, NGRAM + 1):
             fits = at + n <= ends[which]
-            grams[n].append(text.grams(at[fits], n))
-            gram_lang[n].append(of_word[one][which[fits]])
-    if not rows:
-        return [], None, None
-    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    word_table = frequencies(join(words, np.uint64), join(word_lang, np.int64), len(langs), LEAST_WORD)
-    return langs, word_table, [None] + [frequencies(join(grams[n], np.uint64), join(gram_lang[n], np.int64), len(langs), LEAST_GRAM if n > 1 else 1) for n in range(1, NGRAM + 1)]
+            grams[n].add(text.grams(at[fits], n), of_word[one][which[fits]])
+    return langs, words.frequencies(LEAST_WORD), [None] + [grams[n].frequencies(LEAST_GRAM if n > 1 else 1) for n in range(1, NGRAM + 1)]
 
 
 def lookup(table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
