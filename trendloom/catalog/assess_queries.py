@@ -30,7 +30,7 @@ EVIDENCE_TITLES = "ev AS (SELECT trend_id, list(title ORDER BY ord) AS titles FR
 BASE_SQL = f"""{EVIDENCE_TITLES}, b AS (SELECT t.*, string_split(keywords, ',') AS kw, coalesce(titles, []) AS titles
     FROM {{trends}} t LEFT JOIN ev ON ev.trend_id = t.trend_id)"""
 TOKENS_SQL = """tok AS (SELECT b.*, list_distinct(regexp_extract_all(lower(concat_ws(' ', array_to_string(kw, ' '), title,
-    coalesce(summary, ''), array_to_string(titles[1:12], ' '))), '[a-z0-9äöüß-]+')) AS tokens FROM b)"""
+    coalesce(summary, ''), array_to_string(titles, ' '))), '[a-z0-9äöüß-]+')) AS tokens FROM b)"""
 CATEGORY_SQL = f"""{table_sql(CATEGORY_LEXICON, 'clx')}, tt AS (SELECT trend_id, unnest(tokens) AS t FROM tok),
     ch AS (SELECT trend_id, k, o, count(*) AS n FROM tt JOIN clx ON clx.t = tt.t GROUP BY ALL),
     ca AS (SELECT trend_id, arg_max(k, (n, -o)) AS category FROM ch GROUP BY 1),

@@ -28,7 +28,7 @@ def strip_sql(expr: str) -> str:
 
 HASH_SQL = f"sha256({norm_sql('title')} || chr(10) || {norm_sql('text')})"
 DOI_SQL = "lower(regexp_replace(coalesce(" + ", ".join(
-    f"nullif(regexp_extract(coalesce({c}, ''), '{T.DOI}', 1), '')" for c in ("external_id", "url", "text[1:500]")
+    f"nullif(regexp_extract(coalesce({c}, ''), '{T.DOI}', 1), '')" for c in ("external_id", "url", "text")
 ) + "), '[.,;)]+$', ''))"
 
 
@@ -149,7 +149,7 @@ PAGE_BODY = (
     f"""WITH p AS (SELECT url, {PAGE_TITLE} AS t, {PAGE_BODY} AS body,
             regexp_extract(html, '(?i)<html[^>]*lang="([^"]*)"', 1) AS language FROM {{pages}})
         SELECT url AS external_id, coalesce(nullif(t, ''), url) AS title,
-            ({strip_sql("coalesce(nullif(t, ''), url) || '. ' || body")})[1:4000] AS text, nullif(language, '') AS language,
+            ({strip_sql("coalesce(nullif(t, ''), url) || '. ' || body")}) AS text, nullif(language, '') AS language,
             'web' AS source_type FROM p WHERE t <> '' OR body <> ''""",
 )
 def a5(m):
@@ -250,7 +250,7 @@ def a10(m):
 
 @catalog.add(
     "a12_evaluation_corpus",
-    f"""SELECT doc_id, {strip_sql(f"{strip_sql('title')} || '. ' || ({strip_sql('text')})[1:2000]")} AS combined FROM {{raw_docs}}""",
+    f"""SELECT doc_id, {strip_sql(f"{strip_sql('title')} || '. ' || ({strip_sql('text')})")} AS combined FROM {{raw_docs}}""",
 )
 def a12(m):
     return dumps.evaluation_corpus(m.raw_docs).select("doc_id", "combined")

@@ -354,13 +354,13 @@ def k7(m):
 def k8(m):
     out = scratch_dir(m.spark, "k8")
     members = stream_view(m, "series", "orders").withColumn("published_at", F.col("published_at").cast("timestamp"))
-    K.drain_updates(K.daily_counts(members, "30 days"), out)
+    K.drain_updates(K.daily_counts(members), out)
     return K.quarters_of_days(K.current_state(m.spark, out, ["run_id", "topic_index", "day"]))
 
 
 @catalog.add(
     "k9_run_outcomes",
-    f"WITH {PROGRESS_SQL} SELECT r.run_id, status, CAST(finished_at - started_at AS INT) AS days, error[1:500] AS error, phase FROM {{runs}} r LEFT JOIN lt ON lt.run_id = r.run_id",
+    f"WITH {PROGRESS_SQL} SELECT r.run_id, status, CAST(finished_at - started_at AS INT) AS days, error, phase FROM {{runs}} r LEFT JOIN lt ON lt.run_id = r.run_id",
 )
 def k9(m):
     out = scratch_dir(m.spark, "k9")

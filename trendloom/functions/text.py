@@ -63,9 +63,9 @@ def content_fingerprint(title: Column, text: Column) -> Column:
     return F.sha2(F.concat(normalize_text(title), F.lit("\n"), normalize_text(text)), 256)
 
 
-def extract_doi(external_id: Column, url: Column, text: Column) -> Column:
-    """First DOI in external id, url or the opening 500 characters of the text."""
-    places = (external_id, url, F.substring(text, 1, 500))
+def extract_doi(external_id: Column, url: Column, text: Column, text_chars: int | None = None) -> Column:
+    """First DOI in external id, url or the text (or its first `text_chars` characters)."""
+    places = (external_id, url, text if text_chars is None else F.substring(text, 1, text_chars))
     found = [F.nullif(F.regexp_extract(F.coalesce(p, F.lit("")), DOI, 1), F.lit("")) for p in places]
     return fold_case(F.regexp_replace(F.coalesce(*found), r"[.,;)]+$", ""))
 
@@ -123,11 +123,12 @@ def word_set(value: Column) -> Column:
     return F.array_distinct(words(value))
 
 
-def signal_tokens(keywords: Column, title: Column, summary: Column, evidence_titles: Column) -> Column:
-    """Distinct classifier tokens; only the first 12 evidence titles count."""
+def signal_tokens(keywords: Column, title: Column, summary: Column, evidence_titles: Column, most_titles: int | None = None) -> Column:
+    """Distinct classifier tokens; `most_titles` limits the evidence titles that count."""
+    titles = evidence_titles if most_titles is None else F.slice(evidence_titles, 1, most_titles)
     joined = F.concat_ws(
         " ", F.array_join(keywords, " "), title, F.coalesce(summary, F.lit("")),
-        F.array_join(F.slice(evidence_titles, 1, 12), " "),
+        F.array_join(titles, " "),
     )
     return F.array_distinct(find_all(F.lower(joined), SIGNAL_TOKEN))
 

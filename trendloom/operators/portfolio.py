@@ -499,7 +499,11 @@ def retain_runs(tables: dict[str, DataFrame], kept: DataFrame) -> dict[str, Data
             out[name] = df.join(kept, "run_id", "left_semi")
             continue
         key = next((k for k in parents if k in df.columns), None)
-        out[name] = df if key is None else df.join(parents[key].select(key).distinct(), key, "left_semi")
+        if key is None:
+            out[name] = df
+        else:  # rows without the key belong to no run and stay
+            mine = df.join(parents[key].select(key).distinct(), key, "left_semi")
+            out[name] = mine.unionByName(df.where(F.col(key).isNull()))
     return out
 
 

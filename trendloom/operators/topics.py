@@ -124,7 +124,11 @@ def outliers(members: DataFrame, centroids: DataFrame, share: float = 0.95, digi
         "run_id", "doc_id", F.col("own").alias("topic_index"), F.round(1 - F.col("own_sim"), digits).alias("distance"),
         (F.exp("own_sim") / F.col("total")).alias("probability"),
     )
-    limits = per_doc.groupBy("run_id", "topic_index").agg(F.percentile_approx("distance", share, 10_000).alias("limit"))
+    # exact rank from counts per rounded distance: at most 10^digits rows per topic, whatever its size
+    topic = Window.partitionBy("run_id", "topic_index")
+    counts = per_doc.groupBy("run_id", "topic_index", "distance").agg(F.count("*").alias("n"))
+    upto = counts.select("run_id", "topic_index", "distance", F.sum("n").over(topic.orderBy("distance")).alias("upto"), F.sum("n").over(topic).alias("total"))
+    limits = upto.where(F.col("upto") >= F.ceil(share * F.col("total"))).groupBy("run_id", "topic_index").agg(F.min("distance").alias("limit"))
     flagged = per_doc.join(limits, ["run_id", "topic_index"])
     return flagged.withColumn("label", F.when(F.col("distance") > F.col("limit"), -1).otherwise(F.col("topic_index")))
 

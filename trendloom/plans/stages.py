@@ -58,7 +58,7 @@ class RunOptions:
     max_topics: int = 12
     restarts: int = 10
     seed: int = 42
-    max_new_trends: int | None = 5
+    max_new_trends: int | None = None
 
 
 def other_language(language: str) -> str:

@@ -83,10 +83,11 @@ def table_from_rows(rows: DataFrame, table: str, schema: str) -> DataFrame:
     ])
 
 
-def evaluation_corpus(rows: DataFrame, max_chars: int = 2000) -> DataFrame:
+def evaluation_corpus(rows: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Evaluation text: title plus the opening of the body, as the comparison defines it."""
     part = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
-    text = strip(F.concat(part("title"), F.lit(". "), F.substring(part("text"), 1, max_chars)))
+    body = part("text") if max_chars is None else F.substring(part("text"), 1, max_chars)
+    text = strip(F.concat(part("title"), F.lit(". "), body))
     return rows.withColumn("combined", text).where(F.col("combined") != "")
 
 

@@ -108,14 +108,15 @@ def entries_to_documents(entries: DataFrame) -> DataFrame:
     )
 
 
-def web_to_documents(items: DataFrame, source_type: str = "news", max_chars: int = 4000) -> DataFrame:
+def web_to_documents(items: DataFrame, source_type: str = "news", max_chars: int | None = None) -> DataFrame:
     """Web search results to raw documents; results without title and body carry no signal."""
     first = lambda *names: F.coalesce(*[blank_to_null(F.col(n)) for n in names])
     url = first("url", "metadata.sourceURL", "metadata.url")
     raw_title = first("title", "metadata.title")
     body = F.coalesce(first("snippet", "description", "markdown", "metadata.description"), F.lit(""))
     title = F.coalesce(raw_title, url)
-    text = F.substring(strip(F.concat(title, F.lit(". "), body)), 1, max_chars)
+    text = strip(F.concat(title, F.lit(". "), body))
+    text = text if max_chars is None else F.substring(text, 1, max_chars)
     published = first("metadata.publishedTime", "metadata.published_time", "metadata.date")
     return items.where(raw_title.isNotNull() | (body != "")).select(
         url.alias("external_id"), title.alias("title"), text.alias("text"), url.alias("url"),
@@ -208,14 +209,14 @@ def pick_sources(names: Iterable[str], paths: dict[str, str], registry: dict[str
 def read_sources(
     spark: SparkSession, names: Iterable[str], paths: dict[str, str], registry: dict[str, Source] | None = None
 ) -> DataFrame:
-    """Union of all enabled sources; a source that cannot be opened is logged and left out."""
+    """Union of all enabled sources; a source that cannot be opened fails the read, so a result is never short of one."""
     registry = REGISTRY if registry is None else registry
     frames = []
     for name in pick_sources(names, paths, registry):
         try:
             frames.append(registry[name].read(spark, paths[name]))
-        except Exception:  # noqa: BLE001 - one broken source must not stop the others
-            logger.warning("source %s failed", name, exc_info=True)
+        except Exception as exc:
+            raise ValueError(f"source {name} could not be read") from exc
     if not frames:
         raise ValueError("no source could be read")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from trendloom.functions.joins import spread
 from trendloom.operators.dedup import exact_dedupe, with_identity
@@ -124,11 +125,12 @@ def fetch_progress_state(events: DataFrame, estimate: int) -> DataFrame:
     return seen.select("run_id", fetch_percentage(F.col("seen"), F.lit(estimate)).alias("percent"))
 
 
-def run_outcomes(runs: DataFrame, latest: DataFrame) -> DataFrame:
-    """Status, duration, shortened error and latest phase of every run."""
+def run_outcomes(runs: DataFrame, latest: DataFrame, error_chars: int | None = None) -> DataFrame:
+    """Status, duration, error (its first `error_chars` characters if given) and latest phase of every run."""
     rows = runs.join(latest.select("run_id", "phase"), "run_id", "left")
+    error = F.col("error") if error_chars is None else F.substring("error", 1, error_chars)
     return rows.select(
-        "run_id", "status", F.datediff("finished_at", "started_at").alias("days"), F.substring("error", 1, 500).alias("error"), "phase"
+        "run_id", "status", F.datediff("finished_at", "started_at").alias("days"), error.alias("error"), "phase"
     )
 
 
@@ -145,7 +147,7 @@ def _store(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def _earlier(spark: SparkSession, out: str, schema, batch_id: int) -> DataFrame:
     """Store content without the current batch, so that a repeated batch gives the same result."""
-    wide = schema.add("batch", "long") if "batch" not in schema.names else schema
+    wide = schema if "batch" in schema.names else StructType([*schema.fields, StructField("batch", LongType())])
     return _store(spark, f"{out}/data", wide).where(F.col("batch") < batch_id).drop("batch")
 
 
@@ -186,9 +188,9 @@ def log_decisions(stream: DataFrame, out: str, order: list[str]) -> None:
     drain_batches(stream, out, handle)
 
 
-def daily_counts(members: DataFrame, lateness: str) -> DataFrame:
-    """Documents per topic and day with a watermark: a closed day leaves the state."""
-    dated = members.where("topic_index >= 0 AND published_at IS NOT NULL").withWatermark("published_at", lateness)
+def daily_counts(members: DataFrame) -> DataFrame:
+    """Documents per topic and publication day, however late they arrive: the state holds a row per topic and day."""
+    dated = members.where("topic_index >= 0 AND published_at IS NOT NULL")
     counts = dated.groupBy("run_id", "topic_index", F.window("published_at", "1 day").alias("w")).agg(F.count("*").alias("n"))
     return counts.select("run_id", "topic_index", F.col("w.start").cast("date").alias("day"), "n")
 
