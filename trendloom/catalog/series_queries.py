@@ -72,22 +72,22 @@ def f5(m):
 
 @catalog.add(
     "f6_growth_ratio",
-    f"WITH {COUNTS}, {dense_sql(MAX_QUARTERS)}, {GROWTH} "
+    f"WITH {COUNTS}, {dense_sql(None)}, {GROWTH} "
     "SELECT run_id, topic_index, total, span, round(growth, 6) AS growth FROM w",
 )
 def f6(m):
-    grown = S.growth(S.dense_quarters(S.topic_quarters(m.series), max_periods=MAX_QUARTERS))
+    grown = S.growth(S.dense_quarters(S.topic_quarters(m.series)))
     return grown.select("run_id", "topic_index", "total", "span", F.round("growth", 6).alias("growth"))
 
 
 @catalog.add(
     "f7_maturity",
-    f"WITH {COUNTS}, {dense_sql(MAX_QUARTERS)}, {GROWTH}, e AS (SELECT *, "
+    f"WITH {COUNTS}, {dense_sql(None)}, {GROWTH}, e AS (SELECT *, "
     "CASE WHEN topic_index % 3 <> 0 THEN CAST(topic_index % 10 AS DOUBLE) / 10 END AS emergence FROM w) "
     f"SELECT run_id, topic_index, total, span, emergence, {MATURITY} AS maturity FROM e",
 )
 def f7(m):
-    dense = S.dense_quarters(S.topic_quarters(m.series), max_periods=MAX_QUARTERS)
+    dense = S.dense_quarters(S.topic_quarters(m.series))
     novelty = m.series.select("run_id", "topic_index").distinct().withColumn(
         "emergence", F.when(F.col("topic_index") % 3 != 0, (F.col("topic_index") % 10).cast("double") / 10)
     )
@@ -142,7 +142,7 @@ def flagship(m):
 
 catalog.add(
     "f_topic_dynamics",
-    f"WITH {COUNTS}, {CORPUS}, {dense_sql(MAX_QUARTERS)}, {PREVALENCE}, {GROWTH}, "
+    f"WITH {COUNTS}, {CORPUS}, {dense_sql(None)}, {PREVALENCE}, {GROWTH}, "
     f"e AS (SELECT *, CAST(NULL AS DOUBLE) AS emergence FROM w), l AS (SELECT *, {MATURITY} AS maturity FROM e) "
     "SELECT p.run_id, p.topic_index, p.period, p.doc_count, round(p.prevalence, 6) AS prevalence, "
     "round(l.growth, 6) AS growth, l.maturity FROM p JOIN l ON l.run_id = p.run_id AND l.topic_index = p.topic_index",

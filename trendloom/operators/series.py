@@ -139,7 +139,7 @@ def latest_prevalence(points: DataFrame, key: str = "topic_id") -> DataFrame:
     return points.groupBy(key).agg(F.max_by("prevalence", "period").alias("prevalence"))
 
 
-def run_series(members: DataFrame, max_periods: int | None = MAX_QUARTERS) -> DataFrame:
+def run_series(members: DataFrame, max_periods: int | None = None) -> DataFrame:
     """Dense topic series of every run with prevalence."""
     dense = dense_quarters(topic_quarters(members), max_periods=max_periods)
     return with_prevalence(dense, corpus_quarters(members))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.constants import MAX_QUARTERS
-from trendloom.functions.text import signal_tokens
+from trendloom.functions.text import fold_case, signal_tokens
 from trendloom.operators import assess as G
 from trendloom.operators import corpus as C
 from trendloom.operators import dedup as D
@@ -157,7 +157,7 @@ def execute_run(raw: DataFrame, state: dict[str, DataFrame], run_id: int, day: d
     offered = shown.join(state["topics"].select("topic_id", "centroid"), "topic_id")
     past_docs = state["run_documents"].where("NOT is_outlier").select("topic_id", "doc_id")
     pairs = M.pair_scores(
-        assessed.select("run_id", F.col("trend_id").alias("cur"), "centroid", F.transform("keywords", F.lower).alias("keywords")), offered,
+        assessed.select("run_id", F.col("trend_id").alias("cur"), "centroid", F.transform("keywords", fold_case).alias("keywords")), offered,
         inside.select("run_id", F.col("topic_id").alias("cur"), "doc_id"), shown.join(past_docs, "topic_id").select("run_id", "known", "doc_id"),
     )
     found = M.match_run(pairs).select(
