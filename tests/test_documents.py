@@ -87,12 +87,14 @@ def test_web_reader_and_registry(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"data": {"news": items, "web": [{"url": "w", "title": "W"}]}}))
     path = str(tmp_path)
     got = {r["url"]: r for r in readers.read_web_results(spark, path).collect()}
-    assert set(got) == {"u1", "u3"} and len(got["u1"]["text"]) == 4000 and got["u3"]["title"] == "u3"
+    assert set(got) == {"u1", "u3"} and len(got["u1"]["text"]) == 5003 and got["u3"]["title"] == "u3"
     union = readers.read_sources(spark, ["firecrawl", "Firecrawl_Web ", "arxiv"], {"firecrawl": path, "firecrawl_web": path})
     assert rows_of(union, "source_type") == [("news",), ("news",), ("web",)]
     assert readers.pick_sources([], {}) == ["openalex"] and readers.pick_sources(["arxiv"], {}) == ["openalex"]
     with pytest.raises(ValueError):
         readers.pick_sources(["nope"], {})
+    with pytest.raises(ValueError, match="could not be read"):
+        readers.read_sources(spark, ["firecrawl", "arxiv"], {"firecrawl": path, "arxiv": path + "/missing"})
 
 
 def test_regions(table):

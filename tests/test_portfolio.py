@@ -191,3 +191,12 @@ def test_radar_layout(table):
 def test_list_runs_limit(table):
     with pytest.raises(ValueError):
         P.list_runs(table([(1,)], "run_id long"), table([(1,)], "run_id long"), 201)
+
+
+def test_retention_keeps_portfolio_level_rows(table):
+    tables = {
+        "trends": table([(1, 10), (2, 20)], "run_id long, trend_id long"), "occurrences": table([(1, 100), (2, 200)], "run_id long, occurrence_id long"),
+        "decisions": table([(1, 100), (2, 200), (3, None)], "decision_id long, occurrence_id long"),
+    }
+    kept = P.retain_runs(tables, table([(2,)], "run_id long"))
+    assert sorted(r["decision_id"] for r in kept["decisions"].collect()) == [2, 3]
