@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F  # noqa: F401
 
 
 @pytest.fixture

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from llm_fixtures import awkward, documents  # noqa: F401
 
 from trendloom.llm import exact_substring, near_dedup, substring
 from trendloom.llm.arrays import segments

@@ -5,6 +5,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
+from llm_fixtures import awkward, documents  # noqa: F401
 
 from trendloom.llm import byte_bpe, decontaminate, language, quality_net, quality_rules, toxicity, url_filter
 
