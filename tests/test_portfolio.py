@@ -200,3 +200,45 @@ def test_retention_keeps_portfolio_level_rows(table):
     }
     kept = P.retain_runs(tables, table([(2,)], "run_id long"))
     assert sorted(r["decision_id"] for r in kept["decisions"].collect()) == [2, 3]
+
+
+def test_decisions_on_foreign_occurrences_are_refused(table):
+    """An occurrence must belong to the entry decided on; one that is not recorded counts as none."""
+    canonicals = canon(table, ("a", "active", 1, 1, None), ("b", "active", 1, 1, None))
+    occurrences = table([(10, "a"), (11, "b"), (12, None)], "occurrence_id long, canonical_id string")
+    log = table([
+        (1, 0, 10, "a", "correct", "k1", None, "Own"), (2, 0, 11, "a", "correct", "k2", None, "Foreign"), (3, 0, 12, "a", "correct", "k3", None, "Unlinked"),
+        (4, 0, 99, "b", "correct", "k4", None, "Unknown"), (5, 0, None, "b", "restore", "k5", None, None), (6, 0, 10, "b", "correct", "k6", None, "Refused"), (7, 0, 11, "b", "correct", "k6", None, "Second"),
+    ], DECISIONS)
+    checked = P.checked_decisions(log, canonicals, occurrences)
+    assert [r[0] for r in rows_of(checked.where("problem = 'foreign_occurrence'"), "decision_key")] == [2, 3, 6]
+    order = ["decision_key", "tie"]
+    assert rows_of(P.record_decisions(log, canonicals, order, occurrences=occurrences), "decision_key") == [(1,), (4,), (5,), (7,)]
+    assert rows_of(P.fold_decisions(log, canonicals, order, occurrences=occurrences), "canonical_id", "title") == [("a", "Own"), ("b", "Second")]
+
+
+def test_a_review_key_decides_once(table):
+    """The first valid request of a key decides; on another occurrence it is a repeat and leaves that one pending."""
+    canonicals = canon(table, ("a", "active", 1, 1, None))
+    occurrences = table([(i, "a", 1, i, "pending") for i in (10, 11, 12)], "occurrence_id long, canonical_id string, run_id long, trend_id long, review_status string")
+    log = table([
+        (1, 0, 10, "a", "confirm", "k1", None, None), (2, 0, 11, "a", "confirm", "k1", None, None), (3, 0, 11, "a", "reject", "k2", None, None), (4, 0, 10, "a", "reject", "k3", None, None),
+        (5, 0, 12, "a", "confirm", "k1", None, None), (6, 0, 12, "a", "restore", "k4", None, None), (7, 0, 12, "a", "confirm", "k4", None, None), (8, 0, 12, "a", "confirm", "k4", None, None),
+    ], DECISIONS)
+    got = P.review_outcomes(log, occurrences, canonicals, ["decision_key", "tie"])
+    assert rows_of(got, "decision_key", "outcome") == [
+        (1, "applied"), (2, "duplicate"), (3, "applied"), (4, "already_resolved"), (5, "duplicate"), (6, "invalid_action"), (7, "applied"), (8, "duplicate"),
+    ]
+
+
+def test_rollback_leaves_no_links_to_removed_entries(table):
+    tables = {
+        "runs": table([(1,), (2,)], "run_id long"), "trends": table([(1, 10), (2, 20)], "run_id long, trend_id long"),
+        "occurrences": table([(1, 100, "old"), (1, 101, "new"), (2, 200, "new")], "run_id long, occurrence_id long, canonical_id string"),
+        "decisions": table([(1, 100, "old"), (2, 101, "new"), (3, 200, "old"), (4, None, "old"), (5, None, "new")], "decision_id long, occurrence_id long, canonical_id string"),
+        "canonicals": table([("old", 1), ("new", 2), ("seeded", None)], "canonical_id string, first_run_id long"),
+    }
+    left = P.without_run(tables, 2)
+    assert [tuple(r) for r in left["occurrences"].orderBy("occurrence_id").collect()] == [(1, 100, "old"), (1, 101, None)]
+    assert rows_of(left["decisions"], "decision_id") == [(1,), (4,)]
+    assert rows_of(left["canonicals"], "canonical_id") == [("old",), ("seeded",)]

@@ -177,12 +177,12 @@ VIEWS = {
             'Titel ' || W(o_custkey) AS title, 'Text ' || W(o_custkey * 3) AS summary,
             CASE WHEN o_orderkey % 6 < 3 THEN 'Grund ' || CAST(o_orderkey % 50 AS STRING) END AS rationale
         FROM {orders} WHERE o_orderkey % 3 <> 0""",
-    # Decisions on portfolio trends and on occurrences; idempotency keys repeat.
+    # Decisions on portfolio trends and on occurrences; idempotency keys repeat, some on two occurrences.
     "decisions": """
         SELECT l_orderkey * 10 + l_linenumber AS decision_key, l_orderkey AS occurrence_id,
             'ct-' || CAST(o_custkey AS STRING) AS canonical_id,
             split_part('confirm,correct,reject,restore,link,create,merge', ',', l_linenumber) AS action,
-            'k' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS idempotency_key,
+            'k' || CAST(CASE WHEN l_partkey % 11 = 0 THEN CAST(floor(l_orderkey / 2e0) AS BIGINT) ELSE l_orderkey END AS STRING) || '-' || CAST(l_linenumber AS STRING) AS idempotency_key,
             l_partkey * 10000 + l_suppkey AS tie,
             CASE WHEN l_partkey % 3 = 0 THEN 'Edited ' || W(l_partkey) END AS new_title,
             CASE WHEN l_partkey % 4 = 0 THEN split_part('weak_signal,emerging,established,megatrend', ',',

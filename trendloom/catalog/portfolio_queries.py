@@ -460,9 +460,11 @@ def h25(m):
 
 # ---------------------------------------------------------------- decisions
 
-VALID_SQL = """ck AS (SELECT d.*, CASE WHEN c.canonical_id IS NULL THEN 'unknown_trend' WHEN action = 'merge' AND target_id = d.canonical_id THEN 'self_merge'
+VALID_SQL = """ck AS (SELECT d.*, CASE WHEN c.canonical_id IS NULL THEN 'unknown_trend'
+        WHEN o.occurrence_id IS NOT NULL AND o.canonical_id IS DISTINCT FROM d.canonical_id THEN 'foreign_occurrence' WHEN action = 'merge' AND target_id = d.canonical_id THEN 'self_merge'
         WHEN action = 'merge' AND g.canonical_id IS NULL THEN 'unknown_target' END AS problem
-        FROM {decisions} d LEFT JOIN {canonicals} c ON c.canonical_id = d.canonical_id LEFT JOIN {canonicals} g ON g.canonical_id = d.target_id),
+        FROM {decisions} d LEFT JOIN {canonicals} c ON c.canonical_id = d.canonical_id LEFT JOIN {canonicals} g ON g.canonical_id = d.target_id
+        LEFT JOIN {occurrences} o ON o.occurrence_id = d.occurrence_id),
     vd AS (SELECT *, CASE action WHEN 'reject' THEN 'rejected' WHEN 'merge' THEN 'merged' ELSE 'active' END AS new_status FROM ck WHERE problem IS NULL
         QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY decision_key, tie) = 1)"""
 
@@ -480,7 +482,7 @@ RECORD_SQL = f"{VALID_SQL}, rc AS (SELECT vd.*, {running_sql('status')}, {runnin
         before_maturity, coalesce(new_maturity, before_maturity) AS after_maturity FROM rc""",
 )
 def h26(m):
-    rows = P.record_decisions(m.decisions, canon(m), ORDER)
+    rows = P.record_decisions(m.decisions, canon(m), ORDER, occurrences=m.occurrences)
     return rows.select("decision_key", "canonical_id", "action", "before_status", "after_status", "before_title", "after_title", "before_maturity", "after_maturity")
 
 
@@ -494,7 +496,7 @@ def last_sql(f: str) -> str:
         coalesce((SELECT arg_max(target_id, (decision_key, tie)) FROM vd WHERE vd.canonical_id = c.canonical_id AND action = 'merge'), c.merged_into_id) AS merged_into_id FROM {{canonicals}} c""",
 )
 def h26_state(m):
-    rows = P.fold_decisions(m.decisions, canon(m), ORDER)
+    rows = P.fold_decisions(m.decisions, canon(m), ORDER, occurrences=m.occurrences)
     return rows.select("canonical_id", "status", "title", "maturity", "impact", "merged_into_id")
 
 
@@ -502,9 +504,11 @@ REVIEW_SQL = """rv AS (SELECT d.* EXCLUDE (canonical_id), o.run_id, o.trend_id A
         WHEN action = 'restore' THEN 'invalid_action' WHEN action = 'merge' AND o.canonical_id IS NULL THEN 'no_trend_to_merge' WHEN action IN ('link', 'merge') AND target_id IS NULL THEN 'target_required'
         WHEN action = 'merge' AND target_id = o.canonical_id THEN 'self_merge' WHEN action IN ('link', 'merge') AND g.canonical_id IS NULL THEN 'unknown_target' END AS problem
         FROM {decisions} d LEFT JOIN {occurrences} o ON o.occurrence_id = d.occurrence_id LEFT JOIN {canonicals} g ON g.canonical_id = d.target_id),
-    wn AS (SELECT occurrence_id, min((decision_key, tie)) AS w, arg_min(idempotency_key, (decision_key, tie)) AS k FROM rv WHERE problem IS NULL GROUP BY 1),
-    ro AS (SELECT rv.*, CASE WHEN problem IS NOT NULL THEN problem WHEN (decision_key, tie) = w THEN 'applied' WHEN idempotency_key = k THEN 'duplicate' ELSE 'already_resolved' END AS outcome,
-        (action = 'create' OR (action IN ('confirm', 'correct') AND own_id IS NULL)) AS creates FROM rv LEFT JOIN wn ON wn.occurrence_id = rv.occurrence_id),
+    ky AS (SELECT idempotency_key, min((decision_key, tie)) AS k FROM rv WHERE problem IS NULL GROUP BY 1),
+    wn AS (SELECT occurrence_id, min((decision_key, tie)) AS w FROM rv JOIN ky ON ky.idempotency_key = rv.idempotency_key WHERE problem IS NULL AND (decision_key, tie) = k GROUP BY 1),
+    ro AS (SELECT rv.*, CASE WHEN problem IS NOT NULL THEN problem WHEN (decision_key, tie) <> k THEN 'duplicate' WHEN (decision_key, tie) = w THEN 'applied' ELSE 'already_resolved' END AS outcome,
+        (action = 'create' OR (action IN ('confirm', 'correct') AND own_id IS NULL)) AS creates
+        FROM rv LEFT JOIN ky ON ky.idempotency_key = rv.idempotency_key LEFT JOIN wn ON wn.occurrence_id = rv.occurrence_id),
     rr AS (SELECT *, CASE WHEN creates THEN sha256('occurrence-' || CAST(occurrence_id AS STRING)) WHEN action = 'link' THEN target_id ELSE own_id END AS decided_id FROM ro)"""
 
 
@@ -601,7 +605,7 @@ def undo_sql(f: str) -> str:
 )
 def h31(m):
     newest = m.occurrences.agg(F.max("run_id")).first()[0]
-    recorded = P.record_decisions(m.decisions, canon(m), ORDER)
+    recorded = P.record_decisions(m.decisions, canon(m), ORDER, occurrences=m.occurrences)
     rows = P.rollback_canonicals(newest, canon(m), m.occurrences, recorded, ORDER)
     return rows.select("canonical_id", "status", "title", "impact", "merged_into_id", "last_run_id")
 
@@ -614,22 +618,28 @@ def h31(m):
 )
 def h31_report(m):
     newest = m.occurrences.agg(F.max("run_id")).first()[0]
-    recorded = P.record_decisions(m.decisions, canon(m), ORDER)
+    recorded = P.record_decisions(m.decisions, canon(m), ORDER, occurrences=m.occurrences)
     return P.rollback_report(newest, m.canonicals, m.occurrences, recorded, m.topic_docs)
 
 
 @catalog.add(
     "h31_tables_without_run",
-    f"""WITH kp AS (SELECT run_id FROM {{runs}} WHERE run_id <> {NEWEST}), kt AS (SELECT * FROM {{trends}} WHERE run_id IN (SELECT run_id FROM kp))
+    f"""WITH kp AS (SELECT run_id FROM {{runs}} WHERE run_id <> {NEWEST}), kt AS (SELECT * FROM {{trends}} WHERE run_id IN (SELECT run_id FROM kp)),
+        gone AS (SELECT canonical_id FROM {{canonicals}} WHERE first_run_id = {NEWEST})
         SELECT 'runs' AS table_name, (SELECT count(*) FROM kp) AS n UNION ALL SELECT 'trends', (SELECT count(*) FROM kt)
         UNION ALL SELECT 'occurrences', (SELECT count(*) FROM {{occurrences}} WHERE run_id IN (SELECT run_id FROM kp))
+        UNION ALL SELECT 'linked_occurrences', (SELECT count(*) FROM {{occurrences}} WHERE run_id IN (SELECT run_id FROM kp) AND canonical_id NOT IN (SELECT canonical_id FROM gone))
+        UNION ALL SELECT 'canonicals', (SELECT count(*) FROM {{canonicals}} WHERE canonical_id NOT IN (SELECT canonical_id FROM gone))
+        UNION ALL SELECT 'decisions', (SELECT count(*) FROM {{decisions}} WHERE canonical_id NOT IN (SELECT canonical_id FROM gone)
+            AND (occurrence_id IS NULL OR occurrence_id IN (SELECT occurrence_id FROM {{occurrences}} WHERE run_id IN (SELECT run_id FROM kp))))
         UNION ALL SELECT 'assessments', (SELECT count(*) FROM {{assessments}} WHERE trend_id IN (SELECT trend_id FROM kt))
         UNION ALL SELECT 'timepoints', (SELECT count(*) FROM {{timepoints}} WHERE topic_id IN (SELECT topic_id FROM kt))""",
 )
 def h31_tables(m):
     newest = m.occurrences.agg(F.max("run_id")).first()[0]
-    names = ("runs", "trends", "occurrences", "assessments", "timepoints")
+    names = ("runs", "trends", "occurrences", "assessments", "timepoints", "canonicals", "decisions")
     left = P.without_run({n: getattr(m, n) for n in names}, newest)
+    left["linked_occurrences"] = left["occurrences"].where("canonical_id IS NOT NULL")
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for n, df in left.items()]
     out = counts[0]
     for c in counts[1:]:

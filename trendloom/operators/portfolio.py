@@ -199,19 +199,28 @@ def first_per_key(decisions: DataFrame, order: list[str]) -> DataFrame:
     return decisions.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
 
 
-def checked_decisions(decisions: DataFrame, canonicals: DataFrame) -> DataFrame:
-    """Add `problem` to decisions on portfolio entries; null means valid."""
+def checked_decisions(decisions: DataFrame, canonicals: DataFrame, occurrences: DataFrame | None = None) -> DataFrame:
+    """Add `problem` to decisions on portfolio entries; null means valid.
+
+    With `occurrences`, a recorded occurrence that is decided on must belong to the entry.
+    """
     known = canonicals.select("canonical_id", F.lit(True).alias("exists"))
     target = canonicals.select(F.col("canonical_id").alias("target_id"), F.lit(True).alias("target_exists"))
     rows = decisions.join(known, "canonical_id", "left").join(target, "target_id", "left")
+    foreign = F.lit(False)
+    if occurrences is not None:
+        owner = occurrences.select("occurrence_id", F.col("canonical_id").alias("owner_id"), F.lit(True).alias("recorded"))
+        rows = rows.join(owner, "occurrence_id", "left")
+        foreign = F.col("recorded").isNotNull() & ~F.col("owner_id").eqNullSafe(F.col("canonical_id"))
     merge = F.col("action") == "merge"
     problem = (
         F.when(~F.col("action").isin(*DECISION_ACTIONS), "unsupported_action")
         .when(F.col("exists").isNull(), "unknown_trend")
+        .when(foreign, "foreign_occurrence")
         .when(merge & (F.col("target_id") == F.col("canonical_id")), "self_merge")
         .when(merge & F.col("target_exists").isNull(), "unknown_target")
     )
-    return rows.withColumn("problem", problem).drop("exists", "target_exists")
+    return rows.withColumn("problem", problem).drop("exists", "target_exists", "owner_id", "recorded")
 
 
 def edited_fields(decisions: DataFrame) -> list[str]:
@@ -227,9 +236,9 @@ def status_after(action: Column, on_occurrence: Column) -> Column:
     )
 
 
-def record_decisions(decisions: DataFrame, canonicals: DataFrame, order: list[str], on_occurrence: bool = False) -> DataFrame:
+def record_decisions(decisions: DataFrame, canonicals: DataFrame, order: list[str], on_occurrence: bool = False, occurrences: DataFrame | None = None) -> DataFrame:
     """Audit rows: valid decisions in order with the values before and after each of them."""
-    valid = first_per_key(checked_decisions(decisions, canonicals).where("problem IS NULL"), order)
+    valid = first_per_key(checked_decisions(decisions, canonicals, occurrences).where("problem IS NULL"), order)
     fields = edited_fields(decisions)
     start = canonicals.select("canonical_id", F.col("status").alias("c_status"), *[F.col(f).alias(f"c_{f}") for f in fields])
     rows = valid.join(start, "canonical_id").withColumn("new_status", status_after(F.col("action"), F.lit(on_occurrence)))
@@ -239,9 +248,9 @@ def record_decisions(decisions: DataFrame, canonicals: DataFrame, order: list[st
     return rows.withColumns({f"after_{f}": F.coalesce(f"new_{f}", f"before_{f}") for f in ["status", *fields]})
 
 
-def fold_decisions(decisions: DataFrame, canonicals: DataFrame, order: list[str], on_occurrence: bool = False) -> DataFrame:
+def fold_decisions(decisions: DataFrame, canonicals: DataFrame, order: list[str], on_occurrence: bool = False, occurrences: DataFrame | None = None) -> DataFrame:
     """Portfolio snapshot after all valid decisions: per field the last value set."""
-    valid = first_per_key(checked_decisions(decisions, canonicals).where("problem IS NULL"), order)
+    valid = first_per_key(checked_decisions(decisions, canonicals, occurrences).where("problem IS NULL"), order)
     valid = valid.withColumn("new_status", status_after(F.col("action"), F.lit(on_occurrence)))
     valid = valid.withColumn("new_merged_into_id", F.when(F.col("action") == "merge", F.col("target_id")))
     names = ["status", "merged_into_id", *edited_fields(decisions)]
@@ -255,8 +264,9 @@ def fold_decisions(decisions: DataFrame, canonicals: DataFrame, order: list[str]
 def review_outcomes(decisions: DataFrame, occurrences: DataFrame, canonicals: DataFrame, order: list[str]) -> DataFrame:
     """Every submitted review decision with its outcome: applied, duplicate, or the reason it was refused.
 
-    The first valid decision resolves an occurrence; applied rows carry the review status and the
-    portfolio id the occurrence ends up with.
+    A key belongs to its first valid request, later ones with it are duplicates whatever occurrence they name.
+    Of the rest the first resolves an occurrence; applied rows carry the review status and the portfolio id
+    the occurrence ends up with.
     """
     state = occurrences.select("occurrence_id", "run_id", F.col("trend_id").alias("o_trend_id"), F.col("canonical_id").alias("own_id"), "review_status")
     target = canonicals.select(F.col("canonical_id").alias("target_id"), F.lit(True).alias("target_exists"))
@@ -273,12 +283,14 @@ def review_outcomes(decisions: DataFrame, occurrences: DataFrame, canonicals: Da
     )
     rows = rows.withColumn("problem", problem)
     seq = F.struct(*order)
-    winner = rows.where("problem IS NULL").groupBy("occurrence_id").agg(F.min(seq).alias("w"), F.min_by("idempotency_key", seq).alias("w_key"))
+    opened = rows.where("problem IS NULL").groupBy("idempotency_key").agg(F.min(seq).alias("opening"))
+    rows = rows.join(opened, "idempotency_key", "left")
+    winner = rows.where(F.col("problem").isNull() & (seq == F.col("opening"))).groupBy("occurrence_id").agg(F.min(seq).alias("w"))
     rows = rows.join(winner, "occurrence_id", "left")
     outcome = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(seq != F.col("opening"), "duplicate")
         .when(seq == F.col("w"), "applied")
-        .when(F.col("idempotency_key") == F.col("w_key"), "duplicate")
         .otherwise("already_resolved")
     )
     fresh_id = F.sha2(F.concat(F.lit("occurrence-"), F.col("occurrence_id").cast("string")), 256)
@@ -289,7 +301,7 @@ def review_outcomes(decisions: DataFrame, occurrences: DataFrame, canonicals: Da
     return rows.withColumns({
         "new_review_status": F.when(applied, F.when(F.col("action") == "reject", "rejected").otherwise("approved")),
         "new_canonical_id": F.when(applied, F.when(F.col("action") == "merge", F.col("target_id")).otherwise(decided)),
-    }).drop("w", "w_key", "target_exists", "review_status")
+    }).drop("w", "opening", "target_exists", "review_status")
 
 
 def apply_reviews(outcomes: DataFrame, canonicals: DataFrame, proposed: DataFrame, order: list[str]) -> DataFrame:
@@ -483,9 +495,23 @@ def rollback_report(run_id: int, canonicals: DataFrame, occurrences: DataFrame,
 
 
 def without_run(tables: dict[str, DataFrame], run_id: int) -> dict[str, DataFrame]:
-    """Run tables without one run; children hang on trend, topic or occurrence ids."""
+    """Run tables without one run; children hang on trend, topic or occurrence ids.
+
+    Entries that the run created go with all their decisions; occurrences of other runs lose their link to them.
+    """
     keep = tables["runs"].where(F.col("run_id") != run_id)
-    return retain_runs(tables, keep.select("run_id"))
+    out = retain_runs(tables, keep.select("run_id"))
+    if "canonicals" not in tables:
+        return out
+    created = tables["canonicals"].where(F.col("first_run_id") == run_id).select("canonical_id")
+    for name in ("canonicals", "decisions"):
+        if name in out:
+            out[name] = out[name].join(created, "canonical_id", "left_anti").select(*out[name].columns)
+    if "occurrences" in out:
+        linked = out["occurrences"].join(created.withColumn("_gone", F.lit(True)), "canonical_id", "left")
+        linked = linked.withColumn("canonical_id", F.when(F.col("_gone").isNull(), F.col("canonical_id")))
+        out["occurrences"] = linked.select(*out["occurrences"].columns)
+    return out
 
 
 def retain_runs(tables: dict[str, DataFrame], kept: DataFrame) -> dict[str, DataFrame]:
