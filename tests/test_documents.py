@@ -191,10 +191,10 @@ def test_corpus_snapshot(table):
         (2, 0, 4, "new"), (2, 1, 2, "carried_forward"), (2, 2, 1, "carried_forward"), (2, 3, 3, "carried_forward"),
     ]
     import hashlib
-    want = hashlib.sha256(b"legacy-document:4\na\nb\nc\n").hexdigest()
-    digests = {r["run_id"]: r for r in C.corpus_digest(got).collect()}
-    assert digests[2]["corpus_hash"] == want and digests[2]["algorithm"] == "sha256"
-    assert {r["algorithm"] for r in C.corpus_digest(got, flat_limit=3).collect()} == {"sha256", "sha256-chunked"}
+    sha = lambda *lines: hashlib.sha256("".join(f"{x}\n" for x in lines).encode()).hexdigest()
+    for chunk, want in ((4096, sha(sha(sha("legacy-document:4", "a", "b", "c")))), (2, sha(sha(sha("legacy-document:4", "a"), sha("b", "c"))))):
+        digests = {r["run_id"]: r for r in C.corpus_digest(got, chunk).collect()}
+        assert digests[2]["corpus_hash"] == want and {r["algorithm"] for r in digests.values()} == {"sha256-chunked"}
 
 
 def test_resolve_run(table):

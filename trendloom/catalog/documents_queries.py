@@ -366,10 +366,16 @@ def c1(m):
 LINES_SQL = "ln AS (SELECT run_id, position, coalesce(content_hash, 'legacy-document:' || CAST(doc_id AS STRING)) AS line FROM mem)"
 
 
+def digest_sql(chunk: int) -> str:
+    """Three levels of digests over blocks of `chunk` lines."""
+    return f"""p AS (SELECT run_id, position // {chunk} AS part, sha256(string_agg(line, chr(10) ORDER BY position) || chr(10)) AS line FROM ln GROUP BY 1, 2),
+        q AS (SELECT run_id, part // {chunk} AS grp, sha256(string_agg(line, chr(10) ORDER BY part) || chr(10)) AS line FROM p GROUP BY 1, 2)
+        SELECT run_id, sha256(string_agg(line, chr(10) ORDER BY grp) || chr(10)) AS corpus_hash, 'sha256-chunked' AS algorithm FROM q GROUP BY 1"""
+
+
 @catalog.add(
     "c2_corpus_hash",
-    f"""WITH {MEMBERS_SQL}, {LINES_SQL} SELECT run_id, sha256(string_agg(line, chr(10) ORDER BY position) || chr(10)) AS corpus_hash,
-        'sha256' AS algorithm FROM ln GROUP BY run_id""",
+    f"WITH {MEMBERS_SQL}, {LINES_SQL}, {digest_sql(4096)}",
 )
 def c2(m):
     return C.corpus_digest(membership(m))
@@ -377,13 +383,10 @@ def c2(m):
 
 @catalog.add(
     "c2_corpus_hash_chunked",
-    f"""WITH {MEMBERS_SQL}, {LINES_SQL},
-        p AS (SELECT run_id, position // 64 AS part, sha256(string_agg(line, chr(10) ORDER BY position) || chr(10)) AS line FROM ln GROUP BY 1, 2),
-        q AS (SELECT run_id, part // 64 AS grp, sha256(string_agg(line, chr(10) ORDER BY part) || chr(10)) AS line FROM p GROUP BY 1, 2)
-        SELECT run_id, sha256(string_agg(line, chr(10) ORDER BY grp) || chr(10)) AS corpus_hash, 'sha256-chunked' AS algorithm FROM q GROUP BY 1""",
+    f"WITH {MEMBERS_SQL}, {LINES_SQL}, {digest_sql(64)}",
 )
 def c2_chunked(m):
-    return C.chunked_digest(membership(m), chunk=64)
+    return C.corpus_digest(membership(m), chunk=64)
 
 
 LABELS_SQL = "SELECT run_id, doc_id, topic_index AS label, CAST(doc_id % 10 AS DOUBLE) / 10 AS probability FROM {run_docs}"

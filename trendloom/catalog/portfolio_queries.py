@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trendloom.catalog.model import Catalog, word
 from trendloom.catalog.topics_queries import CENTROID_SQL
-from trendloom.constants import PROPOSED_FIELDS
+from trendloom.constants import MAX_NEW_TRENDS, PROPOSED_FIELDS
 from trendloom.operators import assess as G
 from trendloom.operators import corpus as C
 from trendloom.operators import match as M
@@ -224,7 +224,7 @@ def h10(m):
 )
 def h11(m):
     fresh = m.trends.join(m.occurrences.where("canonical_id IS NULL").select("trend_id"), "trend_id", "left_semi")
-    return M.admit_new(fresh).select("run_id", "trend_id", "size")
+    return M.admit_new(fresh, MAX_NEW_TRENDS).select("run_id", "trend_id", "size")
 
 
 def matches(m):
@@ -245,7 +245,7 @@ RECONCILE_SQL = f"""{DIFF_SQL}, {DELTA_SQL},
     fr AS (SELECT p.trend_id, p.run_id, p.topic_id, CAST(NULL AS STRING) AS canonical_id, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS margin,
         (SELECT count(*) FROM td WHERE td.topic_id = p.topic_id) AS evidence_added, 0 AS evidence_removed, 'new' AS change_type,
         CASE WHEN assessed THEN '{",".join(PROPOSED_FIELDS)}' ELSE '{",".join(PROPOSED_FIELDS[:3])}' END AS changed_fields, 'new_trend:classification' AS reasons
-        FROM prop p JOIN {{occurrences}} o ON o.trend_id = p.trend_id WHERE o.canonical_id IS NULL QUALIFY row_number() OVER (PARTITION BY p.run_id ORDER BY size DESC, p.trend_id) <= 5),
+        FROM prop p JOIN {{occurrences}} o ON o.trend_id = p.trend_id WHERE o.canonical_id IS NULL),
     oc AS (SELECT u.*, prevalence, CASE WHEN reasons <> '' THEN 'pending' ELSE 'not_required' END AS review_status FROM (SELECT * FROM kn UNION ALL SELECT * FROM fr) u LEFT JOIN pvl ON pvl.topic_id = u.topic_id)"""
 
 

@@ -9,7 +9,6 @@ from trendloom.constants import CHANGE_TYPES
 from trendloom.functions.ordering import dense_positions
 
 CHUNK = 4096
-FLAT_LIMIT = 1_000_000
 
 
 def eligible(docs: DataFrame) -> DataFrame:
@@ -46,26 +45,12 @@ def _joined(df: DataFrame, keys: list[str], order: str, value: str, alias: str)
     return df.groupBy(*keys).agg(F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias(alias))
 
 
-def corpus_digest(membership: DataFrame, flat_limit: int = FLAT_LIMIT, chunk: int = CHUNK) -> DataFrame:
-    """Digest of the ordered content hashes of every run.
+def corpus_digest(membership: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Digest of the ordered content hashes of every run, by one algorithm for all sizes.
 
-    SHA-256 over one stream cannot be split, so the flat digest is given for runs up to `flat_limit`
-    members and built from chunks of bounded size. Bigger runs get a digest of chunk digests; the
-    `algorithm` column tells which one a run carries.
+    SHA-256 over one stream cannot be split, so blocks of `chunk` hashes are digested and their digests in turn.
     """
     lines = membership.select("run_id", "position", F.floor(F.col("position") / chunk).alias("part"), _stable_hash().alias("line"))
-    parts = _joined(lines, ["run_id", "part"], "position", "line", "block")
-    sizes = membership.groupBy("run_id").agg(F.count("*").alias("n_documents"))
-    small = parts.join(sizes.where(F.col("n_documents") <= flat_limit), "run_id")
-    stream = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "block"))), lambda x: x["block"]), "")
-    flat = small.groupBy("run_id").agg(F.sha2(stream, 256).alias("corpus_hash")).withColumn("algorithm", F.lit("sha256"))
-    large = parts.join(sizes.where(F.col("n_documents") > flat_limit), "run_id", "left_semi")
-    return flat.unionByName(_chunked(large, chunk))
-
-
-def chunked_digest(membership: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Digest of chunk digests for every run, whatever its size."""
-    lines = membership.select("run_id", "position", F.floor(F.col("position") / chunk).alias("part"), _stable_hash().alias("line"))
     return _chunked(_joined(lines, ["run_id", "part"], "position", "line", "block"), chunk)
 
 

@@ -12,7 +12,6 @@ from trendloom.constants import (
     MATCH_MARGIN,
     MATCH_THRESHOLD,
     MATERIAL_SCORE_DELTA,
-    MAX_NEW_TRENDS,
     NUMERIC_NOISE,
     PROPOSED_FIELDS,
     REVIEW_THRESHOLD,
@@ -310,7 +309,7 @@ def evidence_delta(links: DataFrame, topic_docs: DataFrame) -> DataFrame:
     return links.select("occurrence_id").join(counts, "occurrence_id", "left").na.fill(0, ["evidence_added", "evidence_removed"])
 
 
-def admit_new(unmatched: DataFrame, cap: int = MAX_NEW_TRENDS) -> DataFrame:
+def admit_new(unmatched: DataFrame, cap: int) -> DataFrame:
     """Largest new topics of every run; the surplus stays in the run without an occurrence."""
     order = Window.partitionBy("run_id").orderBy(F.desc("size"), "trend_id")
     return unmatched.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
@@ -318,12 +317,13 @@ def admit_new(unmatched: DataFrame, cap: int = MAX_NEW_TRENDS) -> DataFrame:
 
 def reconcile(
     proposed: DataFrame, matches: DataFrame, canonicals: DataFrame, history: DataFrame, topic_docs: DataFrame,
-    prevalence: DataFrame, max_new: int | None = MAX_NEW_TRENDS,
+    prevalence: DataFrame, max_new: int | None = None,
 ) -> DataFrame:
     """Occurrence rows of runs from given matches.
 
     proposed: with_proposed() rows; matches: trend_id, canonical_id, score, margin, reason;
-    history: earlier occurrences with their topic_id; prevalence: topic_id, prevalence.
+    history: earlier occurrences with their topic_id; prevalence: topic_id, prevalence. Only the history of the
+    matched entries is read on, and the documents of the topics that are compared. `max_new`: new trends per run, all if None.
     """
     rows = proposed.join(matches, "trend_id", "left")
     fresh = rows.where("canonical_id IS NULL")
@@ -333,9 +333,10 @@ def reconcile(
     known = against_portfolio(matched, canonicals)
     keys = ["occurrence_id", "canonical_id", "run_id", "trend_id", "topic_id"]
     current = matched.withColumn("occurrence_id", F.col("trend_id")).select(*keys)
-    everything = history.select(*keys).join(current, "occurrence_id", "left_anti").select(*keys).unionByName(current)
+    past = history.select(*keys).join(matches.select("canonical_id").distinct(), "canonical_id", "left_semi")
+    everything = past.join(current, "occurrence_id", "left_anti").select(*keys).unionByName(current)
     topic_of = everything.select("trend_id", "topic_id")
-    links = previous_occurrences(everything).join(topic_of, "trend_id").join(
+    links = previous_occurrences(everything).join(current.select("occurrence_id"), "occurrence_id", "left_semi").join(topic_of, "trend_id").join(
         topic_of.select(F.col("trend_id").alias("prev_trend_id"), F.col("topic_id").alias("prev_topic_id")), "prev_trend_id", "left"
     ).select("occurrence_id", "topic_id", "prev_topic_id")
     delta = evidence_delta(links, topic_docs).withColumnRenamed("occurrence_id", "trend_id")
@@ -346,7 +347,7 @@ def reconcile(
         change_type(F.col("diffs"), moved).alias("change_type"), field_names(F.col("diffs")).alias("changed_fields"),
         review_reasons(F.col("diffs"), F.col("reason")).alias("review_reasons"),
     )
-    own = topic_docs.where("NOT is_outlier").groupBy("topic_id").agg(F.count_distinct("doc_id").alias("evidence_added"))
+    own = topic_docs.where("NOT is_outlier").join(fresh.select("topic_id").distinct(), "topic_id", "left_semi").groupBy("topic_id").agg(F.count_distinct("doc_id").alias("evidence_added"))
     text, labels = PROPOSED_FIELDS[:3], PROPOSED_FIELDS
     null = F.lit(None).cast("string")
     start = F.struct(F.lit("new_trend").alias("code"), F.lit("classification").alias("kind"), null.alias("field"), null.alias("before"), null.alias("after"))

@@ -12,6 +12,7 @@ from trendloom.constants import MAX_TOPICS, STOP_WORDS
 from trendloom.functions.joins import salted_join
 from trendloom.functions.text import let, words
 from trendloom.functions.vectors import as_doubles, cosine
+from trendloom.session import ensure_checkpoint_dir
 
 TOP_TERMS = 10
 
@@ -29,6 +30,7 @@ def kmeans_labels(members: DataFrame, k: int, seed: int = 42, restarts: int = 10
     if k == 1:
         return members.select("doc_id", F.lit(0).alias("label"))
     points = members.select("doc_id", array_to_vector(as_doubles(F.col("embedding"))).alias("features"))
+    ensure_checkpoint_dir(members.sparkSession)
     points = points.repartition("doc_id").sortWithinPartitions("doc_id").persist()
     try:
         fits = (KMeans(k=k, seed=seed + i, maxIter=50).fit(points) for i in range(restarts))
@@ -36,7 +38,7 @@ def kmeans_labels(members: DataFrame, k: int, seed: int = 42, restarts: int = 10
         assigned = best.transform(points).select("doc_id", F.col("prediction").alias("raw"))
         sizes = assigned.groupBy("raw").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
         numbers = sizes.select("raw", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("label"))
-        return assigned.join(F.broadcast(numbers), "raw").select("doc_id", "label")  # k rows
+        return assigned.join(numbers, "raw").select("doc_id", "label").checkpoint()  # written while the points are still cached
     finally:
         points.unpersist()
 
@@ -169,7 +171,7 @@ def topic_diversity(ranked: DataFrame) -> DataFrame:
 def lda_keywords(docs: DataFrame, n_topics: int, seed: int = 42, iterations: int = 25, min_df: float = 5, max_df: float = 0.5) -> DataFrame:
     """Top terms per topic of an LDA baseline."""
     listed = docs.select("run_id", "doc_id", terms(F.col("text")).alias("terms"))
-    vectorizer = CountVectorizer(inputCol="terms", outputCol="features", minDF=float(min_df), maxDF=max_df).fit(listed)
+    vectorizer = CountVectorizer(inputCol="terms", outputCol="features", minDF=float(min_df), maxDF=max_df, vocabSize=2**31 - 1).fit(listed)
     counts = vectorizer.transform(listed).select("features").persist()
     try:
         model = LDA(k=n_topics, maxIter=iterations, seed=seed).fit(counts)
