@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import duckdb
@@ -122,3 +123,32 @@ def test_url_rules_and_scores(spark):
     assert (got[1]["host"], got[1]["path"], got[7]["host"]) == ("example.org", "/es/1", "")
     assert (got[300]["verdict"], got[301]["verdict"], got[4]["verdict"]) == ("block", "allow", "block")
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_url_models_keep_rare_grams_of_many_urls(spark):
+    bulk = [(i, f"http://host{i % 7}.{('org', 'com')[i % 2]}/{('news', 'de')[i % 2]}/{'page' * 12}") for i in range(7000)]  # 460,000 ruled characters
+    odd = [(7000, "http://a.org/qzxj"), (7001, "http://b.com/de/wvky"), (7002, "http://c.net/qzxj"), (7003, "http://c.net/wvky"), (None, "http://c.net/qzxj"), (7002, None)]
+    got = url_filter.filter_urls(spark.createDataFrame(bulk + odd, "page_id long, url string")).collect()
+    assert len(got) == len(bulk) + len(odd)
+    order, grams, contexts = url_filter.ORDER, ({}, {}), ({}, {})
+    for r in got:
+        if r["rule"]:
+            side, line = r["verdict"] == "block", "\x02" * order + r["host"] + r["path"]
+            for i in range(order, len(line)):
+                for k in range(order + 1):
+                    grams[side][line[i - k : i + 1]] = grams[side].get(line[i - k : i + 1], 0) + 1
+    for side in range(2):
+        for gram, n in grams[side].items():
+            seen, kinds = contexts[side].get(gram[:-1], (0, 0))
+            contexts[side][gram[:-1]] = (seen + n, kinds + 1)
+    for r in got[-300:] + [r for r in got if r["page_id"] is None or r["page_id"] >= 7000]:
+        line, total = "\x02" * order + r["host"] + r["path"], 0.0
+        for i in range(order, len(line)):
+            p = [1 / 256, 1 / 256]
+            for k in range(order + 1):
+                for side in range(2):
+                    seen, kinds = contexts[side].get(line[i - k : i], (0, 0))
+                    if seen:
+                        p[side] = (grams[side].get(line[i - k : i + 1], 0) + kinds * p[side]) / (seen + kinds)
+            total += math.log(p[0] / p[1])
+        assert r["score"] == pytest.approx(total / max(1, len(line) - order), abs=1e-9)
