@@ -1,11 +1,13 @@
 import math
 from datetime import date
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from trendloom.catalog import topics_queries
 from trendloom.operators import series as S
 from trendloom.operators import topics as E
 from trendloom.operators import vectors as V
@@ -138,3 +140,19 @@ def test_series_over_dates(table):
     members = table([(1, 0, date(2024, 2, 1)), (1, 0, date(2024, 8, 1)), (1, -1, date(2024, 8, 2)), (1, 0, None)], "run_id long, topic_index int, published_at date")
     got = rows_of(S.run_series(members), "period", "doc_count", "prevalence")
     assert got == [("2024-Q1", 1, 1.0), ("2024-Q2", 0, 0.0), ("2024-Q3", 1, 0.5)]
+
+
+def test_lda_reads_documents_without_vectors(table):
+    """The terms of the documents without a vector reach the LDA topics of both queries, and their coherence vocabulary."""
+    texts = [(i, "meadow river forest" if i < 8 else "copper alloy furnace") for i in range(16)]
+    vectors = [(i, 0, [float(i % 3), 1.0]) for i in range(8)]
+    m = SimpleNamespace(docs=table(texts, "doc_id long, text string"), doc_topic=table(vectors, "doc_id long, topic_index int, embedding array<float>"))
+    assert {"copper", "meadow"} <= {r["term"] for r in topics_queries.e9(m).collect()}
+    read = []
+    lda, report = E.lda_keywords, E.comparison_report
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(E, "kmeans_labels", lambda *a, **b: m.doc_topic.select("doc_id", F.col("topic_index").alias("label")))
+        patch.setattr(E, "lda_keywords", lambda docs, *a: read.append(docs.count()) or lda(docs, *a))
+        patch.setattr(E, "comparison_report", lambda ranked, pairs, count: read.append({r["term"] for r in pairs.collect()}) or report(ranked, pairs, count))
+        topics_queries.e13(m)
+    assert read == [16, {"meadow", "river", "forest", "copper", "alloy", "furnace"}]

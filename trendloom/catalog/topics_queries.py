@@ -162,6 +162,11 @@ def clustered(m):
     return joined.select(F.lit(1).cast("bigint").alias("run_id"), "doc_id", "topic_index", "text")
 
 
+def all_texts(m):
+    """Every document of one run, with or without a vector, for what needs no label."""
+    return m.docs.select(F.lit(1).cast("bigint").alias("run_id"), "doc_id", F.lit(None).cast("int").alias("topic_index"), "text")
+
+
 DOCS_SQL = "dt AS (SELECT 1::BIGINT AS run_id, d.doc_id, t.topic_index, text FROM {docs} d JOIN {doc_topic} t ON t.doc_id = d.doc_id)"
 TERMS_SQL = f"tk AS (SELECT run_id, doc_id, topic_index, list_filter({TOKENS_SQL}, lambda t: t NOT IN {STOP_SQL}) AS terms FROM dt)"
 
@@ -244,7 +249,7 @@ def e8(m):
 
 @catalog.add("e9_lda_keywords")
 def e9(m):
-    return E.lda_keywords(clustered(m), 10)
+    return E.lda_keywords(all_texts(m), 10)
 
 
 VOCAB_SQL = """pw AS (SELECT run_id, doc_id, unnest(list_distinct(terms)) AS term FROM tk),
@@ -281,7 +286,7 @@ def e12(m):
 
 @catalog.add("e13_model_comparison")
 def e13(m):
-    docs = clustered(m)
+    docs = all_texts(m)
     labels = E.kmeans_labels(m.doc_topic, 10, restarts=3)
     grouped = docs.drop("topic_index").join(labels.withColumnRenamed("label", "topic_index"), "doc_id")
     vectors = m.doc_topic.select("doc_id", "embedding").join(labels, "doc_id").select(
