@@ -55,6 +55,30 @@ def test_passages_keep_odd_rows(documents, awkward, op):
     assert op(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("op, window", [(substring.remove_repeated_words, 50), (exact_substring.remove_repeated_bytes, 100)])
+def test_passages_of_different_texts_of_one_id(documents, op, window):
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    p, q = words("p", 80), words("q", 80)
+    rows = [(1, words("a", 200) + p + words("b", 9)), (1, words("c", 120)), (1, q + words("d", 60)), (4, words("e", 150) + q), (4, words("f", 170)), (4, p[:70] + words("g", 200))]
+    rows = [(d, " ".join(w)) for d, w in rows + [rows[3], (7, words("h", 5) + p + words("i", 90) + q)]]
+    tokens = str.split if window == 50 else str.encode
+    windows = [(d, i, tuple(t[i : i + window])) for d, text in rows for t in [tokens(text)] for i in range(len(t) - window + 1)]
+    first = {}
+    for d, i, w in windows:
+        first[w] = min(first.get(w, (d, i)), (d, i))
+    want = []
+    for d, text in rows:
+        t, gone = tokens(text), set()
+        for i in range(len(t) - window + 1):
+            head = first[tuple(t[i : i + window])]
+            if head[0] < d or (window == 100 and head < (d, i)):
+                gone.update(range(i, i + window))
+        kept = [x for i, x in enumerate(t) if i not in gone]
+        want.append((d, text, " ".join(kept).encode() if window == 50 else bytes(kept), len(gone)))
+    got = [(r["doc_id"], r["text"], r["kept"].encode() if window == 50 else bytes(r["kept"]), r["n_removed"]) for r in op(documents(rows)).collect()]
+    assert sorted(got) == sorted(want) and sum(n > 0 for *_, n in want) == 4
+
+
 def test_fm_index_ranks():
     rng = np.random.default_rng(3)
     sequence = np.concatenate([rng.integers(1, 9, 200), [0]])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom.llm.arrays import slices
-from trendloom.llm.repeats import covered_mask, earlier_windows, repeated_spans, runs_per_piece
+from trendloom.llm.repeats import KEY, covered_mask, earlier_windows, keyed, repeated_spans, runs_per_piece, with_covered
 
 
 def equal_windows(text: np.ndarray, places: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,20 +61,20 @@ def remove_repeated_bytes(documents: DataFrame, id_col: str = "doc_id", text_col
 
     Bytes covered by a `window`-byte string that also starts earlier (smaller id, or same id and earlier start) are removed. Null text is
     empty; texts shorter than a window never change; of equal windows the first stays, whatever the ties. Rows without id neither match
-    nor change. Rows that repeat an id count as one document: their spans apply to each, clipped to its length. Input columns of the
-    names above are replaced. An empty table gives an empty result.
+    nor change. Different texts of one id are compared by (id, start) as well and cut each by its own spans; equal rows are treated
+    alike. Input columns of the names above are replaced. An empty table gives an empty result.
     """
-    documents = documents.withColumn(id_col, F.col(id_col).cast("long"))
-    spans = repeated_spans(documents.select(id_col, text_col), id_col, text_col, None, window, anchor, match_bytes(window), True)
+    documents = keyed(documents, id_col, text_col)
+    spans = repeated_spans(documents.select(id_col, text_col, KEY), id_col, text_col, None, window, anchor, match_bytes(window), True)
     return apply_spans(documents, spans, id_col, text_col)
 
 
 def apply_spans(documents: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
     rest = documents.drop(*new)
-    old = rest.columns
-    joined = rest.join(spans.select(F.col("id").alias("__id"), F.col("covered").alias("__covered")), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    schema = T.StructType(rest.schema.fields + [T.StructField("kept", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in new[1:]])
+    old = [c for c in rest.columns if c != KEY]
+    joined = with_covered(rest, spans, id_col)
+    schema = T.StructType([f for f in rest.schema.fields if f.name != KEY] + [T.StructField("kept", T.BinaryType())] + [T.StructField(c, T.LongType()) for c in new[1:]])
 
     def strip(batches):
         for batch in batches:

@@ -25,6 +25,8 @@ SALTS = 64
 PIECE_TOKENS = 1 << 22
 BATCH_TOKENS = 1 << 20
 SPANS = "array<struct<a:int,b:int>>"
+#: Tells apart the texts of one id; rows with equal id and text count as one.
+KEY = "__key"
 NO_HOT = np.zeros(0, dtype=np.uint64)
 
 
@@ -88,43 +90,51 @@ def heavy_anchors(docs: DataFrame, table, window: int, k: int) -> np.ndarray:
 
 
 def repeated_spans(texts: DataFrame, id_col: str, text_col: str, table, window: int, k: int, matcher, by_place: bool) -> DataFrame:
-    """(id, covered) of the rows with tokens in windows that also start earlier; `covered` lists (start, spans) in token positions.
+    """(id, key, covered) of the rows with tokens in windows that also start earlier; `covered` lists (start, spans) in token positions.
 
-    Rows without id are left out. `by_place`: earlier means a smaller (id, start), else a smaller id. `matcher(words, bounds, ids,
+    `texts` has the KEY of `keyed`. Rows without id are left out. `by_place`: earlier means a smaller (id, start), else a smaller id. `matcher(words, bounds, ids,
     starts, counts, anchors)` gives per piece the windows that start earlier in another piece, as (piece, first window, windows).
     """
     docs = texts.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) >= (window if table is None else 2 * window - 1)))
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(KEY).alias("key"))
     hot = heavy_anchors(docs, table, window, k)
 
-    def salts(anchor: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def salts(anchor: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """0 for most runs; those of heavy anchors are dealt over SALTS join keys by their row."""
         if not len(hot):
             return np.zeros(len(anchor), dtype=np.int8)
         heavy = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
-        return np.where(heavy, 1 + (mix(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0).astype(np.int8)
+        return np.where(heavy, 1 + (mix(rows.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0).astype(np.int8)
 
     def cut(batches):
         for batch in batches:
-            ids = ids_of(batch.column(0))
+            ids, keys = ids_of(batch.column(0)), ids_of(batch.column(2))
             for row, anchor, first, count, digest in runs_of(batch.column(1), table, window, k, hot):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ids[row]), pa.array((first << 24) | count), pa.array(salts(anchor, ids[row]))],
-                    names=["anchor", "digest", "id", "place", "salt"],
+                    [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), pa.array(ids[row]), pa.array(keys[row]), pa.array((first << 24) | count), pa.array(salts(anchor, ids[row] ^ keys[row]))],
+                    names=["anchor", "digest", "id", "key", "place", "salt"],
                 )
 
-    runs = docs.mapInArrow(cut, "anchor long, digest long, id long, place long, salt byte")
+    runs = docs.mapInArrow(cut, "anchor long, digest long, id long, key long, place long, salt byte")
     again = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.max("salt").alias("salt")).where("n > 1")
     shared = stored(runs.join(all_salts(again.select("anchor", "salt")), ["anchor", "salt"]), "runs")
-    pieces = shared.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "place")).alias("first"), F.max("salt").alias("salt"))
-    pieces = stored(pieces.select("anchor", "digest", "salt", "copies", F.col("first.id").alias("own"), F.col("first.place").alias("own_place")), "pieces")
+    pieces = shared.groupBy("anchor", "digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "place", "key")).alias("first"), F.max("salt").alias("salt"))
+    pieces = stored(pieces.select("anchor", "digest", "salt", "copies", F.col("first.id").alias("own"), F.col("first.place").alias("own_place"), F.col("first.key").alias("own_key")), "pieces")
     mixed = pieces.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = pieces.join(mixed, "anchor").groupBy("own").agg(F.collect_list(F.struct("own_place", "anchor", "digest")).alias("wanted"))
+    wanted = pieces.join(mixed, "anchor").groupBy("own", "own_key").agg(F.collect_list(F.struct("own_place", "anchor", "digest")).alias("wanted"))
 
     def fetch(batches):
+        done = set()  # of rows with equal id and text the first gives the pieces
         for batch in batches:
-            ids = ids_of(batch.column("id"))
-            want = batch.column("wanted").fill_null([])
+            ids, keys = ids_of(batch.column("id")), ids_of(batch.column("key"))
+            wants = batch.column("wanted").is_valid().to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero(wants).tolist():
+                if (one := (int(ids[i]), int(keys[i]))) in done:
+                    wants[i] = False
+                done.add(one)
+            batch = batch.filter(pa.array(wants))
+            ids = ids[wants]
+            want = batch.column("wanted")
             bounds, flat = want.offsets.to_numpy(), want.flatten()
             base = bounds[0]
             place, anchor, digest = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -150,7 +160,9 @@ def repeated_spans(texts: DataFrame, id_col: str, text_col: str, table, window:
                     )
 
     # an outer join without filters: its exchange of the texts is the one the caller's last join uses again
-    owners = texts.join(wanted, texts[id_col] == wanted["own"], "left").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "wanted")
+    owners = texts.join(wanted, (texts[id_col] == wanted["own"]) & (texts[KEY] == wanted["own_key"]), "left").select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(KEY).alias("key"), "wanted"
+    )
     content = owners.mapInArrow(fetch, "anchor long, digest long, own long, own_place long, content binary")
 
     def match(batches):
@@ -192,14 +204,25 @@ def repeated_spans(texts: DataFrame, id_col: str, text_col: str, table, window:
             yield solve()
 
     by_anchor = content.repartition("anchor").sortWithinPartitions("anchor")
-    found = by_anchor.mapInArrow(match, f"anchor long, digest long, spans {SPANS}")
+    found = by_anchor.mapInArrow(match, f"anchor long, digest long, spans {SPANS}").dropDuplicates(["anchor", "digest"])
     known = pieces.join(found, ["anchor", "digest"], "left").where("copies > 1 OR spans IS NOT NULL")
-    place = shared.join(all_salts(known.drop("copies")), ["anchor", "digest", "salt"])
+    place = shared.join(all_salts(known.drop("copies", "own_key")), ["anchor", "digest", "salt"])
     later = (F.col("id") > F.col("own")) | (F.lit(by_place) & (F.col("id") == F.col("own")) & (F.col("place") > F.col("own_place")))
     start, count = F.shiftright("place", 24).cast("int"), F.col("place").bitwiseAND(0xFFFFFF).cast("int")
     whole = F.array(F.struct(F.lit(0).alias("a"), (count + (window - 1)).cast("int").alias("b")))
-    place = place.select("id", start.alias("start"), F.when(later, whole).otherwise(F.col("spans")).alias("spans")).where("spans IS NOT NULL")
-    return place.groupBy("id").agg(F.collect_list(F.struct("start", "spans")).alias("covered"))
+    place = place.select("id", "key", start.alias("start"), F.when(later, whole).otherwise(F.col("spans")).alias("spans")).where("spans IS NOT NULL")
+    return place.groupBy("id", "key").agg(F.collect_set(F.struct("start", "spans")).alias("covered"))
+
+
+def keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`documents` with ids as long and KEY, a digest of the text."""
+    return documents.withColumn(id_col, F.col(id_col).cast("long")).withColumn(KEY, F.xxhash64(text_col))
+
+
+def with_covered(rest: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
+    """`rest` (with KEY) with the spans of each row as __covered."""
+    found = spans.select(F.col("id").alias("__id"), F.col("key").alias("__of"), F.col("covered").alias("__covered"))
+    return rest.join(found, (F.col(id_col) == F.col("__id")) & (F.col(KEY) == F.col("__of")), "left").drop("__id", "__of")
 
 
 def _binary(column: pa.Array):

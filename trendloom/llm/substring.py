@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom.llm.arrays import NOT_SPACE, slices, word_spans
-from trendloom.llm.repeats import covered_mask, repeated_spans, runs_per_piece
+from trendloom.llm.repeats import KEY, covered_mask, keyed, repeated_spans, runs_per_piece, with_covered
 
 
 class BitPlane:
@@ -145,16 +145,15 @@ def remove_repeated_words(documents: DataFrame, id_col: str = "doc_id", text_col
 
     Words are runs of bytes other than ASCII white space. A word covered by a `window`-word sequence that also starts in a row with a
     smaller id is removed. Null or blank text has no words and keeps the empty string. Repeats inside one row, and rows with equal ids,
-    never remove each other; rows that repeat an id count as one document, their spans clipped to each row. Rows without id neither match
-    nor change. Input columns of the names above are replaced. An empty table gives an empty result.
+    never remove each other; each text of a repeated id is cut by its own spans. Rows without id neither match nor change. Input columns of the names above are replaced. An empty table gives an empty result.
     """
-    documents = documents.withColumn(id_col, F.col(id_col).cast("long"))
-    spans = repeated_spans(documents.select(id_col, text_col), id_col, text_col, NOT_SPACE, window, anchor, match_words(window), False)
+    documents = keyed(documents, id_col, text_col)
+    spans = repeated_spans(documents.select(id_col, text_col, KEY), id_col, text_col, NOT_SPACE, window, anchor, match_words(window), False)
     new = ["kept", "n_words", "n_removed"]
     rest = documents.drop(*new)
-    old = rest.columns
-    joined = rest.join(spans.select(F.col("id").alias("__id"), F.col("covered").alias("__covered")), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    schema = T.StructType(rest.schema.fields + [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    old = [c for c in rest.columns if c != KEY]
+    joined = with_covered(rest, spans, id_col)
+    schema = T.StructType([f for f in rest.schema.fields if f.name != KEY] + [T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def strip(batches):
         for batch in batches:
