@@ -7,8 +7,9 @@ import public_tokenizers
 import pytest
 import tiktoken
 from llm_fixtures import awkward, documents  # noqa: F401
+from pyspark.sql import functions as F
 
-from trendloom.llm import byte_bpe, decontaminate, language, quality_net, quality_rules, toxicity, url_filter
+from trendloom.llm import byte_bpe, decontaminate, labelled, language, quality_net, quality_rules, toxicity, url_filter
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +96,30 @@ def test_toxicity_ignores_group_names(documents):
     assert toxicity.with_score(documents([]), model).count() == 0 and toxicity.train([])[2] == 0.0
 
 
+def test_inserted_group_names_keep_the_score_without_any_in_the_sample(documents):
+    rng = random.Random(19)
+    plain = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(12))
+    rows = [(f"{plain()} {'youngsters vermin' if i % 2 else 'gardens'} {plain()}.", i % 2) for i in range(300)]
+    pairs = toxicity.counterfactuals([t for t, _ in rows])
+    assert len(pairs) > 300 and all(a != b for a, b in pairs)
+    gap = lambda m: sum(abs(a - b) for a, b in zip(*[[r["score"] for r in toxicity.with_score(documents(list(enumerate(side))), m).orderBy("doc_id").collect()] for side in zip(*pairs)]))
+    assert gap(toxicity.train(rows)) < 0.5 * gap(toxicity.train(rows, penalty=0.0))  # "young" shares its beginning with a toxic word
+
+
+def test_bounded_sample_of_labelled_rows(spark, documents):
+    docs = documents([(i, f"text {i} " * (1 + i % 5)) for i in range(3000)] + [(7, "again")] * 500 + [(None, "x"), (5000, None)])
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(3000)] + [(20, 0), (None, 1), (30, None), (5000, 1)], "doc_id long, toxic int")
+    take = lambda n, **more: labelled.sample_per_label(docs, marks, "toxic", "doc_id", "text", F.col("doc_id") % 3 != 1, n, **more)
+    rows = take((100, 50))
+    assert rows == take((100, 50)) and 80 <= sum(y == 0 for _, y in rows) <= 100 and 40 <= sum(y for _, y in rows) <= 50
+    assert all(int(t.split()[1]) % 10 == (0 if y else int(t.split()[1]) % 10) and int(t.split()[1]) % 3 != 1 for t, y in rows)
+    everything = take((10**6, 10**6))
+    assert sum(y for _, y in everything) == 200 and sum(y == 0 for _, y in everything) == 1800
+    small = take((10**6, 10**6), most_bytes=900)
+    assert small and all(sum(len(t) for t, z in small if z == y) <= 900 for y in (0, 1))
+    assert take((100, 50))[:5] == rows[:5] and labelled.sample_per_label(docs.limit(0), marks, "toxic", "doc_id", "text", F.lit(True), (5, 5)) == []
+
+
 def test_quality_network_learns_and_reads_whole_texts(documents):
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))

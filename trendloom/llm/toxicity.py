@@ -1,21 +1,26 @@
 """Operator 6, counterfactual-regularised toxicity classifier.
 
 A logistic model over words and word beginnings is trained on a bounded sample. Every labelled sentence with an identity term is also seen
-with the term swapped for another of its kind, and the squared change of the score is penalised, so group names carry no weight of their own.
+with the term swapped for another of its kind; labelled sentences without one are also seen with a term put in, and with the term swapped
+there, the label unchanged. The squared change of the score is penalised, so group names carry no weight of their own.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendloom.llm.arrays import ALNUM, LOWER, hash_spans, mix, slices, word_spans
+from trendloom.llm.arrays import ALNUM, LOWER, SLICE_BYTES, hash_spans, mix, slices, word_spans
 from trendloom.llm.labelled import fold, sample_per_label
 
-PER_LABEL = (2500, 1400)  # clean and toxic rows the model learns from at most
+PER_LABEL = (4000, 4000)  # clean and toxic rows the model learns from at most
+SENTENCES = 4000  # labelled sentences that give counterfactuals at most
 FEATURES = 1500
 SURE = 4.5  # root of the likelihood ratio statistic, above chance for some hundred thousand candidate features
 BEGINNING = 5
@@ -68,25 +73,54 @@ def swapped(sentence: str) -> list[str]:
     return out
 
 
+def counterfactuals(texts: list[str], most: int = SENTENCES) -> list[tuple[str, str]]:
+    """(sentence, sentence that should score alike): identity terms swapped where there are some, else put in and swapped.
+
+    Sentences are taken by a hash of their text, at most `most`; the term's group and place follow from the same hash.
+    """
+    hashed = lambda: ((zlib.crc32(s.encode()), s) for text in texts for s in re.split(r"[.!?\n]", text) if s.strip())
+    hashes = np.unique(np.fromiter((h for h, _ in hashed()), dtype=np.uint32))
+    last = hashes[min(most, len(hashes)) - 1] if len(hashes) else 0
+    pairs = []
+    for h, s in sorted({(h, s) for h, s in hashed() if h <= last}):
+        words, group = s.split(), IDENTITY_TERMS[h % len(IDENTITY_TERMS)]
+        changed = swapped(s)
+        if not changed:
+            at = h // 64 % (len(words) + 1)
+            changed = [" ".join([*words[:at], group[(h // 8 + k) % len(group)], *words[at:]]) for k in range(2)]
+        pairs += [(s, t) for t in changed]
+        if len(changed) > 1:
+            pairs.append((changed[0], changed[1]))
+    return pairs
+
+
+def feature_counts(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature hashes, sorted, with the number of toxic and of clean texts that hold each; slice by slice, repeats within a text count once."""
+    names, counts = np.zeros(0, np.uint64), np.zeros((2, 0))
+    for lo, _, buf, offs in slices(pa.array(texts, pa.string()), 4 * SLICE_BYTES):
+        row, value = features(buf, offs)
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+        some, code = np.unique(value[new], return_inverse=True)
+        bad = np.bincount(code, weights=y[lo + row[new]], minlength=len(some))
+        both = np.stack((bad, np.bincount(code, minlength=len(some)) - bad))
+        joint, code = np.unique(np.concatenate((names, some)), return_inverse=True)
+        old, names = counts, joint
+        counts = np.zeros((2, len(joint)))
+        counts[:, code[: old.shape[1]]] += old
+        counts[:, code[old.shape[1] :]] += both
+    return names, counts[0], counts[1]
+
+
 def train(rows: list[tuple[str, int]], n_features: int = FEATURES, penalty: float = 5.0, decay: float = 3e-5, steps: int = 200):
     """(sorted feature hashes, weights, bias) from (text, label) rows; no rows of one label give a constant score."""
     y = np.array([r[1] for r in rows], dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return np.zeros(1, np.uint64), np.zeros(1, np.float32), 0.0 if not len(y) else (4.0 if y[0] else -4.0)
     texts = [r[0] for r in rows]
-    seen_row, seen = [], []
-    for lo, hi, buf, offs in slices(pa.array(texts, pa.string())):
-        row, value = features(buf, offs)
-        order = np.lexsort((value, row))
-        row, value = row[order], value[order]
-        new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-        seen_row.append(lo + row[new])
-        seen.append(value[new])
-    row, value = np.concatenate(seen_row), np.concatenate(seen)
-    names, code = np.unique(value, return_inverse=True)
-    pos = np.bincount(code, weights=y[row], minlength=len(names))
-    neg = np.bincount(code, minlength=len(names)) - pos
+    names, pos, neg = feature_counts(texts, y)
     share, n = y.mean(), pos + neg
     with np.errstate(divide="ignore", invalid="ignore"):
         g = np.where(pos > 0, pos * np.log(pos / (n * share)), 0) + np.where(neg > 0, neg * np.log(neg / (n * (1 - share))), 0)
@@ -96,16 +130,16 @@ def train(rows: list[tuple[str, int]], n_features: int = FEATURES, penalty: floa
     terms = [np.unique(features(b, o)[1]) for _, _, b, o in slices(pa.array([w for g in IDENTITY_TERMS for w in g], pa.string()))]
     known = np.unique(np.concatenate([names[best], *terms]))
     x = present(texts, known)
-    pairs = [(s, t) for text in texts for s in text.replace("!", ".").replace("?", ".").replace("\n", ".").split(".") if any(w in s.lower() for g in IDENTITY_TERMS for w in g) for t in swapped(s)] if _mentions(texts) else []
-    delta = present([t for _, t in pairs], known) - present([s for s, _ in pairs], known) if pairs else np.zeros((0, len(known)), np.float32)
+    pairs, pull = counterfactuals(texts) if penalty else [], np.zeros((len(known), len(known)), np.float32)
+    for i in range(0, len(pairs), 1000):
+        delta = present([t for _, t in pairs[i : i + 1000]], known) - present([s for s, _ in pairs[i : i + 1000]], known)
+        pull += delta.T @ delta * (2 * penalty / len(pairs))
     w, b = np.zeros(len(known), np.float32), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())).astype(np.float32)
     for step in range(1, steps + 1):
         g = (1 / (1 + np.exp(-(x @ w + b))) - y) * weight
-        gw, gb = x.T @ g + decay * w, float(g.sum())
-        if len(delta):
-            gw += (2 * penalty / len(delta)) * (delta.T @ (delta @ w))
+        gw, gb = x.T @ g + decay * w + pull @ w, float(g.sum())
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 0.1
@@ -114,11 +148,6 @@ def train(rows: list[tuple[str, int]], n_features: int = FEATURES, penalty: floa
     return known, w.astype(np.float32), float(b)
 
 
-def _mentions(texts: list[str]) -> bool:
-    words = {w for g in IDENTITY_TERMS for w in g}
-    return any(words.intersection(t.lower().split()) for t in texts)
-
-
 def with_score(documents: DataFrame, model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Input rows with the probability that the text is toxic. Null and empty texts get the score of no words.
 
