@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from trendloom.llm import byte_bpe, decontaminate, exact_substring, language, near_dedup, quality_net, quality_rules, substring, toxicity, url_filter
+from trendloom.llm import byte_bpe, decontaminate, exact_substring, language, mixing, near_dedup, quality_net, quality_rules, substring, toxicity, url_filter
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -28,9 +28,10 @@ def queries() -> dict[str, Build]:
         "op8_url_filter": lambda s, d: url_filter.filter_urls(table(s, d, "pages")),
         "op9_quality_rules": lambda s, d: quality_rules.verdict_rows(table(s, d, "documents")),
         "op10_byte_bpe": lambda s, d: byte_bpe.digest_rows(table(s, d, "documents")),
+        "op11_source_mix": lambda s, d: mixing.taken_rows(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality_rules.ORACLE}
+    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op11_source_mix": mixing.ORACLE}
