@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from trendloom.llm import byte_bpe, decontaminate, exact_substring, language, mixing, near_dedup, quality_net, quality_rules, spelling, substring, toxicity, url_filter
+from trendloom.llm import byte_bpe, decontaminate, exact_substring, language, lexical_search, mixing, near_dedup, quality_net, quality_rules, spelling, substring, toxicity, url_filter
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -30,9 +30,10 @@ def queries() -> dict[str, Build]:
         "op10_byte_bpe": lambda s, d: byte_bpe.digest_rows(table(s, d, "documents")),
         "op11_source_mix": lambda s, d: mixing.taken_rows(table(s, d, "documents")),
         "op12_spelling_variants": lambda s, d: spelling.variant_groups(table(s, d, "documents")),
+        "op13_ranked_search": lambda s, d: lexical_search.ranked_rows(table(s, d, "documents"), table(s, d, "benchmark")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op11_source_mix": mixing.ORACLE, "op12_spelling_variants": spelling.ORACLE}
+    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op9_quality_rules": quality_rules.ORACLE, "op11_source_mix": mixing.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_ranked_search": lexical_search.ORACLE}
