@@ -19,6 +19,7 @@ SHINGLE = 5
 BANDS = 72
 ROWS = 8
 BLOCK = 1000
+SKETCH_BYTES = 1 << 18  # of text a task draws arrivals for at once
 
 
 def shingles_of(buf: np.ndarray, offs: np.ndarray):
@@ -89,7 +90,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, counts: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = ids_of(batch.column(0))
-            for lo, hi, buf, offs in slices(batch.column(1)):
+            for lo, hi, buf, offs in slices(batch.column(1), SKETCH_BYTES):
                 row, value, count, words, digest = shingles_of(buf, offs)
                 sig = signatures(row, value, count.astype(np.float64) if counts else np.ones(len(row)), hi - lo, bands * rows)
                 second = np.zeros(hi - lo, dtype=np.uint64)
@@ -112,7 +113,7 @@ def shingle_sets(docs: DataFrame, slots: int, counts: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = ids_of(batch.column(0))
-            for lo, hi, buf, offs in slices(batch.column(1)):
+            for lo, hi, buf, offs in slices(batch.column(1), SKETCH_BYTES):
                 row, value, count, _, _ = shingles_of(buf, offs)
                 cut = np.searchsorted(row, np.arange(hi - lo + 1))
                 weight = count.astype(np.float64) if counts else np.ones(len(row))
