@@ -3,9 +3,9 @@
 Words at one inserted, deleted or replaced code point are found through their bigrams, ordered from rare to frequent. A word's prefix is its
 three rarest bigrams (with all that are as rare as the third); two disjoint ones of least frequency, chosen by dynamic programming, are its
 pivots. One edit leaves a pivot whole, and of two near words at least one has a whole pivot in the other's prefix, so pivots are looked up
-among prefixes in both directions. Position limits: an edit behind the first pivot leaves everything up to that pivot's end in place, any
-other edit leaves everything from the second pivot's start in place counted from the end; so the first pivot is looked up with the text
-before it and the second with the text behind it, lengths differing by one at most. Found pairs are verified by their edit distance.
+among prefixes in both directions. Position limits: the edit stands before, in, between, in or behind the two pivots, and each of these five
+places leaves a known stretch beside a whole pivot, and the word's other end, as they are. A pivot is looked up with that stretch up to the
+word's near end and with letters of the far end. Found pairs are verified by their edit distance.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ LEAST_CHARS = 5
 LEAST_COUNT = 3
 DAMAGE = 97
 FLUSH_WORDS = 400_000
+#: (letters beside the pivot, letters of the far end) that a look-up may use, the strongest first.
+REACHES = ((2, 2), (2, 0), (0, 2), (1, 1), (0, 0))
 #: Bytes of A-Z and a-z; the code points U+00C0 to U+00FF are 0xC3 and one byte more.
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -90,31 +92,57 @@ def prefix_and_pivots(word: str, ranks: dict[str, tuple[int, int]]) -> tuple[lis
     return prefix, best[1:]
 
 
-def keyed_words(words: DataFrame) -> DataFrame:
-    """(word, n, side, piece, role): `piece` is a bigram with all before it (side L) or all behind it (side R); role 0 of prefixes, 1 of pivots."""
+def with_grams(words: DataFrame) -> DataFrame:
+    """(word, n, prefix, first, second): positions of the prefix bigrams and of the two pivots."""
     ranks = words.sparkSession.sparkContext.broadcast(gram_ranks(words))
 
-    def keys(batches):
+    def choose(batches):
         for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                prefix, (first, second) = prefix_and_pivots(word, ranks.value)
-                for role, sides in ((0, [("L", i) for i in prefix] + [("R", i) for i in prefix]), (1, [("L", first), ("R", second)])):
-                    for side, i in sides:
-                        for column, value in zip(rows, (word, n, side, word[: i + 2] if side == "L" else word[i:], role)):
-                            column.append(value)
-            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["word", "n", "side", "piece", "role"])
+            chosen = [prefix_and_pivots(word, ranks.value) for word in batch.column("word").to_pylist()]
+            positions = pa.array([c[0] for c in chosen], pa.list_(pa.int32())), *(pa.array([c[1][k] for c in chosen], pa.int32()) for k in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), *positions], names=["word", "n", "prefix", "first", "second"])
 
-    return words.mapInArrow(keys, "word string, n long, side string, piece string, role int")
+    return words.mapInArrow(choose, "word string, n long, prefix array<int>, first int, second int")
+
+
+def key_of(side: str, at: str, more: str, far: str) -> str:
+    """SQL: the bigram at position `at` with `more` letters towards the word's middle, all to its near end on `side`, and `far` letters of the other end."""
+    if side == "L":
+        return f"concat('L', left(word, {at} + 2 + {more}), '|', right(word, {far}))"
+    return f"concat('R', left(word, {far}), '|', substring(word, {at} + 1 - ({more})))"
+
+
+def prefix_keys(grams: DataFrame) -> DataFrame:
+    """(key, other, other_n): everything under which a word's prefix bigrams can be looked up."""
+    keys = [
+        f"CASE WHEN {room} >= {more} THEN {key_of(side, 'g', str(more), str(far))} END"
+        for side, room in (("L", "length(word) - g - 2"), ("R", "g"))
+        for more, far in REACHES
+    ]
+    every = F.expr(f"explode(array_distinct(array_compact(flatten(transform(prefix, g -> array({', '.join(keys)}))))))")
+    return grams.select(every.alias("key"), F.col("word").alias("other"), F.col("n").alias("other_n"))
+
+
+def pivot_keys(grams: DataFrame) -> DataFrame:
+    """(key, word, n): one look-up for each place the edit can have: behind, before, between, in the second, in the first pivot."""
+
+    def best(side: str, at: str, room: str, end: str) -> str:
+        keys = "".join(f" WHEN {room} >= {more} AND {end} >= {far} THEN {key_of(side, at, str(more), str(far))}" for more, far in REACHES)
+        return f"CASE{keys} END"
+
+    gap = "second - first - 2"
+    keys = [
+        key_of("L", "second", "0", "0"), key_of("R", "first", "0", "0"), key_of("L", "first", "0", "2"),
+        best("L", "first", gap, "length(word) - second - 2"), best("R", "second", gap, "first"),
+    ]
+    return grams.select(F.expr(f"explode(array_distinct(array({', '.join(keys)})))").alias("key"), "word", "n")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n), a < b: all pairs of `words` (word, n) that differ by exactly one code point."""
-    keyed = stored(keyed_words(words), "grams")
-    prefixes = keyed.where("role = 0").select("side", "piece", F.col("word").alias("other"), F.col("n").alias("other_n"))
+    grams = stored(with_grams(words), "grams")
     near = (F.abs(F.length("word") - F.length("other")) <= 1) & (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)
-    met = keyed.where("role = 1").join(prefixes, ["side", "piece"]).where(near)
+    met = pivot_keys(grams).join(prefix_keys(grams), "key").where(near)
     first = F.col("word") < F.col("other")
     pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
     return met.select(pick("word", "other", "a"), pick("n", "other_n", "a_n"), pick("other", "word", "b"), pick("other_n", "n", "b_n")).distinct()
