@@ -1,8 +1,5 @@
-import itertools
-import random
 from datetime import date
 
-import numpy as np
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -48,39 +45,6 @@ def test_calibration_leaves_single_rows(table):
     assert rows_of(G.calibrate(many), "trend_id", "impact", "urgency") == [(1, 3.2, 3.2), (2, 6.4, 6.4), (3, 9.5, 9.5)]
 
 
-def brute_force(gain):
-    n, m = gain.shape
-    if n > m:
-        return max(sum(gain[r, c] for c, r in enumerate(p)) for p in itertools.permutations(range(n), m))
-    return max(sum(gain[r, c] for r, c in enumerate(p)) for p in itertools.permutations(range(m), n))
-
-
-def test_assignment_is_optimal():
-    rnd = np.random.default_rng(1)
-    for _ in range(150):
-        n, m = sorted(rnd.integers(1, 7, 2))
-        gain = np.round(rnd.random((n, m)), 2)
-        cols = M.best_assignment(gain)
-        assert len(set(cols)) == n and (cols >= 0).all()
-        assert gain[np.arange(n), cols].sum() == pytest.approx(brute_force(gain))
-
-
-def test_one_to_one_over_many_runs(table):
-    rnd = random.Random(2)
-    rows, best = [], {}
-    for run in range(12):
-        n, m = rnd.randint(1, 5), rnd.randint(1, 6)
-        gain = np.array([[round(rnd.random(), 3) for _ in range(m)] for _ in range(n)])
-        rows += [(run, f"c{r}", f"k{c}", "active", float(gain[r, c])) for r in range(n) for c in range(m)]
-        best[run] = (brute_force(gain), min(n, m))
-    got = {}
-    for run, cur, known, score in rows_of(M.one_to_one(table(rows, PAIRS)), "run_id", "cur", "known", "score"):
-        got.setdefault(run, []).append((cur, known, score))
-    for run, pairs in got.items():
-        assert sum(p[2] for p in pairs) == pytest.approx(best[run][0]) and len(pairs) == best[run][1]
-        assert len({p[0] for p in pairs}) == len({p[1] for p in pairs}) == len(pairs)
-
-
 def test_match_reasons(table):
     scores = table([
         (1, "a", "x", "active", 0.9), (1, "a", "y", "active", 0.2), (1, "b", "x", "active", 0.1), (1, "b", "y", "active", 0.95),

@@ -70,7 +70,7 @@ PAIRS_SQL = f"""{CENTROID_SQL},
     mg AS (SELECT *, score - coalesce((SELECT max(o.score) FROM st o WHERE o.run_id = st.run_id AND o.cur = st.cur AND o.known <> st.known), 0.0) AS margin FROM st)"""
 
 
-def scores(m):
+def scores(m, strongest=False):
     cen = V.topic_centroids(m.run_docs)
     keywords = F.array(*[F.expr(word(x)) for x in ("topic_index", "topic_index * 3", "topic_index + run_id")])
     topics = cen.withColumn("keywords", keywords)
@@ -81,7 +81,8 @@ def scores(m):
         return df.withColumnRenamed("run_id", "previous_run_id").join(runs, "previous_run_id").drop("previous_run_id").withColumnRenamed("topic_index", "known")
 
     known = offered(topics).withColumn("status", F.when(F.col("known") % 4 == 3, "rejected").otherwise("active"))
-    return M.pair_scores(topics.withColumnRenamed("topic_index", "cur"), known, docs.withColumnRenamed("topic_index", "cur"), offered(docs))
+    pairs = M.strongest_pairs if strongest else M.pair_scores
+    return pairs(topics.withColumnRenamed("topic_index", "cur"), known, docs.withColumnRenamed("topic_index", "cur"), offered(docs))
 
 
 @catalog.add("h2_pair_scores", f"WITH {PAIRS_SQL} SELECT run_id, cur, known, status, round(score, 6) AS score FROM s")
@@ -89,9 +90,39 @@ def h2(m):
     return scores(m).withColumn("score", F.round("score", 6))
 
 
-@catalog.add("h3_one_to_one")
+# Best assignments of a run by dynamic programming over the set of entries taken, one topic after the other; nine topics at most.
+STEPS = 9
+BEST_SQL = "b0 AS (SELECT DISTINCT run_id, 0 AS taken, 0e0 AS total, CAST([] AS STRUCT(cur BIGINT, known BIGINT)[]) AS pairs FROM s), " + ", ".join(
+    f"""b{k + 1} AS (SELECT run_id, taken, max(total) AS total, arg_max(pairs, total) AS pairs FROM (SELECT run_id, taken, total, pairs FROM b{k}
+        UNION ALL SELECT b.run_id, b.taken | (1 << s.known::INT), b.total + s.score, list_append(b.pairs, {{'cur': s.cur::BIGINT, 'known': s.known::BIGINT}})
+            FROM b{k} b JOIN s ON s.run_id = b.run_id AND s.cur = {k} AND (b.taken >> s.known::INT) & 1 = 0) GROUP BY run_id, taken)"""
+    for k in range(STEPS)
+)
+BEST_SQL += f", best AS (SELECT run_id, max(total) AS total, arg_max(pairs, total) AS pairs FROM b{STEPS} GROUP BY run_id), won AS (SELECT run_id, unnest(pairs) AS p FROM best)"
+
+
+@catalog.add(
+    "h3_one_to_one",
+    f"""WITH {PAIRS_SQL}, {BEST_SQL}, given AS (SELECT run_id, p.cur AS cur, p.known AS known FROM won),
+        typed AS (SELECT mg.run_id, mg.cur, mg.known, score, margin, CASE WHEN status = 'rejected' THEN 'matched_rejected' WHEN score < 0.62 THEN 'below_match_threshold'
+            WHEN margin < 0.08 THEN 'ambiguous_margin' END AS reason FROM mg JOIN given g ON g.run_id = mg.run_id AND g.cur = mg.cur AND g.known = mg.known WHERE score >= 0.5
+        UNION ALL SELECT run_id, cur, known, score, 0e0, 'split_candidate' FROM mg
+            WHERE rk = 1 AND score >= 0.5 AND NOT EXISTS (SELECT 1 FROM given g WHERE g.run_id = mg.run_id AND g.cur = mg.cur))
+        SELECT run_id, cur, known, round(score, 6) AS score, round(margin, 6) AS margin, reason FROM typed""",
+)
 def h3(m):
-    return M.match_run(scores(m))
+    return M.match_run(scores(m, strongest=True)).withColumns({c: F.round(c, 6) for c in ("score", "margin")})
+
+
+@catalog.add(
+    "h3_assignment_total",
+    f"WITH {PAIRS_SQL}, {BEST_SQL} SELECT run_id, CAST(len(pairs) AS BIGINT) AS n_pairs, CAST(len(pairs) AS BIGINT) AS n_topics, CAST(len(pairs) AS BIGINT) AS n_entries, round(total, 5) AS total FROM best",
+)
+def h3_total(m):
+    """One-to-one pairs per run: as many different topics and entries as pairs, and the highest total score."""
+    return M.one_to_one(scores(m, strongest=True)).groupBy("run_id").agg(
+        F.count("*").alias("n_pairs"), F.count_distinct("cur").alias("n_topics"), F.count_distinct("known").alias("n_entries"), F.round(F.sum("score"), 5).alias("total")
+    )
 
 
 @catalog.add(

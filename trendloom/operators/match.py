@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +15,10 @@ from trendloom.constants import (
     REVIEW_THRESHOLD,
     SCORE_FIELDS,
 )
+from trendloom.functions.tables import written
 from trendloom.functions.text import fold_case
-from trendloom.functions.vectors import cosine
-from trendloom.session import ensure_checkpoint_dir
-
-PAIR = ["run_id", "cur", "known"]
+from trendloom.operators.assignment import auction
+from trendloom.operators.pairs import PAIR, scored
 
 
 # ---------------------------------------------------------------- candidates and scores
@@ -38,82 +35,18 @@ def match_candidates(canonicals: DataFrame, occurrences: DataFrame, trends: Data
     return found.join(topics, "trend_id")
 
 
-def jaccard(both: Column, left: Column, right: Column) -> Column:
-    union = left + right - both
-    return F.when(union > 0, both / union).otherwise(0.0)
-
-
 def pair_scores(current: DataFrame, known: DataFrame, current_docs: DataFrame, known_docs: DataFrame) -> DataFrame:
-    """Similarity of every topic of a run with every candidate offered to that run.
-
-    current/known: run_id, cur or known, centroid, keywords (and status for known); docs: run_id, key, doc_id.
-    Topics of a run are few, so pairs grow with the portfolio only. Document overlaps come from an
-    equi-join on the document and never from comparing sets.
-    """
-    sizes = lambda docs, key, name: docs.groupBy("run_id", key).agg(F.count("*").alias(name))
-    both = current_docs.join(known_docs, ["run_id", "doc_id"]).groupBy(*PAIR).agg(F.count("*").alias("n_both"))
-    cur = current.join(sizes(current_docs, "cur", "n_cur"), ["run_id", "cur"], "left")
-    kno = known.join(sizes(known_docs, "known", "n_known"), ["run_id", "known"], "left")
-    cur = cur.select("run_id", "cur", "n_cur", F.col("centroid").alias("v"), F.array_distinct("keywords").alias("kv"))
-    kno = kno.select("run_id", "known", "n_known", "status", F.col("centroid").alias("w"), F.array_distinct("keywords").alias("kw"))
-    pairs = cur.join(kno, "run_id").join(both, PAIR, "left").na.fill(0, ["n_both", "n_cur", "n_known"])
-    words_both = F.size(F.array_intersect("kv", "kw"))
-    score = (
-        0.65 * F.greatest(F.lit(0.0), cosine(F.col("v"), F.col("w")))
-        + 0.20 * jaccard(F.col("n_both"), F.col("n_cur"), F.col("n_known"))
-        + 0.15 * jaccard(words_both, F.size("kv"), F.size("kw"))
-    )
-    return pairs.select(*PAIR, "status", score.alias("score"))
+    """Similarity of every topic of a run with every candidate offered to that run; see `pairs.scored`."""
+    return scored(current, known, current_docs, known_docs)
 
 
-def best_assignment(gain: np.ndarray) -> np.ndarray:
-    """Column per row (-1 for none) of a one-to-one assignment with the highest total gain.
+def strongest_pairs(current: DataFrame, known: DataFrame, current_docs: DataFrame, known_docs: DataFrame) -> DataFrame:
+    """Of every topic its strongest candidates, as many as its run has topics and two at least: all that matching needs.
 
-    Successive cheapest augmenting paths with dual prices; rows must not outnumber columns.
+    Some best assignment gives each of a run's R topics one of its R strongest candidates: if a topic used a weaker one, at least one of
+    its R strongest would be free and could replace it. Two give the margin.
     """
-    n, m = gain.shape
-    cost = gain.max() - gain
-    row_price, col_price = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
-    for start in range(n):
-        reach, via = np.full(m, np.inf), np.full(m, -1)
-        done = np.zeros(m, dtype=bool)
-        row, base, last = start, 0.0, -1
-        while True:
-            offer = base + cost[row] - row_price[row] - col_price
-            better = ~done & (offer < reach)
-            reach[better], via[better] = offer[better], last
-            nearest = int(np.argmin(np.where(done, np.inf, reach)))
-            done[nearest], base, last = True, reach[nearest], nearest
-            if owner[nearest] < 0:
-                break
-            row = owner[nearest]
-        row_price[start] += base
-        for col in np.flatnonzero(done):
-            if owner[col] >= 0:
-                row_price[owner[col]] += base - reach[col]
-            col_price[col] -= base - reach[col]
-        while last >= 0:
-            owner[last] = start if via[last] < 0 else owner[via[last]]
-            last = via[last]
-    chosen = np.full(n, -1)
-    chosen[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
-    return chosen
-
-
-def _assign_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["cur", "known"])
-    rows, cols = pdf["cur"].unique(), pdf["known"].unique()
-    matrix = np.full((len(rows), len(cols)), -1.0)
-    matrix[pd.Index(rows).get_indexer(pdf["cur"]), pd.Index(cols).get_indexer(pdf["known"])] = pdf["score"]
-    if len(rows) <= len(cols):
-        chosen = best_assignment(matrix)
-        pairs = [(r, c) for r, c in enumerate(chosen) if c >= 0]
-    else:
-        pairs = [(r, c) for c, r in enumerate(best_assignment(matrix.T)) if r >= 0]
-    return pd.DataFrame({
-        "run_id": pdf["run_id"].iloc[0], "cur": [rows[r] for r, _ in pairs], "known": [cols[c] for _, c in pairs],
-    })
+    return scored(current, known, current_docs, known_docs, strongest=True)
 
 
 def with_row_statistics(scores: DataFrame) -> DataFrame:
@@ -129,26 +62,32 @@ def with_row_statistics(scores: DataFrame) -> DataFrame:
 
 
 def one_to_one(scores: DataFrame) -> DataFrame:
-    """Pairs of the assignment with the highest total score of every run.
+    """Pairs of the assignment with the highest total score of every run; `scores` may hold the strongest pairs only.
 
-    Some best assignment gives each of a run's R topics one of its R strongest candidates: if a topic
-    used a weaker one, at least one of its R strongest would be free and could replace it. So each
-    run solves at most R x R cells, whatever the size of the portfolio, and runs solve in parallel.
+    Where a run has more topics than candidates the candidates choose, so the fewer always get a partner each.
     """
-    n_rows = scores.groupBy("run_id").agg(F.count_distinct("cur").alias("n_rows"))
-    ranked = with_row_statistics(scores).join(n_rows, "run_id")
-    strong = ranked.where(F.col("rank") <= F.col("n_rows")).select(*PAIR, "score")
-    key_type = scores.schema["cur"].dataType.simpleString()
-    known_type = scores.schema["known"].dataType.simpleString()
-    chosen = strong.groupBy("run_id").applyInPandas(_assign_group, f"run_id bigint, cur {key_type}, known {known_type}")
-    return chosen.join(ranked.drop("n_rows"), PAIR)
+    ranked = with_row_statistics(scores)
+    sides = scores.groupBy("run_id").agg(F.count_distinct("cur").alias("n_cur"), F.count_distinct("known").alias("n_known"))
+    strong = ranked.join(sides, "run_id").where("rank <= n_cur")
+    turned = F.col("n_cur") > F.col("n_known")
+    side = lambda a, b: F.when(turned, F.col(a).cast("string")).otherwise(F.col(b).cast("string"))
+    chosen = auction(strong.select("run_id", side("known", "cur").alias("topic"), side("cur", "known").alias("entry"), "score")).join(sides, "run_id")
+    pairs = chosen.select(
+        "run_id", side("entry", "topic").cast(scores.schema["cur"].dataType).alias("cur"), side("topic", "entry").cast(scores.schema["known"].dataType).alias("known")
+    )
+    return ranked.join(pairs, PAIR, "left_semi")
 
 
 def mutual_best(scores: DataFrame) -> DataFrame:
-    """Pairs that are each other's best choice: one parallel greedy round without Python workers."""
-    ranked = with_row_statistics(scores)
-    column = Window.partitionBy("run_id", "known").orderBy(F.desc("score"), "cur")
-    return ranked.withColumn("col_rank", F.row_number().over(column)).where("rank = 1 AND col_rank = 1").drop("col_rank")
+    """Pairs that are each other's best choice: one parallel greedy round of partial aggregates, without windows."""
+    order = F.struct((-F.col("score")).alias("less"), F.col("known"), F.col("status"))
+    rows = scores.groupBy("run_id", "cur").agg(F.min(order).alias("best"))
+    columns = scores.groupBy("run_id", "known").agg(F.min(F.struct((-F.col("score")).alias("less"), F.col("cur"))).alias("choice"))
+    rest = scores.join(rows.select("run_id", "cur", F.col("best.known").alias("best_known")), ["run_id", "cur"]).where("known <> best_known")
+    second = rest.groupBy("run_id", "cur").agg(F.max("score").alias("second"))
+    best = rows.select("run_id", "cur", "best.known", "best.status", (-F.col("best.less")).alias("score")).join(second, ["run_id", "cur"], "left")
+    mutual = best.join(columns, ["run_id", "known"]).where("choice.cur = cur")
+    return mutual.select(*PAIR, "status", "score", F.lit(1).alias("rank"), (F.col("score") - F.coalesce("second", F.lit(0.0))).alias("margin"))
 
 
 def match_reasons(
@@ -175,10 +114,9 @@ def split_candidates(scores: DataFrame, assigned: DataFrame, review_threshold: f
 
 
 def match_run(scores: DataFrame) -> DataFrame:
-    """All matches of all runs; the small score table is stored once because four steps read it."""
-    ensure_checkpoint_dir(scores.sparkSession)
-    scores = scores.checkpoint()
-    assigned = one_to_one(scores)
+    """All matches of all runs; the score table is stored once because four steps read it."""
+    scores = written(scores, "scores")
+    assigned = written(one_to_one(scores), "assigned")
     return match_reasons(assigned).unionByName(split_candidates(scores, assigned))
 
 

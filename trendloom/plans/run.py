@@ -156,7 +156,7 @@ def execute_run(raw: DataFrame, state: dict[str, DataFrame], run_id: int, day: d
     shown = candidates.select(F.lit(run_id).cast("bigint").alias("run_id"), F.col("canonical_id").alias("known"), "status", "topic_id", "keywords")
     offered = shown.join(state["topics"].select("topic_id", "centroid"), "topic_id")
     past_docs = state["run_documents"].where("NOT is_outlier").select("topic_id", "doc_id")
-    pairs = M.pair_scores(
+    pairs = M.strongest_pairs(
         assessed.select("run_id", F.col("trend_id").alias("cur"), "centroid", F.transform("keywords", fold_case).alias("keywords")), offered,
         inside.select("run_id", F.col("topic_id").alias("cur"), "doc_id"), shown.join(past_docs, "topic_id").select("run_id", "known", "doc_id"),
     )
