@@ -205,7 +205,54 @@ def test_resolve_run(table):
         C.resolve_run(runs, members, 2)
 
 
-def test_run_export_roundtrip(spark, table, tmp_path):
-    df = table([(1, "a"), (2, "b")], "run_id long, v string")
-    dumps.write_run_export(df, df, df, str(tmp_path / "out"))
-    assert rows_of(spark.read.json(str(tmp_path / "out" / "manifest")), "run_id", "v") == [(1, "a"), (2, "b")]
+def test_run_export_commits_last(spark, table, tmp_path):
+    path = str(tmp_path / "out")
+    one, two = (table([(1, v), (2, "b")], "run_id long, v string") for v in ("a", "z"))
+    with pytest.raises(ValueError, match="no committed"):
+        dumps.read_run_export(spark, path, "manifest", "run_id long, v string")
+    dumps.write_run_export({"corpus": one, "manifest": one}, path)
+    broken = two.withColumn("v", F.when(F.col("run_id") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        dumps.write_run_export({"corpus": two, "manifest": broken}, path)
+    read = lambda: rows_of(dumps.read_run_export(spark, path, "corpus", "run_id long, v string"), "run_id", "v")
+    assert read() == [(1, "a"), (2, "b")]  # the failed attempt wrote its corpus, but never its mark
+    dumps.write_run_export({"corpus": two, "manifest": two}, path)
+    assert read() == [(1, "z"), (2, "b")] and len(dumps.committed_versions(spark, path)) == 2
+
+
+def test_sections_that_cross_splits(spark, tmp_path):
+    lines = ["COPY public.topic (id, label) FROM stdin;", *[f"{i}\tlabel {i}" for i in range(4000)], "\\.", "noise", "COPY public.hidden (id) FROM stdin;", "7", "\\."]
+    (tmp_path / "d.sql").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = dumps.read_dump_lines(spark, str(tmp_path))
+        sections = dumps.copy_sections(read)
+        assert sections.where("table_name = 'topic'").count() > 10 and sections.where("table_name = 'hidden'").count() == 1
+        rows = dumps.copy_block_rows(read)
+        assert rows.groupBy("table_name").count().orderBy("table_name").collect() == [("hidden", 1), ("topic", 4000)]
+        assert rows.where("table_name = 'topic' AND row['label'] <> concat('label ', row['id'])").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_hot_landing_page_is_split(table):
+    rnd = random.Random(6)
+    docs = [(i, f"id{i}", None, "url-hot" if i % 3 == 0 else f"u{rnd.randint(0, 800)}", f"h{rnd.randint(0, 900)}") for i in range(3000)]
+    df = table(docs, "seq long, normalized_identity string, doi string, canonical_url string, content_hash string").repartition(5)
+    df = df.withColumns({"external_id": F.lit(None).cast("string"), "source_name": F.lit("s"), "source_type": F.lit("t")})
+    keys = [(d[0], [f"{t}{v}" for t, v in zip("iduh", d[1:]) if v]) for d in docs]
+    assert [r[0] for r in rows_of(D.exact_dedupe(df), "seq")] == sequential_dedupe(keys)
+    hot = table([("hash:h1",), ("url:url-hot",)], "key string")
+    assert [r[0] for r in rows_of(D.exact_dedupe(df, taken=hot), "seq")] == sequential_dedupe([(i, k) for i, k in keys if not {"hh1", "uurl-hot"} & set(k)])
+
+
+def test_runs_by_day_has_no_nested_loop(spark, table):
+    docs = spark.range(400).selectExpr("id AS doc_id", "date_add(DATE'2024-01-01', CAST(CASE WHEN id % 3 = 0 THEN 5 ELSE id % 20 END AS INT)) AS created_at")
+    runs = table([(1, "2024-01-06"), (2, "2024-01-12"), (3, None), (4, "2023-12-01"), (5, "2024-01-12")], "run_id long, cutoff string").withColumn("cutoff", F.col("cutoff").cast("date"))
+    got = C.run_members(docs, runs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = docs.crossJoin(runs).where("created_at <= cutoff").select("doc_id", "run_id")
+    assert rows_of(got, "run_id", "doc_id") == rows_of(want, "run_id", "doc_id")

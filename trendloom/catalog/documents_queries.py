@@ -10,6 +10,7 @@ from trendloom.constants import REGION_COUNTRIES
 from trendloom.functions import text as T
 from trendloom.operators import corpus as C
 from trendloom.operators import dedup as D
+from trendloom.session import scratch_dir
 from trendloom.sources import dumps, readers
 
 catalog = Catalog()
@@ -297,7 +298,14 @@ def b6(m):
     return D.dedupe_batch(m.raw_docs).select("doc_id", "doc_key")
 
 
-@catalog.add("b7_exact_dedupe")
+@catalog.add(
+    "b7_exact_dedupe",
+    f"""WITH RECURSIVE {IDENTITY_SQL}, k AS MATERIALIZED (SELECT doc_id, normalized_identity, row_number() OVER (ORDER BY doc_id) AS n, list_filter(['id:' || normalized_identity,
+            'doi:' || doi, 'url:' || canonical_url, 'hash:' || content_hash, 'ext:' || source_name || '|' || source_type || '|' || nullif(trim(external_id), '')], lambda x: x IS NOT NULL) AS keys FROM ident),
+        walk AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS taken, false AS kept
+            UNION ALL SELECT k.n, CASE WHEN list_has_any(taken, keys) THEN taken ELSE taken || keys END, NOT list_has_any(taken, keys) FROM walk JOIN k ON k.n = walk.n + 1)
+        SELECT doc_id, normalized_identity FROM walk JOIN k USING (n) WHERE kept""",
+)
 def b7(m):
     return D.exact_dedupe(D.with_identity(m.raw_docs)).select("doc_id", "normalized_identity")
 
@@ -354,7 +362,7 @@ MEMBERS_SQL = """mem AS (SELECT r.run_id, d.doc_id, d.content_hash, CAST(row_num
 
 
 def membership(m):
-    fresh = m.docs.join(m.corpus_runs, (F.col("created_at") <= F.col("cutoff")) & (F.col("created_at") > F.date_sub("cutoff", 7)))
+    fresh = C.run_members(m.docs.select("doc_id", "created_at"), m.corpus_runs).where(F.col("created_at") > F.date_sub("cutoff", 7))
     return C.materialize_corpus(m.docs, m.corpus_runs, fresh.select("run_id", "doc_id"))
 
 
@@ -449,7 +457,7 @@ def c5(m):
 
 @catalog.add("c6_evaluable_runs", f"WITH {MEMBERS_SQL} SELECT run_id FROM {{corpus_runs}} r WHERE status = 'completed' AND run_id IN (SELECT run_id FROM mem)")
 def c6(m):
-    return C.evaluable_runs(m.corpus_runs, membership(m)).select("run_id")
+    return C.evaluable_runs(m.corpus_runs, C.run_members(C.eligible(m.docs).select("doc_id", "created_at"), m.corpus_runs)).select("run_id")
 
 
 @catalog.add(
@@ -472,12 +480,13 @@ def c7_latest(m):
         FROM {{corpus_runs}} r JOIN n USING (run_id) LEFT JOIN s USING (run_id)""",
 )
 def a11(m):
-    """Manifest as exported JSON and read back."""
-    line = F.to_json(F.struct("n_documents", "n_new_documents", "n_carried_forward", "source_distribution"))
-    lines = run_manifest(m).select("run_id", line.alias("line"))
-    back = F.from_json("line", "n_documents bigint, n_new_documents bigint, n_carried_forward bigint, source_distribution map<string,bigint>")
-    entries = F.array_sort(F.map_entries("j.source_distribution"))
+    """Manifest, corpus and chart data of every run as a committed export, and the manifest read back."""
+    path = scratch_dir(m.spark, "a11")
+    corpus = C.export_corpus(membership(m), m.docs).drop("created_at", "published_at")
+    chart = membership(m).groupBy("run_id", "provenance").agg(F.count("*").alias("n"))
+    dumps.write_run_export({"manifest": run_manifest(m), "corpus": corpus, "chart_data": chart}, path)
+    schema = "run_id bigint, n_documents bigint, n_new_documents bigint, n_carried_forward bigint, source_distribution map<string,bigint>"
+    back = dumps.read_run_export(m.spark, path, "manifest", schema)
+    entries = F.array_sort(F.map_entries("source_distribution"))
     flat = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
-    return lines.select("run_id", back.alias("j")).select("run_id", "j.n_documents", "j.n_new_documents", "j.n_carried_forward", flat.alias("sources"))
-
-
+    return back.select("run_id", "n_documents", "n_new_documents", "n_carried_forward", flat.alias("sources"))

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.functions.joins import spread
+from trendloom.operators.corpus import eligible, run_members
 from trendloom.session import configure
 
 TABLES = (
@@ -250,6 +251,10 @@ class Model:
             return spread(table) if name in TEXT_TABLES else table
         if name not in VIEWS:
             raise AttributeError(name)
+        if name == "run_docs":
+            columns = "doc_id", "title", "text", "published_at", "source_name", "region", "country", "content_hash", "created_at"
+            members = run_members(eligible(self.docs).select(*columns), self.corpus_runs)
+            return members.join(self.doc_topic, "doc_id").select("run_id", "doc_id", "topic_index", "embedding", *columns[1:])
         sql = spark_sql(name)
         return self.spark.sql(sql, **{dep: getattr(self, dep) for dep in set(_PLACEHOLDER.findall(sql))})
 

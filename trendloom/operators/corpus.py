@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.constants import CHANGE_TYPES
+from trendloom.functions.joins import salted_join
 from trendloom.functions.ordering import dense_positions
 
 CHUNK = 4096
@@ -15,13 +16,35 @@ def eligible(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("corpus_approved") & F.col("duplicate_of_id").isNull())
 
 
+def runs_by_day(days: DataFrame, runs: DataFrame) -> DataFrame:
+    """(day, runs): for every day of `days` (day) the (run_id, cutoff) of the runs whose cutoff is that day or later.
+
+    Days and cutoffs are laid on one line and walked backwards; both tables have a row per day or run, not per document.
+    """
+    marks = days.select("day", F.lit(None).cast(runs.select(F.struct("run_id", "cutoff")).schema[0].dataType).alias("run")).union(
+        runs.where("cutoff IS NOT NULL").select(F.col("cutoff").alias("day"), F.struct("run_id", "cutoff").alias("run"))
+    )
+    later = Window.orderBy(F.desc("day"), F.col("run").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return marks.withColumn("runs", F.collect_list("run").over(later)).where("run IS NULL").select("day", "runs")
+
+
+def run_members(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """`docs` once for every run (run_id, cutoff) whose cutoff is not before their `created_at`.
+
+    Documents meet the runs of their day by an equi-join on the day and are copied per run, so a further run costs its own rows only.
+    """
+    days = docs.where("created_at IS NOT NULL").select(F.col("created_at").alias("day")).distinct()
+    spread = salted_join(docs.withColumn("day", F.col("created_at")), runs_by_day(days, runs), ["day"], "doc_id")
+    return spread.select("*", F.explode("runs").alias("r")).select(*docs.columns, "r.run_id", "r.cutoff")
+
+
 def materialize_corpus(docs: DataFrame, runs: DataFrame, new_docs: DataFrame | None = None) -> DataFrame:
     """Membership of every run: approved originals created up to the cutoff, densely numbered.
 
     `new_docs` holds (run_id, doc_id) of documents a run ingested itself.
     """
     narrow = eligible(docs).select("doc_id", "published_at", "content_hash", "created_at")
-    members = narrow.join(runs.select("run_id", "cutoff"), F.col("created_at") <= F.col("cutoff"))
+    members = run_members(narrow, runs.select("run_id", "cutoff"))
     if new_docs is not None:
         fresh = new_docs.select("run_id", "doc_id", F.lit(True).alias("is_new"))
         members = members.join(fresh, ["run_id", "doc_id"], "left")

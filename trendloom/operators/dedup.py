@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from trendloom.constants import NEAR_DUPLICATE_LOOKBACK, NEAR_DUPLICATE_RATIO
+from trendloom.functions.joins import salted_join
 from trendloom.functions.ordering import dense_positions
+from trendloom.functions.tables import written
 from trendloom.functions.text import (
     blank_to_null,
     canonicalize_url,
@@ -19,7 +21,6 @@ from trendloom.functions.text import (
     identity_key,
     normalize_text,
 )
-from trendloom.session import ensure_checkpoint_dir
 
 
 def with_identity(docs: DataFrame) -> DataFrame:
@@ -64,39 +65,40 @@ def identity_keys(docs: DataFrame, order: str = "seq") -> DataFrame:
     return docs.select(order, F.explode(F.array_distinct(keys)).alias("key"))
 
 
-def exact_dedupe(docs: DataFrame, store: DataFrame | None = None, order: str = "seq") -> DataFrame:
+IDENTITY = ("normalized_identity", "doi", "canonical_url", "content_hash")
+
+
+def exact_dedupe(docs: DataFrame, store: DataFrame | None = None, order: str = "seq", taken: DataFrame | None = None) -> DataFrame:
     """Documents an ingest in `order` would keep: a document is dropped when any of its identities
-    belongs to a document kept before it (or to the store). A dropped document blocks nobody.
+    belongs to a document kept before it (or to the store, or is in `taken` (key)). A dropped document blocks nobody.
 
     Works on keys, never on pairs: in every round the documents that come first among the undecided
     on all their keys are kept, and whoever shares a key with them is dropped. Copies that agree on
-    all keys fall to the first one up front, which removes hot groups by a partial aggregate.
+    all keys fall to the first one up front by a partial aggregate. A key that many undecided documents share is
+    spread over salted groups when they learn its first document, and when they learn that document's fate.
+    A round writes one table, of the documents still undecided. Identities are computed once.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    parts = ["normalized_identity", "doi", "canonical_url", "content_hash", "source_name", "source_type", "external_id"]
-    firsts = docs.groupBy(*parts).agg(F.min(order).alias(order))
-    undecided = identity_keys(firsts, order)
+    parts = [*IDENTITY, "source_name", "source_type", "external_id"]
+    narrow = written(docs.select(order, *parts), "identities")
+    keys = identity_keys(narrow.groupBy(*parts).agg(F.min(order).alias(order)), order)
     if store is not None:
-        known = identity_keys(store, order).select("key").distinct()
-        blocked = undecided.join(known, "key", "left_semi").select(order).distinct()
-        undecided = undecided.join(blocked, order, "left_anti")
-    undecided = undecided.checkpoint()
-    kept_rounds = []
-    while not undecided.isEmpty():
-        first = undecided.groupBy("key").agg(F.min(order).alias("first"))
-        flagged = undecided.join(first, "key")
-        kept = flagged.groupBy(order).agg(F.bool_and(F.col(order) == F.col("first")).alias("keep")).where("keep").select(order)
-        kept = kept.checkpoint()
-        taken = first.join(kept, first["first"] == kept[order], "left_semi").select("key")
-        gone = undecided.join(taken, "key", "left_semi").select(order).distinct()
-        undecided = undecided.join(gone, order, "left_anti").checkpoint()
-        kept_rounds.append(kept)
-    if not kept_rounds:
-        return docs.limit(0)
-    winners = kept_rounds[0]
-    for more in kept_rounds[1:]:
-        winners = winners.union(more)
-    return docs.join(winners, order, "left_semi")
+        known = identity_keys(store, order).select("key")
+        taken = known if taken is None else taken.select("key").union(known)
+    if taken is not None:
+        blocked = salted_join(keys, taken.select("key").distinct(), ["key"], order).select(order).distinct()
+        keys = keys.join(blocked, order, "left_anti")
+    winners = narrow.select(order).limit(0)
+    while True:
+        least = keys.groupBy("key").agg(F.min(order).alias("first"))
+        claims = written(salted_join(keys, least, ["key"], order), "claims")
+        if claims.isEmpty():
+            break
+        kept = claims.groupBy(order).agg(F.bool_and(F.col(order) == F.col("first")).alias("keep")).where("keep").select(F.col(order).alias("first"))
+        decided = salted_join(claims.select(order, "first"), kept, ["first"], order).select(order).distinct()
+        keys = claims.select(order, "key").join(decided, order, "left_anti")
+        winners = winners.union(kept)
+    found = narrow.join(winners, order, "left_semi").select(order, *IDENTITY)
+    return docs.drop(*IDENTITY).join(found, order).select(docs.columns)
 
 
 def lookback_pairs(docs: DataFrame, order: str = "seq", lookback: int = NEAR_DUPLICATE_LOOKBACK) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +34,29 @@ def unescape(value: Column) -> Column:
     return value
 
 
-def copy_block_rows(lines: DataFrame) -> DataFrame:
-    """Rows of every `COPY public.<table> (...)` block as (table_name, row map).
+def copy_sections(lines: DataFrame) -> DataFrame:
+    """(file, split, since, until, table_name, names): every COPY section once for each split of its file that it reaches into.
 
-    Only the block borders (a header and an end mark per table) are ordered; data lines, however many,
-    stay where they are and join the handful of blocks by position.
+    Only the borders (a header and an end mark per table) are ordered, and only splits and sections, not lines, meet by file.
     """
     opens = F.startswith(F.col("value"), F.lit("COPY public."))
     borders = lines.where(opens | (F.col("value") == "\\.")).withColumn("opens", opens)
     borders = borders.withColumn("until", F.lead("pos").over(Window.partitionBy("file").orderBy("pos"))).where("opens")
-    blocks = borders.select(
-        F.col("file").alias("bfile"), F.col("pos").alias("since"), "until",
-        F.regexp_extract("value", HEADER, 1).alias("table_name"),
-        F.transform(F.split(F.regexp_extract("value", HEADER, 2), ","), lambda c: F.trim(F.replace(F.trim(c), F.lit('"')))).alias("names"),
-    )
-    inside = (F.col("file") == F.col("bfile")) & (F.col("pos") > F.col("since"))
-    inside = inside & (F.col("until").isNull() | (F.col("pos") < F.col("until")))
-    rows = lines.join(blocks, inside)
+    names = F.transform(F.split(F.regexp_extract("value", HEADER, 2), ","), lambda c: F.trim(F.replace(F.trim(c), F.lit('"'))))
+    sections = borders.select("file", F.col("pos").alias("since"), "until", F.regexp_extract("value", HEADER, 1).alias("table_name"), names.alias("names"))
+    splits = lines.select("file", F.col("pos.block").alias("split")).distinct()
+    reached = (F.col("split") >= F.col("since.block")) & (F.col("until").isNull() | (F.col("split") <= F.col("until.block")))
+    return sections.join(splits, "file").where(reached)
+
+
+def copy_block_rows(lines: DataFrame) -> DataFrame:
+    """Rows of every `COPY public.<table> (...)` block as (table_name, row map).
+
+    A line looks its section up among those of its own split, so the key is (file, split): one large dump file spreads over as many keys
+    as it has splits, and the sections, a few rows per split, are broadcast while the optimizer finds them small.
+    """
+    inside = (F.col("pos") > F.col("since")) & (F.col("until").isNull() | (F.col("pos") < F.col("until")))
+    rows = lines.withColumn("split", F.col("pos.block")).join(copy_sections(lines), ["file", "split"]).where(inside)
     values = F.transform(F.split("value", "\t"), lambda v: F.when(v != "\\N", unescape(v)))
     width = F.least(F.size("names"), F.size(values))
     return rows.select(
@@ -95,7 +104,35 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return evaluation_corpus(spark.read.schema("id bigint, title string, text string").json(path))
 
 
-def write_run_export(chart: DataFrame, corpus: DataFrame, manifest: DataFrame, path: str) -> None:
-    """Chart data, corpus and manifest as JSON lines, one folder per run."""
-    for name, frame in (("chart_data", chart), ("corpus", corpus), ("manifest", manifest)):
-        frame.write.mode("overwrite").partitionBy("run_id").json(f"{path}/{name}")
+def _folder(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def committed_versions(spark: SparkSession, path: str) -> list[str]:
+    """Versions of an export that were written completely, oldest first."""
+    fs, folder = _folder(spark, f"{path}/commits")
+    return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def write_run_export(tables: dict[str, DataFrame], path: str) -> str:
+    """Tables with a run_id as JSON lines, one folder per run, under a version of their own; gives the version.
+
+    The commit mark is written after all tables. An attempt that fails before leaves files that no reader looks at, and a retry writes a
+    new version beside them.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    for name, frame in tables.items():
+        frame.write.partitionBy("run_id").json(f"{path}/versions/{version}/{name}")
+    fs, mark = _folder(spark, f"{path}/commits/{version}")
+    fs.create(mark, False).close()
+    return version
+
+
+def read_run_export(spark: SparkSession, path: str, name: str, schema: str, version: str | None = None) -> DataFrame:
+    """One table of the newest committed version, or of a given one; an uncommitted version is an error."""
+    versions = committed_versions(spark, path)
+    if not versions or (version is not None and version not in versions):
+        raise ValueError(f"no committed export in {path}" if version is None else f"export {version} was not committed")
+    return spark.read.schema(schema).json(f"{path}/versions/{version or versions[-1]}/{name}")
