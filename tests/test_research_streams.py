@@ -111,11 +111,11 @@ def test_streamed_decisions_and_embeddings(spark, table, tmp_path):
     log = table([(i, f"k{i % 4}") for i in range(12)], "decision_key long, idempotency_key string")
     write_parts(log, str(tmp_path / "log"), ["decision_key < 2", "decision_key >= 2"])
     K.log_decisions(K.log_stream(spark, str(tmp_path), "log", 1), str(tmp_path / "d"), ["decision_key"])
-    assert rows_of(spark.read.parquet(str(tmp_path / "d" / "data")), "decision_key") == [(0,), (1,), (2,), (3,)]
+    assert rows_of(K.decision_store(spark, str(tmp_path / "d"), log.schema).content(), "decision_key") == [(0,), (1,), (2,), (3,)]
     docs = table([(i, "t", f"x{i % 3}", f"h{i % 3}") for i in range(9)], "doc_id long, title string, text string, content_hash string")
     write_parts(docs, str(tmp_path / "docs"), ["doc_id < 2", "doc_id >= 2"])
     K.embed_incoming(K.log_stream(spark, str(tmp_path), "docs", 1), str(tmp_path / "e"), lambda t: F.array(F.lit(1.0).cast("float")), "m")
-    assert rows_of(spark.read.parquet(str(tmp_path / "e" / "data")), "content_hash") == [("h0",), ("h1",), ("h2",)]
+    assert rows_of(K.embedding_cache(spark, str(tmp_path / "e")).content(), "content_hash") == [("h0",), ("h1",), ("h2",)]
 
 
 def test_documents_count_however_late(spark, table, tmp_path):

@@ -108,6 +108,32 @@ def test_kmeans_labels(table):
     assert all(labels[i] == (1 if i % 3 == 0 else 0) for i in range(60))
 
 
+def test_kmeans_is_the_same_for_any_partitioning(spark, table):
+    rnd = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rnd.normal(0, 1, 4)]) for i in range(300)] + [(900 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(30)] + [(999, None)]
+    df = table(rows, "doc_id long, embedding array<double>")
+    found = []
+    for n in (3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        found.append(rows_of(E.kmeans_labels(df.repartition(n, "doc_id"), 7, restarts=2, iterations=8), "doc_id", "label"))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and len(found[0]) == 330 and len({x[1] for x in found[0]}) == 7
+
+
+def test_lloyd_steps_match_plain_python(table):
+    rnd = np.random.default_rng(2)
+    df = table([(i, [float(x) for x in rnd.normal(0, 1, 3)]) for i in range(80)], "doc_id long, embedding array<double>")
+    points = E.scaled_points(df)
+    v = {r["doc_id"]: np.array(r["v"], dtype=object) for r in points.collect()}
+    centres = [v[i].tolist() for i in range(4)]
+    got, _ = E.lloyd(points, [[list(c) for c in centres]], 3)
+    for _ in range(3):
+        near = {i: min(range(4), key=lambda c: (((x - np.array(centres[c], dtype=object)) ** 2).sum(), c)) for i, x in v.items()}
+        groups = [[v[i] for i in v if near[i] == c] for c in range(4)]
+        centres = [[(2 * int(s) + len(g)) // (2 * len(g)) for s in sum(g)] if g else c for g, c in zip(groups, centres)]
+    assert got == centres
+
+
 def test_keywords_and_labels(table):
     docs = table([(1, 1, 0, "facade facade glass the"), (1, 2, 0, "glass facade"), (1, 3, 1, "robot robot arm")], "run_id long, doc_id long, topic_index int, text string")
     ranked = E.keywords(E.class_terms(docs))

@@ -333,7 +333,7 @@ def k6(m):
     out = scratch_dir(m.spark, "k6")
     docs = K.log_stream(m.spark, m.sf_dir, "documents.parquet").select("doc_id", F.lit("").alias("title"), "text", F.sha2("text", 256).alias("content_hash"))
     K.embed_incoming(docs, out, V.hashing_embedder(), "hashing")
-    return m.spark.read.parquet(f"{out}/data").select("content_hash", "model_name", F.size("embedding").alias("dim"))
+    return K.embedding_cache(m.spark, out).content().select("content_hash", "model_name", F.size("embedding").alias("dim"))
 
 
 @catalog.add(
@@ -342,8 +342,9 @@ def k6(m):
 )
 def k7(m):
     out = scratch_dir(m.spark, "k7")
-    K.log_decisions(stream_view(m, "decisions", "lineitem", orders=m.orders), out, ["decision_key", "tie"])
-    return m.spark.read.parquet(f"{out}/data").select("idempotency_key", "decision_key", "tie", "action")
+    stream = stream_view(m, "decisions", "lineitem", orders=m.orders)
+    K.log_decisions(stream, out, ["decision_key", "tie"])
+    return K.decision_store(m.spark, out, stream.schema).content().select("idempotency_key", "decision_key", "tie", "action")
 
 
 @catalog.add(

@@ -156,6 +156,28 @@ def e2(m):
     return labels.groupBy("label").agg(F.count("*").alias("size"), F.min("doc_id").alias("first_doc"))
 
 
+def steps_sql(k: int, steps: int) -> str:
+    """Lloyd steps in whole numbers from the k smallest ids: nearest centre, the smaller on ties, then the rounded mean."""
+    sql = f"""mx AS (SELECT max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) AS m FROM {{doc_topic}}),
+        pt AS (SELECT doc_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE / m * 1048576) AS BIGINT)) AS v FROM {{doc_topic}}, mx),
+        c0 AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS c, v FROM pt QUALIFY c < {k})"""
+    for i in range(steps + 1):
+        sql += f""", a{i} AS (SELECT doc_id, arg_min(c, (d, c)) AS c FROM (SELECT doc_id, c.c, list_sum(list_transform(list_zip(pt.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+                FROM pt CROSS JOIN c{i} c) GROUP BY doc_id),
+            s{i} AS (SELECT c, i, count(*) AS n, sum(x)::BIGINT AS s FROM (SELECT a{i}.c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i} JOIN pt USING (doc_id)) GROUP BY ALL),
+            c{i + 1} AS (SELECT c{i}.c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list(CAST(floor((2 * s + n) / (2.0::DOUBLE * n)) AS BIGINT) ORDER BY i) AS v FROM s{i} GROUP BY c) m ON m.c = c{i}.c)"""
+    return sql
+
+
+@catalog.add("e2_kmeans_steps", f"WITH {steps_sql(10, 3)} SELECT doc_id, CAST(c AS INT) AS raw FROM a3")
+def e2_steps(m):
+    """Assignment after three steps from fixed starting points."""
+    points = E.scaled_points(m.doc_topic)
+    start = [r["v"] for r in points.orderBy("doc_id").limit(10).collect()]
+    centres, _ = E.lloyd(points, [start], 3)
+    return E.nearest(points, centres).select("doc_id", "raw")
+
+
 def clustered(m):
     """Documents of one run with their delivered label."""
     joined = m.docs.join(m.doc_topic.select("doc_id", "topic_index"), "doc_id")

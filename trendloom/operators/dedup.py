@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -68,9 +69,9 @@ def identity_keys(docs: DataFrame, order: str = "seq") -> DataFrame:
 IDENTITY = ("normalized_identity", "doi", "canonical_url", "content_hash")
 
 
-def exact_dedupe(docs: DataFrame, store: DataFrame | None = None, order: str = "seq", taken: DataFrame | None = None) -> DataFrame:
+def exact_dedupe(docs: DataFrame, store: DataFrame | None = None, order: str = "seq", taken: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Documents an ingest in `order` would keep: a document is dropped when any of its identities
-    belongs to a document kept before it (or to the store, or is in `taken` (key)). A dropped document blocks nobody.
+    belongs to a document kept before it (or to the store, or is in `taken`: keys, or a function that finds those of given keys). A dropped document blocks nobody.
 
     Works on keys, never on pairs: in every round the documents that come first among the undecided
     on all their keys are kept, and whoever shares a key with them is dropped. Copies that agree on
@@ -82,8 +83,9 @@ def exact_dedupe(docs: DataFrame, store: DataFrame | None = None, order: str = "
     narrow = written(docs.select(order, *parts), "identities")
     keys = identity_keys(narrow.groupBy(*parts).agg(F.min(order).alias(order)), order)
     if store is not None:
-        known = identity_keys(store, order).select("key")
-        taken = known if taken is None else taken.select("key").union(known)
+        taken = identity_keys(store, order).select("key")
+    if callable(taken):
+        taken = taken(keys)
     if taken is not None:
         blocked = salted_join(keys, taken.select("key").distinct(), ["key"], order).select(order).distinct()
         keys = keys.join(blocked, order, "left_anti")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.constants import OVERLAP_STOP, OVERLAP_THRESHOLD
+from trendloom.functions.joins import salted_join
+from trendloom.functions.tables import written
 from trendloom.functions.text import overlap_tokens
 
 
@@ -14,21 +16,38 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", overlap_tokens(F.col("title"), F.col("keywords"), OVERLAP_STOP))
 
 
+def prefix_tokens(rows: DataFrame, keys: list[str], ranks: DataFrame, threshold: float) -> DataFrame:
+    """(keys, n, token): of each row with n tokens the n - ceil(threshold * n) + 1 rarest; two sets that reach the threshold share one of these.
+
+    `ranks`: token, df over both sides. Rows are numbered within their own tokens, a few dozen.
+    """
+    tokens = salted_join(rows.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token")), ranks, ["token"], keys[-1])
+    rarest = Window.partitionBy(*keys).orderBy("df", "token")
+    wide = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    return tokens.withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= wide).select(*keys, "n", "token")
+
+
 def similar_pairs(trends: DataFrame, references: DataFrame, threshold: float = OVERLAP_THRESHOLD) -> DataFrame:
     """All (run, trend, reference) pairs whose Jaccard similarity reaches the threshold.
 
-    Shared tokens are counted over an equi-join on the token. Trends are partitioned by their id before
-    their tokens are exploded, so the counts of a pair meet inside one task: while the curated list
-    fits a broadcast, nothing but the trends themselves is shuffled and only similar pairs survive.
+    Candidates share a token of both prefixes, which hold the rarest tokens of each set, so a token that most rows have proposes next to
+    nothing; candidates of sizes too different are no pairs. The token sets of the rest are compared. A token that many trends have in
+    their prefix is spread over salted groups.
     """
-    left = trends.repartition("run_id", "trend_id").select("run_id", "trend_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    right = references.select("reference_id", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    possible = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
-    shared = left.join(right, "token").where(possible).groupBy("run_id", "trend_id", "reference_id").agg(
-        F.count("*").alias("both"), F.max("n").alias("n"), F.max("m").alias("m")
-    )
-    score = F.col("both") / (F.col("n") + F.col("m") - F.col("both"))
-    return shared.select("run_id", "trend_id", "reference_id", score.alias("score")).where(F.col("score") >= threshold)
+    left = written(trends.select("run_id", "trend_id", "tokens"), "trends")
+    right = written(references.select("reference_id", "tokens"), "references")
+    ranks = left.select(F.explode("tokens").alias("token")).union(right.select(F.explode("tokens"))).groupBy("token").agg(F.count("*").alias("df"))
+    ranks = written(ranks, "tokens")
+    mine = prefix_tokens(left, ["run_id", "trend_id"], ranks, threshold)
+    theirs = prefix_tokens(right, ["reference_id"], ranks, threshold).withColumnRenamed("n", "m")
+    by_token = theirs.groupBy("token").agg(F.collect_list(F.struct("reference_id", "m")).alias("refs"))  # of the curated list
+    met = salted_join(mine, by_token, ["token"], "trend_id").select("run_id", "trend_id", "n", F.explode("refs").alias("r"))
+    possible = F.least("n", "r.m") >= threshold * F.greatest("n", "r.m") - 1e-9
+    pairs = met.where(possible).select("run_id", "trend_id", "r.reference_id").distinct()
+    sets = pairs.join(left, ["run_id", "trend_id"]).join(right.withColumnRenamed("tokens", "others"), "reference_id")
+    both = F.size(F.array_intersect("tokens", "others"))
+    score = both / (F.size("tokens") + F.size("others") - both)
+    return sets.select("run_id", "trend_id", "reference_id", score.alias("score")).where(F.col("score") >= threshold)
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:

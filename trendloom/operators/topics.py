@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, KMeans
+import random
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.constants import MAX_TOPICS, STOP_WORDS
 from trendloom.functions.joins import salted_join
+from trendloom.functions.tables import written
 from trendloom.functions.text import let, words
 from trendloom.functions.vectors import as_doubles, cosine
-from trendloom.session import ensure_checkpoint_dir
 
 TOP_TERMS = 10
 
@@ -25,22 +28,149 @@ def cluster_count(n_docs: Column, n_topics: int | None = None, max_topics: int =
     return F.greatest(F.lit(1).cast("bigint"), F.least(F.lit(max_topics).cast("bigint"), F.when(tenth == 0, 1).otherwise(tenth)))
 
 
-def kmeans_labels(members: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> DataFrame:
-    """Best of several k-means runs; labels are renumbered by size, then by smallest document id."""
+SCALE_BITS = 20  # clustered vectors are whole numbers up to 2**20, so distances and sums are exact in any order
+COST_BITS = 16  # costs are summed in whole multiples of 2**16
+
+
+def scaled_points(members: DataFrame) -> DataFrame:
+    """(doc_id, v): vectors as whole numbers; the largest element of all becomes 2**SCALE_BITS. Null vectors are left out."""
+    rows = members.where("embedding IS NOT NULL").select("doc_id", as_doubles(F.col("embedding")).alias("v"))
+    largest = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    return written(rows.select("doc_id", F.transform("v", lambda x: F.round(x / largest * (1 << SCALE_BITS)).cast("long")).alias("v")), "points")
+
+
+def _distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Exact squared distances (rows x centres) of whole numbers, by dimension."""
+    out = np.zeros((len(v), len(centres)), dtype=np.int64)
+    for d in range(v.shape[1]):
+        gap = v[:, d, None] - centres[None, :, d]
+        out += gap * gap
+    return out
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(batch.column("v").to_pylist(), dtype=np.int64).reshape(len(batch), -1)
+
+
+def nearest(points: DataFrame, centres: list[list[int]]) -> DataFrame:
+    """(doc_id, raw, cost): number of the nearest centre, the smaller on ties, and its squared distance."""
+    table = np.array(centres, dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                gaps = _distances(_vectors(batch), table)
+                raw = gaps.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.int32()), pa.array(gaps[np.arange(len(raw)), raw])], names=["doc_id", "raw", "cost"])
+
+    return points.mapInArrow(run, f"doc_id {points.schema['doc_id'].dataType.simpleString()}, raw int, cost long")
+
+
+def _step_sums(points: DataFrame, fits: list[list[list[int]]]) -> dict:
+    """{(fit, centre): (n, cost, sums)} of all fits in one pass; tasks pass on sums, one row per fit, centre and dimension reaches the driver."""
+    tables = [np.array(c, dtype=np.int64) for c in fits]
+
+    def run(batches):
+        total: dict = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            v = _vectors(batch)
+            for f, table in enumerate(tables):
+                gaps = _distances(v, table)
+                raw = gaps.argmin(axis=1)
+                cost = gaps[np.arange(len(raw)), raw] >> COST_BITS
+                for c in np.unique(raw):
+                    mine = raw == c
+                    n, spent, sums = total.get((f, c), (0, 0, 0))
+                    total[(f, c)] = n + int(mine.sum()), spent + int(cost[mine].sum()), sums + v[mine].sum(axis=0)
+        rows = [(f, int(c), n, spent, s.tolist()) for (f, c), (n, spent, s) in total.items()]
+        names = ["fit", "raw", "n", "cost", "sums"]
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    parts = points.mapInArrow(run, "fit int, raw int, n long, cost long, sums array<long>")
+    spread = parts.select("fit", "raw", "n", "cost", F.posexplode("sums").alias("d", "s"))
+    found: dict = {}
+    for r in spread.groupBy("fit", "raw", "d").agg(*[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", "cost", "s")]).orderBy("d").collect():
+        n, cost, sums = found.setdefault((r["fit"], r["raw"]), (int(r["n"]), int(r["cost"]), []))
+        sums.append(int(r["s"]))
+    return found
+
+
+def seed_candidates(points: DataFrame, k: int, seed: int, rounds: int = 3) -> tuple[list[list[int]], list[int]]:
+    """At most 4k * rounds + 1 different points and how many points are nearest to each, the same for any partitioning.
+
+    Every round, each point gets a fixed random number from its id and the seed; those below their share of the cost, about 2k of all, become
+    candidates, 4k at most.
+    """
+    draw = lambda r: (F.pmod(F.xxhash64("doc_id", F.lit(seed * 1000 + r)), F.lit(1 << 40)) + 1) / float(1 << 40)
+    chosen = {tuple(points.select(F.min(F.struct(draw(0).alias("u"), "v")).alias("m")).first()["m"]["v"])}
+    for r in range(1, rounds + 1):
+        costs = nearest(points, [list(c) for c in sorted(chosen)]).withColumn("cost", F.shiftright("cost", COST_BITS))
+        whole = int(costs.agg(F.sum(F.col("cost").cast("decimal(38,0)"))).first()[0])
+        if not whole:
+            break
+        hit = costs.where(draw(r) < F.col("cost") * (2.0 * k / whole)).select("doc_id", draw(r).alias("u")).orderBy("u", "doc_id").limit(4 * k)
+        chosen |= {tuple(x["v"]) for x in points.join(F.broadcast(hit), "doc_id").select("v").collect()}  # of 4k ids
+    candidates = [list(c) for c in sorted(chosen)]
+    near = {raw: n for (_, raw), (n, _, _) in _step_sums(points, [candidates]).items()}
+    return candidates, [near.get(i, 0) for i in range(len(candidates))]
+
+
+def drawn_centres(candidates: list[list[int]], weights: list[int], k: int, seed: int) -> list[list[int]]:
+    """k of the candidates, one by one, each with a chance in proportion to its weight and its squared distance from those drawn."""
+    rng, table, picked = random.Random(seed), np.array(candidates, dtype=float), []
+    far = np.ones(len(candidates))
+    while len(picked) < min(k, len(candidates)):
+        mass = far * weights
+        rest = [j for j in range(len(candidates)) if j not in picked]
+        picked.append(rng.choices(range(len(candidates)), mass.tolist())[0] if mass.sum() > 0 else rest[0])
+        gaps = ((table - table[picked[-1]]) ** 2).sum(axis=1)
+        far = gaps if len(picked) == 1 else np.minimum(far, gaps)
+    return [candidates[i] for i in picked]
+
+
+def lloyd(points: DataFrame, fits: list[list[list[int]]], iterations: int) -> tuple[list[list[int]], int]:
+    """(centres, cost) of the cheapest of several fits after at most `iterations` steps, all made in the same passes.
+
+    A centre moves to the rounded mean of its points, taken from exact sums; one without points stays.
+    """
+    fits, cost = [list(f) for f in fits], [0] * len(fits)
+    for step in range(iterations + 1):
+        sums = _step_sums(points, fits)
+        cost = [sum(c for (g, _), (_, c, _) in sums.items() if g == f) for f in range(len(fits))]
+        moved = [list(f) for f in fits]
+        for (f, raw), (n, _, s) in sums.items():
+            moved[f][raw] = [(2 * x + n) // (2 * n) for x in s]
+        if moved == fits or step == iterations:
+            break
+        fits = moved
+    best = min(range(len(fits)), key=lambda f: (cost[f], f))
+    return fits[best], cost[best]
+
+
+def renumbered(assigned: DataFrame) -> DataFrame:
+    """(doc_id, label): clusters numbered by falling size, then by smallest document id."""
+    sizes = assigned.groupBy("raw").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    numbers = sizes.select("raw", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("label"))
+    return assigned.join(numbers, "raw").select("doc_id", "label")
+
+
+def kmeans_labels(members: DataFrame, k: int, seed: int = 42, restarts: int = 10, iterations: int = 50) -> DataFrame:
+    """Best of several k-means runs; labels are renumbered by size, then by smallest document id.
+
+    The result does not depend on partitions or order: vectors are whole numbers, so sums are exact, starting points come from hashes of
+    the ids, and ties go to the smaller number. Documents with a null vector get no label.
+    """
     if k == 1:
         return members.select("doc_id", F.lit(0).alias("label"))
-    points = members.select("doc_id", array_to_vector(as_doubles(F.col("embedding"))).alias("features"))
-    ensure_checkpoint_dir(members.sparkSession)
-    points = points.repartition("doc_id").sortWithinPartitions("doc_id").persist()
-    try:
-        fits = (KMeans(k=k, seed=seed + i, maxIter=50).fit(points) for i in range(restarts))
-        best = min(fits, key=lambda model: model.summary.trainingCost)
-        assigned = best.transform(points).select("doc_id", F.col("prediction").alias("raw"))
-        sizes = assigned.groupBy("raw").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-        numbers = sizes.select("raw", (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("label"))
-        return assigned.join(numbers, "raw").select("doc_id", "label").checkpoint()  # written while the points are still cached
-    finally:
-        points.unpersist()
+    points = scaled_points(members)
+    if points.isEmpty():
+        return members.select("doc_id", F.lit(0).alias("label")).limit(0)
+    candidates, weights = seed_candidates(points, k, seed)
+    centres, _ = lloyd(points, [drawn_centres(candidates, weights, k, seed + i) for i in range(restarts)], iterations)
+    return renumbered(written(nearest(points, centres).select("doc_id", "raw"), "assigned"))
 
 
 def terms(text: Column, stop_words=STOP_WORDS, bigrams: bool = False) -> Column:

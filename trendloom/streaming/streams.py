@@ -11,12 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from trendloom.functions.joins import spread
-from trendloom.operators.dedup import exact_dedupe, with_identity
+from trendloom.functions.tables import written
+from trendloom.operators.dedup import exact_dedupe, identity_keys, with_identity
 from trendloom.operators.portfolio import first_per_key
 from trendloom.operators.vectors import cached_embeddings
+from trendloom.streaming.stores import KeyedStore
 
 FETCH_EVENTS = ("source_searched", "source_failed")
 
@@ -137,53 +138,56 @@ def run_outcomes(runs: DataFrame, latest: DataFrame, error_chars: int | None = N
 # ---------------------------------------------------------------- incremental stores
 
 
-def _store(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Everything written by earlier batches; empty before the first one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+CACHE = "content_hash string, model_name string, model_revision string, embedding array<float>"
 
 
-def _earlier(spark: SparkSession, out: str, schema, batch_id: int) -> DataFrame:
-    """Store content without the current batch, so that a repeated batch gives the same result."""
-    wide = schema if "batch" in schema.names else StructType([*schema.fields, StructField("batch", LongType())])
-    return _store(spark, f"{out}/data", wide).where(F.col("batch") < batch_id).drop("batch")
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    return spark.createDataFrame([], schema)
 
 
 def ingest_documents(stream: DataFrame, out: str) -> None:
-    """Incoming raw documents against the store of accepted ones, batch by batch."""
+    """Incoming raw documents against the identities of the accepted ones, batch by batch; accepted documents are under data."""
     spark = stream.sparkSession
+    identities = KeyedStore(spark, f"{out}/identities", ["key"], empty(spark, "key string").schema)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         docs = with_identity(spread(batch))
-        kept = exact_dedupe(docs, _earlier(spark, out, docs.schema, batch_id))
-        kept.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        path = f"{out}/data/batch={batch_id}"
+        exact_dedupe(docs, taken=lambda keys: identities.lookup(keys, batch_id)).write.mode("overwrite").parquet(path)
+        accepted = spark.read.schema(docs.schema).parquet(path)
+        identities.put(written(identity_keys(accepted).select("key").distinct(), "keys"), batch_id)
 
     drain_batches(stream, out, handle)
 
 
+def embedding_cache(spark: SparkSession, out: str) -> KeyedStore:
+    return KeyedStore(spark, f"{out}/cache", ["content_hash"], empty(spark, CACHE).schema)
+
+
 def embed_incoming(stream: DataFrame, out: str, embed: Callable[[Column], Column], model: str, revision: str = "default") -> None:
     """Only contents without a vector of the model are embedded and appended to the cache."""
-    spark = stream.sparkSession
+    cache = embedding_cache(stream.sparkSession, out)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        schema = spark.createDataFrame([], "content_hash string, model_name string, model_revision string, embedding array<float>").schema
-        cache = _earlier(spark, out, schema, batch_id)
-        _, additions = cached_embeddings(batch, cache, embed, model, revision)
-        additions.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        known = cache.lookup(batch.select("content_hash"), batch_id)
+        _, additions = cached_embeddings(batch, known, embed, model, revision)
+        cache.put(written(additions, "vectors"), batch_id)
 
     drain_batches(stream, out, handle)
 
 
+def decision_store(spark: SparkSession, out: str, schema) -> KeyedStore:
+    return KeyedStore(spark, f"{out}/decisions", ["idempotency_key"], schema)
+
+
 def log_decisions(stream: DataFrame, out: str, order: list[str]) -> None:
     """Idempotent decision log: the first decision per key is stored, repeats are dropped."""
-    spark = stream.sparkSession
+    log = decision_store(stream.sparkSession, out, stream.schema)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        known = _earlier(spark, out, batch.schema, batch_id)
-        fresh = first_per_key(batch, order).join(known, "idempotency_key", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        first = written(first_per_key(batch, order), "first")
+        known = log.lookup(first, batch_id).select("idempotency_key")
+        log.put(written(first.join(known, "idempotency_key", "left_anti").select(stream.columns), "fresh"), batch_id)
 
     drain_batches(stream, out, handle)
 
