@@ -7,6 +7,7 @@ there, the label unchanged. The squared change of the score is penalised, so gro
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -49,7 +50,7 @@ def features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def present(texts: list[str], known: np.ndarray) -> np.ndarray:
     """Dense presence matrix of the known (sorted) features."""
     x = np.zeros((len(texts), len(known)), dtype=np.float32)
-    for lo, _, buf, offs in slices(pa.array(texts, pa.string())):
+    for lo, _, buf, offs in slices(pa.array(texts, pa.string()), SLICE_BYTES // 4):
         row, value = features(buf, offs)
         at = np.minimum(np.searchsorted(known, value), len(known) - 1)
         hit = known[at] == value
@@ -97,7 +98,7 @@ def counterfactuals(texts: list[str], most: int = SENTENCES) -> list[tuple[str,
 def feature_counts(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature hashes, sorted, with the number of toxic and of clean texts that hold each; slice by slice, repeats within a text count once."""
     names, counts = np.zeros(0, np.uint64), np.zeros((2, 0))
-    for lo, _, buf, offs in slices(pa.array(texts, pa.string()), 4 * SLICE_BYTES):
+    for lo, _, buf, offs in slices(pa.array(texts, pa.string()), SLICE_BYTES // 4):
         row, value = features(buf, offs)
         order = np.lexsort((value, row))
         row, value = row[order], value[order]
@@ -144,7 +145,7 @@ def train(rows: list[tuple[str, int]], n_features: int = FEATURES, penalty: floa
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 0.1
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        b = b - rate * (mb / (1 - 0.9**step)) / (np.sqrt(vb / (1 - 0.99**step)) + 1e-6)
+        b -= rate * (mb / (1 - 0.9**step)) / (math.sqrt(vb / (1 - 0.99**step)) + 1e-6)  # a Python float keeps the arrays in 32 bits
     return known, w.astype(np.float32), float(b)
 
 
