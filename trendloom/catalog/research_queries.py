@@ -229,12 +229,45 @@ def lake(m):
     return m.docs.join(keys, "doc_id").select("doc_id", "title", "text", "source_name", "external_id", "url")
 
 
-@catalog.add("j9_snowball_sample")
+def sampling_sql(seeds: list[str], include: list[str], exclude: list[str]) -> str:
+    """Two rounds of the standard profile: search, one document per key, gate, budget of 100, expansion by title pairs, and again."""
+    tokens = lambda text: f"list_distinct(regexp_extract_all(lower({text}), '[a-z]{{{{4,}}}}'))"
+    listed = ", ".join(f"({i}, '{q}')" for i, q in enumerate(seeds))
+    words = lambda terms: f"list_distinct(regexp_extract_all('{' '.join(terms).lower()}', '[a-z]{{{{4,}}}}'))"
+    gate = f"len(list_intersect(t, {words(include)})) > 0 AND len(list_intersect(t, {words(exclude)})) < 2" if include else "true"
+
+    def round_sql(n: int, seen: str, budget: str) -> str:
+        return f"""f{n} AS (SELECT doc_id, source_name, query_no, row_number() OVER (PARTITION BY query_no, source_name ORDER BY len(list_intersect(t, w)) DESC, doc_id) AS rank
+                FROM lk CROSS JOIN q{n} WHERE len(list_intersect(t, w)) > 0 QUALIFY rank <= 15),
+            h{n} AS (SELECT doc_id, min(row(query_no, source_name, rank)) AS turn FROM f{n} GROUP BY 1),
+            b{n} AS (SELECT lk.*, turn FROM lk JOIN h{n} USING (doc_id) WHERE doc_key <> '' QUALIFY row_number() OVER (PARTITION BY doc_key ORDER BY turn, doc_id) = 1),
+            t{n} AS (SELECT doc_id, doc_key, title, {n} AS round FROM b{n} WHERE {seen} AND {gate} QUALIFY row_number() OVER (ORDER BY turn, doc_id) <= {budget})"""
+
+    return f"""WITH lk AS (SELECT d.doc_id, d.title, source_name, {tokens("d.title || ' ' || d.text")} AS t, lower(trim(coalesce(nullif(external_id, ''), nullif(url, ''), d.title))) AS doc_key
+            FROM {{docs}} d JOIN (SELECT doc_id, external_id, url FROM {{raw_docs}}) USING (doc_id)),
+        q1 AS (SELECT query_no, {tokens('query')} AS w FROM (VALUES {listed}) q(query_no, query)), {round_sql(1, 'true', '100')},
+        ws AS (SELECT list_filter(list_transform(regexp_extract_all(title, '[a-zA-Z][a-zA-Z-]{{{{3,}}}}'), lambda x: lower(x)), lambda x: x NOT IN {EXPANSION_STOP_SQL}) AS ws FROM t1),
+        pr AS (SELECT unnest(list_zip(ws[:-2], ws[2:])) AS z FROM ws WHERE len(ws) > 1),
+        kn AS (SELECT regexp_extract_all('{' '.join(seeds).lower()}', '[a-zA-Z][a-zA-Z-]{{{{3,}}}}') AS known),
+        ex AS (SELECT z[1] AS w1, z[2] AS w2, count(*) AS n FROM pr, kn WHERE z[1] <> z[2] AND NOT (list_contains(known, z[1]) AND list_contains(known, z[2])) GROUP BY 1, 2 HAVING count(*) >= 2),
+        q2 AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, w1, w2) - 1 AS INT) AS query_no, {tokens("w1 || ' ' || w2")} AS w FROM ex WHERE (SELECT count(*) FROM t1) < 100 QUALIFY query_no < 4),
+        {round_sql(2, 'doc_key NOT IN (SELECT doc_key FROM t1)', '100 - (SELECT count(*) FROM t1)')}
+        SELECT doc_id, doc_key, round FROM t1 UNION ALL SELECT doc_id, doc_key, round FROM t2""".replace("{{", "{").replace("}}", "}")
+
+
+@catalog.add("j9_snowball_sample", sampling_sql(ROUND, INCLUDE, EXCLUDE))
 def j9(m):
     sample, _, _ = J.snowball(lake(m), ROUND, "standard", INCLUDE, EXCLUDE)
     return sample.select("doc_id", "doc_key", "round")
 
 
+@catalog.add("j9_snowball_two_rounds", sampling_sql(["sobre entre cuando"], [], []))
+def j9_two(m):
+    """A sample that the first round does not fill, so that queries from its titles fill the rest."""
+    sample, _, _ = J.snowball(J.LakeIndex(lake(m)), ["sobre entre cuando"], "standard")
+    return sample.select("doc_id", "doc_key", "round")
+
+
 @catalog.add(
     "j10_harvest_report",
     f"""WITH g AS (SELECT doc_id, source_name, {GATE_SQL} AS t FROM {{docs}}), q(query_no, query, w) AS (VALUES (0, 'that with they', ['that', 'with', 'they']), (1, 'dans pour avec', ['dans', 'pour', 'avec']), (2, 'nicht oder', ['nicht', 'oder'])),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.constants import DEPTH_PROFILES, EXPANSION_STOP, MAX_SEED_QUERIES, PESTEL_LENSES, REGION_CONTEXT
+from trendloom.functions.tables import written
 from trendloom.functions.text import (
     EXPANSION_TOKEN,
     GATE_TOKEN,
@@ -18,7 +19,8 @@ from trendloom.functions.text import (
     literal_array,
 )
 from trendloom.operators.dedup import batch_key
-from trendloom.session import ensure_checkpoint_dir
+from trendloom.session import scratch_dir
+from trendloom.streaming.stores import KeyedStore
 
 
 def first_terms(terms: DataFrame, order: list[str], limit: int) -> DataFrame:
@@ -152,16 +154,48 @@ def lake_search(docs: DataFrame, queries: list[str], per_query: int) -> DataFram
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_query)
 
 
+class LakeIndex:
+    """Postings and documents of a lake, written once; a search reads the postings of its tokens, a fetch the buckets of its documents.
+
+    Postings are sorted by token and document over range partitions, so the files of a token are few, a frequent token has several, and
+    the token filter skips all others by their statistics.
+    """
+
+    def __init__(self, docs: DataFrame, path: str | None = None):
+        spark = docs.sparkSession
+        path = path or scratch_dir(spark, "lake")
+        every = docs.select("doc_id", "source_name", F.explode(gate_tokens(F.col("title"), F.col("text"))).alias("token"))
+        every.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id").write.parquet(f"{path}/postings")
+        self.postings = spark.read.schema(every.schema).parquet(f"{path}/postings")
+        self.documents = KeyedStore(spark, f"{path}/documents", ["doc_id"], docs.schema)
+        self.documents.put(docs, 0)
+        self.sources = written(docs.select("source_name").distinct(), "sources")
+
+    def search(self, queries: list[str], per_query: int) -> DataFrame:
+        """Best documents per query and source by shared tokens; see `lake_search`."""
+        asked = [(i, q, t) for i, q in enumerate(queries) for t in sorted(_token_set([q]))]
+        terms = self.postings.sparkSession.createDataFrame(asked, "query_no int, query string, token string")
+        mine = self.postings.where(F.col("token").isin(sorted({t for _, _, t in asked}))).join(F.broadcast(terms), "token")  # as many as the queries' words
+        hits = mine.groupBy("doc_id", "source_name", "query_no", "query").agg(F.count("*").cast("int").alias("hits"))
+        best = Window.partitionBy("query_no", "source_name").orderBy(F.desc("hits"), "doc_id")
+        return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= per_query)
+
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """Documents of `ids` (doc_id and other columns), joined to them."""
+        return self.documents.lookup(ids.select("doc_id")).join(ids, "doc_id")
+
+
 def snowball(
-    docs: DataFrame, seeds: list[str], profile: str = "standard", include: list[str] = (), exclude: list[str] = (), expand: int = 4,
+    docs: DataFrame | LakeIndex, seeds: list[str], profile: str = "standard", include: list[str] = (), exclude: list[str] = (), expand: int = 4,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Bounded snowball sample of the lake: documents, findings per round, source and query, queries used.
 
     Each round searches the new queries, drops documents already seen, applies the gate, fills the
     budget in search order and proposes new queries from the collected titles. The sample holds at
-    most the budget of its profile, and every round is checkpointed.
+    most the budget of its profile. The lake is indexed once, or comes as an index, and a round reads what its queries
+    and findings need; every round is written.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
+    lake = docs if isinstance(docs, LakeIndex) else LakeIndex(docs)
     limits = DEPTH_PROFILES[profile]
     frontier = [s.strip() for s in seeds if s and s.strip()]
     used: list[str] = []
@@ -173,19 +207,19 @@ def snowball(
         if not pending or collected >= limits["max_docs"]:
             break
         used += pending
-        found = lake_search(docs, pending, limits["per_query"]).checkpoint()
-        counts = harvest(found, docs, pending).withColumn("round", F.lit(round_no))
+        found = written(lake.search(pending, limits["per_query"]), "found")
+        counts = harvest(found, lake.sources, pending).withColumn("round", F.lit(round_no))
         report = counts if report is None else report.unionByName(counts)
         order = F.struct("query_no", "source_name", "rank")
         hits = found.groupBy("doc_id").agg(F.min(order).alias("turn"))
-        batch = docs.join(hits, "doc_id").withColumn("doc_key", batch_key()).where(F.col("doc_key") != "")
+        batch = lake.fetch(hits).withColumn("doc_key", batch_key()).where(F.col("doc_key") != "")
         first = Window.partitionBy("doc_key").orderBy("turn", "doc_id")
         batch = batch.withColumn("rn", F.row_number().over(first)).where(F.col("rn") == 1).drop("rn")
         if sample is not None:
             batch = batch.join(sample.select("doc_key"), "doc_key", "left_anti")
         kept = relevant(batch, list(include), list(exclude)) if include else batch
         taken = kept.orderBy("turn", "doc_id").limit(limits["max_docs"] - collected).withColumn("round", F.lit(round_no))
-        sample = (taken if sample is None else sample.unionByName(taken)).checkpoint()
+        sample = written(taken if sample is None else sample.unionByName(taken), "sample")
         collected = sample.count()
         if round_no < limits["rounds"] and collected < limits["max_docs"]:
             proposals = expand_queries(sample.select("title"), [*used, *seeds], expand)
@@ -193,9 +227,9 @@ def snowball(
     return sample, report, used
 
 
-def harvest(found: DataFrame, docs: DataFrame, queries: list[str]) -> DataFrame:
+def harvest(found: DataFrame, sources: DataFrame, queries: list[str]) -> DataFrame:
     """Findings per source and query with zeros for pairs without a hit."""
     numbered = F.array(*[F.struct(F.lit(i).alias("query_no"), F.lit(q).alias("query")) for i, q in enumerate(queries)])
-    grid = docs.select("source_name").distinct().select("source_name", F.explode(numbered).alias("q")).select("source_name", "q.*")
+    grid = sources.select("source_name").distinct().select("source_name", F.explode(numbered).alias("q")).select("source_name", "q.*")
     counts = found.groupBy("query_no", "source_name").agg(F.count("*").alias("findings"))
     return grid.join(counts, ["query_no", "source_name"], "left").na.fill(0, ["findings"])
