@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from trendloom.functions import text as T
 from trendloom.functions.ordering import dense_positions
-from trendloom.functions.python_hooks import exact_casefold
 from trendloom.operators import corpus as C
 from trendloom.operators import dedup as D
 from trendloom.sources import dumps, readers
@@ -28,9 +27,14 @@ def test_normalise_and_fingerprint(table):
     assert hashes[0] == hashes[1]
 
 
-def test_exact_casefold_matches_python(table):
-    words = ["Straße", "ΟΔΟΣ", "İstanbul", "ﬁne"]
-    assert value(table, exact_casefold(F.col("v")), [(w,) for w in words]) == [w.casefold() for w in words]
+def test_case_folding_equals_python_on_all_code_points(spark, table):
+    words = ["Straße", "ΣΑΣ Σ", "İstanbul", "ﬀ ﬃ", "ŉǰ", "plain ASCII", "ſ µ", "Ꭰꭰ", "𐐀𐐨 𝐀", "ẞ“quoted”", "", None, "Ж ж", "ΐΰ"]
+    got = value(table, T.fold_case(F.col("v")), [(w,) for w in words])
+    assert got == [w if w is None else w.casefold() for w in words]
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    chunks = ["".join(every[i : i + 50]) for i in range(0, len(every), 50)] + ["".join(every[i : i + 5]) + "x" for i in range(0, 0x3000, 5)]
+    df = spark.createDataFrame([(c, c.casefold()) for c in chunks], "v string, want string").repartition(4)
+    assert df.where(F.col("want") != T.fold_case(F.col("v"))).limit(3).collect() == []
 
 
 def test_doi(table):

@@ -1,4 +1,4 @@
-"""Extension points that need Python workers: custom embedders and exact case folding."""
+"""Extension point that needs Python workers: custom embedders."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def batch_embedder(load: Callable[[], Callable[[list[str]], object]]):
@@ -21,9 +21,3 @@ def batch_embedder(load: Callable[[], Callable[[list[str]], object]]):
             yield pd.Series(list(model(texts.fillna("").tolist())))
 
     return embed
-
-
-@F.pandas_udf(StringType())
-def exact_casefold(values: pd.Series) -> pd.Series:
-    """Full Unicode case folding, for corpora where the column expression's two extra folds are not enough."""
-    return values.str.casefold()

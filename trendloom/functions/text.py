@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,9 +51,41 @@ def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(WHITESPACE_CHARS))
 
 
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str, dict[str, str], str]:
+    """Case folding by rule, from the Unicode tables of the Python that plans the query: letters that fold to one letter and their folds,
+    letters that fold to several, and a pattern of all that `lower` with the two replacements of `fold_case` does not fold."""
+    single, several, rest = {}, {}, []
+    for code in range(0x110000):
+        letter = chr(code)
+        if 0xD800 <= code < 0xE000:
+            continue
+        folded = letter.casefold()
+        if folded != letter:
+            (single if len(folded) == 1 else several)[letter] = folded
+        unknown = unicodedata.category(letter) == "Cn"  # a later Unicode may have a lower case for it
+        if letter not in "ßςΣ" and (unknown or folded != letter.lower() or (code >= 0x530 and folded != letter)):
+            rest.append(code)
+    ranges = []
+    for code in rest:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    listed = lambda low, high: "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges if low <= a < high)
+    pattern = f"[{listed(0, 0x530)}]|[\\x{{530}}-\\x{{10FFFF}}&&[{listed(0x530, 0x110000)}]]"
+    return "".join(single), "".join(single.values()), several, pattern
+
+
 def fold_case(value: Column) -> Column:
-    """Case folding: lower case plus the two folds `lower` leaves out."""
-    return F.translate(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    """Full Unicode case folding. Most texts need lower case and two replacements; one with other folding letters goes letter by letter."""
+    source, target, several, rest = _folding()
+    plain = F.translate(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), "ς", "σ")
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    letters = F.regexp_extract_all(F.translate(value, source, target), F.lit("(?s)."), F.lit(0))
+    full = F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    only_ascii = F.octet_length(value) == F.char_length(value)
+    return F.when(only_ascii, F.lower(value)).when(F.rlike(value, F.lit(rest)), full).otherwise(plain)
 
 
 def normalize_text(value: Column) -> Column:
