@@ -235,7 +235,9 @@ def evidence_delta(links: DataFrame, topic_docs: DataFrame) -> DataFrame:
 
     links: occurrence_id, topic_id, prev_topic_id; topic_docs: topic_id, doc_id, is_outlier.
     """
-    docs = topic_docs.where("NOT is_outlier").select("topic_id", "doc_id").distinct()
+    links = written(links, "links")
+    linked = links.select("topic_id").union(links.select("prev_topic_id")).distinct()
+    docs = written(topic_docs.where("NOT is_outlier").select("topic_id", "doc_id").join(linked, "topic_id", "left_semi").distinct(), "linked_docs")
     now = links.join(docs, "topic_id").select("occurrence_id", "doc_id", F.lit(1).alias("now"), F.lit(0).alias("before"))
     old = links.join(docs.withColumnRenamed("topic_id", "prev_topic_id"), "prev_topic_id")
     old = old.select("occurrence_id", "doc_id", F.lit(0).alias("now"), F.lit(1).alias("before"))
@@ -263,7 +265,7 @@ def reconcile(
     history: earlier occurrences with their topic_id; prevalence: topic_id, prevalence. Only the history of the
     matched entries is read on, and the documents of the topics that are compared. `max_new`: new trends per run, all if None.
     """
-    rows = proposed.join(matches, "trend_id", "left")
+    rows, matches = written(proposed.join(matches, "trend_id", "left"), "proposed"), written(matches, "matches")
     fresh = rows.where("canonical_id IS NULL")
     if max_new is not None:
         fresh = admit_new(fresh, max_new).drop("rank")

@@ -190,6 +190,8 @@ def terms(text: Column, stop_words=STOP_WORDS, bigrams: bool = False) -> Column:
 def class_terms(docs: DataFrame, bigrams: bool = False, stop_words=STOP_WORDS, min_df: int = 1) -> DataFrame:
     """Term counts per (run, topic). `min_df` counts documents of the whole run, outliers included."""
     listed = docs.select("run_id", "topic_index", terms(F.col("text"), stop_words, bigrams).alias("terms"))
+    if min_df > 1:  # read twice, tokenised once
+        listed = written(listed, "tokens")
     tokens = listed.select("run_id", "topic_index", F.explode("terms").alias("term"))
     counted = tokens.groupBy("run_id", "topic_index", "term").agg(F.count("*").alias("tf"))
     if min_df <= 1:
@@ -200,7 +202,11 @@ def class_terms(docs: DataFrame, bigrams: bool = False, stop_words=STOP_WORDS, m
 
 
 def keywords(counts: DataFrame, topn: int = 8) -> DataFrame:
-    """Class-based TF-IDF ranking: tf * ln(1 + words per class / term total), best `topn` per class."""
+    """Class-based TF-IDF ranking: tf * ln(1 + words per class / term total), best `topn` per class.
+
+    The counts are written, because three steps read them. A (run, term) has at most a row per topic.
+    """
+    counts = written(counts, "terms")
     classes = counts.groupBy("run_id").agg(
         (F.sum("tf") / F.count_distinct("topic_index")).alias("avg_words")
     )
@@ -246,7 +252,7 @@ def outliers(members: DataFrame, centroids: DataFrame, share: float = 0.95, digi
     """Label -1 for documents further from their centroid than `share` of their topic.
 
     The membership probability is the softmax of the similarities to all centroids of the run. The
-    threshold is an approximate percentile, whose state stays bounded for topics of any size.
+    threshold is the exact percentile of the rounded distances, from counts per distance.
     """
     docs = members.where("topic_index >= 0").select("run_id", "doc_id", F.col("topic_index").alias("own"), as_doubles(F.col("embedding")).alias("v"))
     compared = salted_join(docs, centroids, ["run_id"], "doc_id").withColumn("sim", cosine(F.col("v"), F.col("centroid")))
@@ -267,21 +273,24 @@ def outliers(members: DataFrame, centroids: DataFrame, share: float = 0.95, digi
 
 def document_terms(docs: DataFrame, min_df: int = 5, max_df: float = 0.5, stop_words=STOP_WORDS) -> DataFrame:
     """Binary document-term pairs over the coherence vocabulary with document frequencies."""
-    pairs = docs.select("run_id", "doc_id", F.explode(F.array_distinct(terms(F.col("text"), stop_words))).alias("term"))
-    sizes = docs.groupBy("run_id").agg(F.count("*").alias("n_docs"))
+    listed = written(docs.select("run_id", "doc_id", F.array_distinct(terms(F.col("text"), stop_words)).alias("terms")), "tokens")
+    pairs = listed.select("run_id", "doc_id", F.explode("terms").alias("term"))
+    sizes = listed.groupBy("run_id").agg(F.count("*").alias("n_docs"))
     frequency = pairs.groupBy("run_id", "term").agg(F.count("*").alias("df"))
     vocabulary = frequency.join(sizes, "run_id").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_docs")))
-    return pairs.join(vocabulary.select("run_id", "term", "df"), ["run_id", "term"])
+    return salted_join(pairs, vocabulary.select("run_id", "term", "df"), ["run_id", "term"], "doc_id")
 
 
 def umass_coherence(ranked: DataFrame, doc_terms: DataFrame) -> DataFrame:
     """UMass coherence per topic and, averaged, per run; topics with fewer than two known words are skipped.
 
-    Co-occurrences are counted per document over the at most ten words of a topic it contains.
+    Co-occurrences are counted per document over the at most ten words of a topic it contains. Both inputs are written, because several
+    steps read them; a frequent word's documents are spread over salted groups when they meet the few topics that show it.
     """
+    doc_terms, ranked = written(doc_terms, "document_terms"), written(ranked, "ranked")
     vocabulary = doc_terms.select("run_id", "term", "df").distinct()
     present = ranked.where(F.col("rank") <= TOP_TERMS).join(vocabulary, ["run_id", "term"]).select("run_id", "topic_index", "term", "rank", "df")
-    hits = doc_terms.select("run_id", "doc_id", "term").join(present.select("run_id", "topic_index", "term", "rank"), ["run_id", "term"])
+    hits = salted_join(doc_terms.select("run_id", "doc_id", "term"), present.select("run_id", "topic_index", "term", "rank"), ["run_id", "term"], "doc_id")
     sets = hits.groupBy("run_id", "topic_index", "doc_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks")).where(F.size("ranks") > 1)
     pair = F.explode(F.flatten(F.transform("ranks", lambda i: F.transform(F.filter("ranks", lambda j: j < i), lambda j: F.struct(i.alias("hi"), j.alias("lo"))))))
     together = sets.select("run_id", "topic_index", pair.alias("p")).groupBy("run_id", "topic_index", "p.hi", "p.lo").agg(F.count("*").alias("co"))
