@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from trendloom.session import scratch_dir
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at a number of bytes, not only of rows, so that long texts do not make them large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a fresh folder below the shared checkpoint folder and read back: cuts lineage and survives lost executors."""
+    bounded_batches(df.sparkSession)
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

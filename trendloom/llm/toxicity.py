@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trendloom.llm.arrays import ALNUM, LOWER, SLICE_BYTES, hash_spans, mix, slices, word_spans
+from trendloom.llm.graph import bounded_batches
 from trendloom.llm.labelled import fold, sample_per_label
 
 PER_LABEL = (4000, 4000)  # clean and toxic rows the model learns from at most
@@ -156,13 +157,14 @@ def with_score(documents: DataFrame, model, text_col: str = "text", score_col: s
     """
     rest = documents.drop(score_col)
     old, schema = rest.columns, T.StructType(rest.schema.fields + [T.StructField(score_col, T.DoubleType())])
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         known, weights, bias = shared.value
         for batch in batches:
             total = np.full(len(batch), bias)
-            for lo, hi, buf, offs in slices(batch.column(text_col)):
+            for lo, hi, buf, offs in slices(batch.column(text_col), SLICE_BYTES // 4):
                 row, value = features(buf, offs)
                 at = np.minimum(np.searchsorted(known, value), len(known) - 1)
                 hit = known[at] == value
