@@ -5,7 +5,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from trendloom.operators import portfolio as P
-from trendloom.plans.run import empty_state, execute_run
+from trendloom.plans.run import empty_state, execute_run, load_state, save_state
 from trendloom.plans.stages import EMBEDDERS, RunOptions, pick, pick_embedder
 
 SCHEMA = "seq long, external_id string, title string, text string, url string, published_at timestamp, language string, region string, country string, source_name string, source_type string"
@@ -24,7 +24,7 @@ TEXTS = [f"vacuum insulation panel thermal envelope sample {w}" for w in ("one",
 ]
 
 
-def test_two_runs_build_history(spark):
+def test_two_runs_build_history(spark, tmp_path):
     options = RunOptions(restarts=2)
     first = execute_run(raw(spark, 0, TEXTS), empty_state(spark), 1, date(2024, 1, 1), options)
     assert rows_of(first["runs"], "run_id", "status", "n_documents", "n_topics") == [(1, "completed", 8, 1)]
@@ -62,6 +62,23 @@ def test_two_runs_build_history(spark):
     assert second["documents"].where("near_duplicate_of_id IS NOT NULL").count() > 0
     assert P.run_diff(second["occurrences"], with_proposed(second["trends"], second["assessments"])).count() == 2
 
+    # The state is written and read back, and serves the views.
+    path = str(tmp_path / "state")
+    assert load_state(spark, path)["runs"].count() == 0
+    save_state(second, path)
+    kept = load_state(spark, path)
+    assert {name: df.count() for name, df in kept.items()} == {name: second[name].count() for name in kept}
+    listed = P.portfolio(kept["canonicals"], kept["occurrences"], kept["trends"])
+    assert rows_of(listed, "status", "region", "country") == [("active", "Europe", "DE")]
+    detail = P.trend_detail(P.run_trends(kept["trends"], kept["assessments"], kept["translations"], "de", run_id=2), kept["timepoints"], kept["evidence"]).first()
+    assert detail["region"] == "Europe" and 0 < len(detail["evidence"]) == len({e["ord"] for e in detail["evidence"]}) and detail["timeseries"]
+    queue = P.review_queue(kept["occurrences"], kept["trends"], kept["canonicals"], kept["translations"]).collect()
+    assert all(q["review_reasons"][0]["code"] == q["review_reason"] for q in queue)
+    assert rows_of(P.list_runs(kept["runs"], kept["occurrences"]), "run_id") == [(1,), (2,)]
+    decisions = spark.createDataFrame([], "canonical_id string, decision_key long, action string")
+    history = P.trend_history(kept["occurrences"], with_proposed(kept["trends"], kept["assessments"]), kept["evidence"], decisions)
+    assert rows_of(history.where("kind = 'point'"), "run_id") == [(1,), (2,)]
+
 
 def test_stage_registry():
     with pytest.raises(ValueError):

@@ -163,8 +163,8 @@ def blend(base: DataFrame, judgements: DataFrame, key: str = "trend_id") -> Data
 def route_calls(trends: DataFrame, budget: int, order: str = "topic_index") -> DataFrame:
     """Two expensive steps per trend, the first `budget` of a run in topic order; the rest falls back."""
     steps = trends.select("run_id", order, F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
-    turn = F.row_number().over(Window.partitionBy("run_id").orderBy(order, "step"))
-    return steps.withColumn("route", F.when(turn <= budget, "external").otherwise("fallback"))
+    numbered = dense_positions(steps, ["run_id"], [F.col(order), F.col("step")], "turn")
+    return numbered.withColumn("route", F.when(F.col("turn") < budget, "external").otherwise("fallback")).drop("turn")
 
 
 def source_counts(members: DataFrame) -> DataFrame:
@@ -290,10 +290,8 @@ def chart_data(trends: DataFrame, assessments: DataFrame, timepoints: DataFrame)
     """One row per trend with its ordered time points, ranked by impact and uncertainty inside the run."""
     points = timepoints.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("period", "doc_count"))).alias("timepoints"))
     rows = trends.join(assessments, "trend_id", "left").join(points, "topic_id", "left")
-    order = Window.partitionBy("run_id").orderBy(
-        F.desc(F.coalesce("impact", F.lit(0.0))), F.desc(F.coalesce("uncertainty", F.lit(0.0))), "trend_id"
-    )
-    return rows.withColumn("ord", F.row_number().over(order))
+    order = [F.desc(F.coalesce("impact", F.lit(0.0))), F.desc(F.coalesce("uncertainty", F.lit(0.0))), F.col("trend_id")]
+    return dense_positions(rows, ["run_id"], order, "ord").withColumn("ord", (F.col("ord") + 1).cast("int"))
 
 
 def distributions(rows: DataFrame, first_label_only: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.constants import MAX_QUARTERS
+from trendloom.functions.tables import written
 from trendloom.functions.text import fold_case, signal_tokens
 from trendloom.operators import assess as G
 from trendloom.operators import corpus as C
@@ -22,6 +22,7 @@ from trendloom.operators import topics as E
 from trendloom.operators import vectors as V
 from trendloom.plans.stages import RunOptions, pick, pick_embedder, translated
 from trendloom.session import ensure_checkpoint_dir
+from trendloom.sources.dumps import commit, committed_versions, new_version
 
 TOPIC = ["run_id", "topic_index"]
 ID_SPACE = 1_000_000  # topic and trend ids are run * ID_SPACE + topic index
@@ -45,8 +46,9 @@ SCHEMAS = {
     "timepoints": "topic_id bigint, period string, doc_count bigint, prevalence double",
     "trends": (
         "trend_id bigint, topic_id bigint, run_id bigint, topic_index int, title string, summary string, maturity string, "
-        "emergence double, keywords array<string>, size bigint"
+        "emergence double, keywords array<string>, size bigint, region string, country string"
     ),
+    "evidence": "trend_id bigint, ord int, doc_id bigint, title string, url string",
     "assessments": (
         "trend_id bigint, pestel array<string>, category string, impact double, urgency double, uncertainty double, "
         "radar_stage string, rationale string"
@@ -59,7 +61,8 @@ SCHEMAS = {
     ),
     "occurrences": (
         "occurrence_id bigint, trend_id bigint, topic_id bigint, run_id bigint, canonical_id string, change_type string, score double, "
-        "margin double, changed_fields array<string>, review_status string, review_reason string, evidence_added bigint, "
+        "margin double, changed_fields array<string>, review_status string, review_reason string, "
+        "review_reasons array<struct<code:string,kind:string,field:string,before:string,after:string>>, evidence_added bigint, "
         "evidence_removed bigint, prevalence double"
     ),
 }
@@ -73,6 +76,25 @@ def _shaped(df: DataFrame, name: str) -> DataFrame:
     return df.to(df.sparkSession.createDataFrame([], SCHEMAS[name]).schema)
 
 
+def save_state(state: dict[str, DataFrame], path: str) -> str:
+    """Write all tables as a new version below `path`; the commit mark comes last, so readers never see half a state. Gives the version."""
+    version = new_version()
+    for name in SCHEMAS:
+        _shaped(state[name], name).write.parquet(f"{path}/versions/{version}/{name}")
+    commit(next(iter(state.values())).sparkSession, path, version)
+    return version
+
+
+def load_state(spark: SparkSession, path: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The newest committed state below `path`, or a given version; an empty state where there is none yet."""
+    versions = committed_versions(spark, path)
+    if version is not None and version not in versions:
+        raise ValueError(f"state {version} was not committed")
+    if not versions:
+        return empty_state(spark)
+    return {name: spark.read.schema(schema).parquet(f"{path}/versions/{version or versions[-1]}/{name}") for name, schema in SCHEMAS.items()}
+
+
 def execute_run(raw: DataFrame, state: dict[str, DataFrame], run_id: int, day: date, options: RunOptions = RunOptions()) -> dict[str, DataFrame]:
     """State after the run. raw: seq plus the reader columns; the given state is left untouched."""
     spark = raw.sparkSession
@@ -127,12 +149,15 @@ def execute_run(raw: DataFrame, state: dict[str, DataFrame], run_id: int, day: d
     table = E.topic_table(inside, ranked).join(E.dominant_geo(inside, "position"), TOPIC).join(centroids, TOPIC)
     table = table.select("*", topic_id).checkpoint()
     add("topics", table)
-    points = S.run_series(full.withColumn("topic_index", F.coalesce("topic_index", F.lit(-1))), MAX_QUARTERS).select("*", topic_id).checkpoint()
+    points = S.run_series(full.withColumn("topic_index", F.coalesce("topic_index", F.lit(-1))), options.quarters).select("*", topic_id).checkpoint()
     add("timepoints", points)
     levels = S.topic_maturity(points, novelty).select(*TOPIC, "growth", F.col("span").alias("periods"), "maturity")
     found = V.top_evidence(full.withColumn("topic_index", F.coalesce("topic_index", F.lit(-1))), centroids)
     found = V.with_fallback_evidence(found, table, inside)
-    cited = found.join(out["documents"].select("doc_id", "title"), "doc_id").where(F.coalesce("title", F.lit("")) != "")
+    found = written(found.select(*TOPIC, "doc_id", "rank"), "evidence")
+    shown = found.join(out["documents"].select("doc_id", "title", "url"), "doc_id")
+    add("evidence", shown.select((F.col("run_id") * ID_SPACE + F.col("topic_index")).alias("trend_id"), F.col("rank").cast("int").alias("ord"), "doc_id", "title", "url"))
+    cited = shown.where(F.coalesce("title", F.lit("")) != "")
     cited = cited.groupBy(*TOPIC).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("titles"))
 
     # Description and assessment.

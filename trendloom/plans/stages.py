@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.constants import EMBEDDING_DIM
+from trendloom.constants import EMBEDDING_DIM, MAX_QUARTERS
 from trendloom.operators import assess, topics
 from trendloom.operators.vectors import hashing_embedder
 
@@ -59,6 +59,7 @@ class RunOptions:
     restarts: int = 10
     seed: int = 42
     max_new_trends: int | None = None
+    quarters: int | None = MAX_QUARTERS  # newest quarters that growth and maturity see, all if None
 
 
 def other_language(language: str) -> str:

@@ -115,6 +115,15 @@ def committed_versions(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
 
 
+def new_version() -> str:
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def commit(spark: SparkSession, path: str, version: str) -> None:
+    fs, mark = _folder(spark, f"{path}/commits/{version}")
+    fs.create(mark, False).close()
+
+
 def write_run_export(tables: dict[str, DataFrame], path: str) -> str:
     """Tables with a run_id as JSON lines, one folder per run, under a version of their own; gives the version.
 
@@ -122,11 +131,10 @@ def write_run_export(tables: dict[str, DataFrame], path: str) -> str:
     new version beside them.
     """
     spark = next(iter(tables.values())).sparkSession
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    version = new_version()
     for name, frame in tables.items():
         frame.write.partitionBy("run_id").json(f"{path}/versions/{version}/{name}")
-    fs, mark = _folder(spark, f"{path}/commits/{version}")
-    fs.create(mark, False).close()
+    commit(spark, path, version)
     return version
 
 
