@@ -9,10 +9,19 @@ from trendloom.llm import byte_bpe, decontaminate, near_dedup, substring, toxici
 from trendloom.llm.graph import stored
 
 
-def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The document columns, with n_chars brought up to date."""
-    fresh = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else docs
-    return fresh.select(*columns)
+MARK = "__in_"  # input columns other than id and text go through a stage under this prefix, so no column of an operator meets them
+
+
+def aside(docs: DataFrame) -> DataFrame:
+    return docs.select(*[c if c in ("doc_id", "text") else F.col(c).alias(MARK + c) for c in docs.columns])
+
+
+def with_text(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` from rows that went aside, with n_chars brought up to date."""
+    columns = {c: F.col(c if c in ("doc_id", "text") else MARK + c) for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return changed.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,20 +34,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of every near-duplicate class; rows without id stay."""
     classes = near_dedup.near_duplicate_classes(docs)
-    return docs.join(classes.where("id <> class_id").select(F.col("id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
+    return docs.join(classes.where("id <> class_id").select(F.col("id").alias("__copy_id")), F.col("doc_id") == F.col("__copy_id"), "left_anti")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document has; texts that change are joined by single spaces, texts left without words go."""
-    cut = substring.remove_repeated_words(docs.withColumnRenamed("text", "__text"), text_col="__text")
+    cut = substring.remove_repeated_words(aside(docs).withColumnRenamed("text", "__text"), text_col="__text")
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("__text"))
-    return with_text(cut.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text), docs.columns)
+    return with_text(cut.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text), docs)
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of benchmark items; texts that are mostly such passages go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return with_text(decontaminate.remove_spans(decontaminate.contamination(docs, benchmark)), docs.columns)
+    return with_text(decontaminate.remove_spans(decontaminate.contamination(aside(docs), benchmark)), docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

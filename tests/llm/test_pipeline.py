@@ -28,3 +28,20 @@ def test_stages_take_effect(spark, tmp_path):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a long, b long")
     assert {r["id"]: r["label"] for r in components(spark, edges).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_stages_keep_columns_that_operators_use_as_names(spark, tmp_path):
+    names = ("n_words", "n_removed", "kept", "n_hit", "items", "spans", "score", "id", "size")
+    rows = [(i, " ".join(f"k{i % 5}n{j}" for j in range(70 + i)), "en", "s", 7, *[f"{n}{i}" for n in names]) for i in range(12)] + [(3, "again " * 60, None, None, None, *[None] * len(names))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    spark.createDataFrame([(1, " ".join(f"k1n{j}" for j in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stored(stage(spark, docs, str(tmp_path)), name)
+            assert docs.columns == spark.createDataFrame([], schema).columns
+            assert docs.dtypes == spark.createDataFrame([], schema).dtypes
+            for r in docs.where("doc_id <> 3").collect():
+                assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+        assert stored(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)), "ids").count() == docs.count()
