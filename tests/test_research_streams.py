@@ -1,3 +1,5 @@
+import random
+
 from conftest import rows_of
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ def test_overlap(table):
     assert rows_of(I.novel_trends(trends, matches), "trend_id") == [(2,)]
 
 
+def test_similar_pairs_equal_brute_force(table):
+    rnd = random.Random(4)
+    some = lambda: sorted({"hot", *rnd.sample([f"w{i}" for i in range(14)], rnd.randrange(0, 6))}) if rnd.random() < 0.9 else []
+    trends, refs = [(i % 3, i, some()) for i in range(150)], [(i, some()) for i in range(25)]
+    got = I.similar_pairs(table(trends, "run_id long, trend_id long, tokens array<string>"), table(refs, "reference_id long, tokens array<string>"), 0.6)
+    like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a and b else 0.0
+    assert rows_of(got, "run_id", "trend_id", "reference_id") == sorted((r, t, k) for r, t, a in trends for k, b in refs if like(a, b) >= 0.6)
+
+
 def test_gate(table):
     docs = table([(1, "Facade panels", "glass"), (2, "Cooking pasta", "kitchen"), (3, "Facade cooking", "kitchen recipes")], "doc_id long, title string, text string")
     assert rows_of(J.relevant(docs, ["facade design"], ["cooking kitchen"]), "doc_id") == [(1,)]

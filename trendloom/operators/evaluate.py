@@ -16,15 +16,17 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", overlap_tokens(F.col("title"), F.col("keywords"), OVERLAP_STOP))
 
 
-def prefix_tokens(rows: DataFrame, keys: list[str], ranks: DataFrame, threshold: float) -> DataFrame:
-    """(keys, n, token): of each row with n tokens the n - ceil(threshold * n) + 1 rarest; two sets that reach the threshold share one of these.
+def prefix_tokens(rows: DataFrame, keys: list[str], known: DataFrame, threshold: float) -> DataFrame:
+    """(keys, n, token): of each row with n tokens those among its n - ceil(threshold * n) + 1 rarest that `known` (token, df) has.
 
-    `ranks`: token, df over both sides. Rows are numbered within their own tokens, a few dozen.
+    Tokens that no reference has are the rarest of all, so they fill the prefix first and never leave the row's task; two sets that reach
+    the threshold share a token of both prefixes. Rows are numbered within their own known tokens.
     """
-    tokens = salted_join(rows.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token")), ranks, ["token"], keys[-1])
-    rarest = Window.partitionBy(*keys).orderBy("df", "token")
+    listed = rows.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(known, "token")
+    own = Window.partitionBy(*keys)
+    ranked = listed.withColumns({"place": F.row_number().over(own.orderBy("df", "token")), "n_known": F.count("*").over(own)})
     wide = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return tokens.withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= wide).select(*keys, "n", "token")
+    return ranked.where(F.col("place") + F.col("n") - F.col("n_known") <= wide).select(*keys, "n", "token")
 
 
 def similar_pairs(trends: DataFrame, references: DataFrame, threshold: float = OVERLAP_THRESHOLD) -> DataFrame:
@@ -32,14 +34,13 @@ def similar_pairs(trends: DataFrame, references: DataFrame, threshold: float = O
 
     Candidates share a token of both prefixes, which hold the rarest tokens of each set, so a token that most rows have proposes next to
     nothing; candidates of sizes too different are no pairs. The token sets of the rest are compared. A token that many trends have in
-    their prefix is spread over salted groups.
+    their prefix is spread over salted groups. The known tokens are those of the curated list; the optimizer broadcasts them while small.
     """
     left = written(trends.select("run_id", "trend_id", "tokens"), "trends")
     right = written(references.select("reference_id", "tokens"), "references")
-    ranks = left.select(F.explode("tokens").alias("token")).union(right.select(F.explode("tokens"))).groupBy("token").agg(F.count("*").alias("df"))
-    ranks = written(ranks, "tokens")
-    mine = prefix_tokens(left, ["run_id", "trend_id"], ranks, threshold)
-    theirs = prefix_tokens(right, ["reference_id"], ranks, threshold).withColumnRenamed("n", "m")
+    known = written(right.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "tokens")
+    mine = prefix_tokens(left, ["run_id", "trend_id"], known, threshold)
+    theirs = prefix_tokens(right, ["reference_id"], known, threshold).withColumnRenamed("n", "m")
     by_token = theirs.groupBy("token").agg(F.collect_list(F.struct("reference_id", "m")).alias("refs"))  # of the curated list
     met = salted_join(mine, by_token, ["token"], "trend_id").select("run_id", "trend_id", "n", F.explode("refs").alias("r"))
     possible = F.least("n", "r.m") >= threshold * F.greatest("n", "r.m") - 1e-9
