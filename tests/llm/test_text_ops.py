@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import public_tokenizers
+import numpy as np
 import pytest
 import tiktoken
 from llm_fixtures import awkward, documents  # noqa: F401
@@ -29,6 +30,42 @@ def test_bpe_equals_the_tokenizer_and_decodes(documents, awkward, ranks):
     assert byte_bpe.digest_rows(documents([])).count() == 0
 
 
+def test_bpe_of_long_pieces_equals_the_tokenizer(ranks, monkeypatch):
+    rng = random.Random(9)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    han, base64 = [chr(c) for c in range(0x4E00, 0x5200)], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choices(han, k=400)), "".join(rng.choices(base64, k=20_000)), "a" * 5001, "abcde" * 900, "中" * 700, "-=+" * 800, " " * 3000 + "x", "ha" * 2001 + " " + "".join(rng.choices("abth", k=4000))]
+    encoder = byte_bpe.Encoder(ranks, byte_bpe.merge_table(ranks))
+
+    def ids_of(text):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        encoder.known.clear()
+        return encoder.rows(raw, np.array([0, len(raw)]))[0].tolist()
+
+    for t in texts:
+        assert ids_of(t) == library.encode_ordinary(t)
+    turns, plain = [], byte_bpe.Encoder.in_turn
+    monkeypatch.setattr(byte_bpe.Encoder, "in_turn", lambda self, part: turns.append(part) or plain(self, part))
+    for window in (4, 12):  # windows that tokens outgrow: some share none and are taken in turn, with growing width
+        monkeypatch.setattr(byte_bpe, "WINDOW", window)
+        for t in texts:
+            assert ids_of(t[:150]) == library.encode_ordinary(t[:150])
+    assert turns
+    for t in ("a" * 301, "".join(rng.choices("abdeht", k=300)), "中" * 101):
+        assert plain(encoder, t.encode()).tolist() == library.encode_ordinary(t)
+
+
+def test_bpe_of_a_million_letters(ranks):
+    text = "".join(random.Random(2).choices("etaoinshrdlucmfwypvbgkqjxz", k=1_000_000)).encode()
+    encoder = byte_bpe.Encoder(ranks, byte_bpe.merge_table(ranks))
+    ids = encoder.rows(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))[0].tolist()
+    by_id = {r: t for t, r in ranks.items()}
+    assert b"".join(by_id[i] for i in ids) == text
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i in range(0, len(ids) - 200, 9973):  # neighbours that encode to themselves make the encoding of the whole
+        assert library.encode_ordinary(b"".join(by_id[x] for x in ids[i : i + 200]).decode()) == ids[i : i + 200]
+
+
 def test_decoding_an_unknown_id_fails(spark, ranks):
     df = spark.createDataFrame([(1, [5, 10**7])], "doc_id long, ids array<int>")
     with pytest.raises(Exception, match="outside the vocabulary"):

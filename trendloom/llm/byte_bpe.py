@@ -1,8 +1,13 @@
 """Operator 10, byte-level BPE encoding and decoding with recursive DuckDB queries, one in-memory connection per partition.
 
 A text is split into the tokenizer's pieces by code-point classes. Every distinct piece of a slice that is no token by itself becomes
-token-position rows; the recursion joins neighbouring rows with the merge table and contracts each piece's leftmost pair of least rank
+token-position rows; the recursion joins neighbouring rows with the merge table and contracts each word's leftmost pair of least rank
 until no pair is left. Decoding joins ids with the vocabulary and concatenates their bytes by ordered aggregation.
+
+Pieces of any length go one way. A piece is cut where no token's bytes in it span the cut, since no merge can cross there. What is longer
+than a window is encoded in half-overlapping windows, which are joined at a token that both have: a sequence of tokens is the encoding of
+its bytes if and only if every two neighbours are the encoding of theirs (the first merge across a border would also be made by the two
+tokens alone), and every two neighbours of the joined sequence come from one window.
 """
 
 from __future__ import annotations
@@ -16,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendloom.llm.arrays import hash_spans, lists, raw_text, slices
+from trendloom.llm.arrays import Rolling, hash_spans, lists, raw_text, slices, stream
 
-SHORT_BYTES = 64
-WORDS_PER_QUERY = 20_000
-CACHED_WORDS = 400_000
-STEPS = 16
+WINDOW = 96  # bytes encoded together; half is a multiple of 2, 3 and 4 bytes, so runs of one character meet in step
+BYTES_PER_QUERY = 200_000
+CACHED_BYTES = 4_000_000
+STEPS = 16  # a query keeps the rows of all its steps, so their number is bounded and words that need more go into the next query
 
-# A row of a short piece is one number x: piece << 40 | position << 20 | token. A pair's key: rank << 40 | position << 20 | next position.
+# A row of a word is one number x: word << 40 | position << 20 | token. A pair's key: rank << 40 | position << 20 | next position.
 NEXT = "SELECT it, (x >> 40)::INT AS w, x, lead(x) OVER (ORDER BY x) AS nx FROM"
 PAIR = "LEFT JOIN merges m ON m.pair = CASE WHEN p.nx >> 40 = p.w THEN ((p.x & 1048575) << 20) | (p.nx & 1048575) END"
 KEY = "it, w, x, (m.rank << 40) | (((x >> 20) & 1048575) << 20) | ((nx >> 20) & 1048575)"
@@ -33,29 +38,10 @@ WITH RECURSIVE s(it, w, x, key) AS (
     UNION ALL
     SELECT {KEY} FROM ({NEXT} (
         SELECT it + 1 AS it, CASE WHEN key = best THEN (x & ~1048575) | (key >> 40) ELSE x END AS x
-        FROM s JOIN (SELECT w, min(key) AS best FROM s GROUP BY w HAVING min(key) IS NOT NULL) b ON s.w = b.w
+        FROM s JOIN (SELECT w, min(key) AS best FROM s WHERE it < {STEPS} GROUP BY w HAVING min(key) IS NOT NULL) b ON s.w = b.w
         WHERE (x >> 20) & 1048575 <> (best & 1048575))) p {PAIR}
 )
-SELECT x FROM s SEMI JOIN (SELECT w, max(it) AS it FROM s GROUP BY w) l ON s.w = l.w AND s.it = l.it ORDER BY x
-"""
-# One long piece: all places of the least pair contract in one step where no merge of the new token has a lower rank (`safe`), which equals
-# taking them one by one from the left; else the leftmost alone. Of overlapping places (runs of one token) every other one counts.
-ENCODE_LONG = f"""
-WITH RECURSIVE s(it, pos, tok, best) AS (
-    SELECT 0, pos, tok, 0::BIGINT FROM start
-    UNION ALL
-    SELECT it + 1, pos, CASE WHEN take THEN rank ELSE tok END, best FROM (
-        SELECT *, lag(take) OVER (ORDER BY pos) AS gone FROM (
-            SELECT *, hit AND row_number() OVER (PARTITION BY hit, run ORDER BY pos) % 2 = 1
-                      AND (safe OR pos = min(pos) FILTER (hit) OVER ()) AS take FROM (
-                SELECT *, row_number() OVER (ORDER BY pos) - row_number() OVER (PARTITION BY hit ORDER BY pos) AS run FROM (
-                    SELECT *, coalesce(rank = best, false) AS hit FROM (
-                        SELECT p.*, m.rank, m.safe, min(m.rank) OVER () AS best
-                        FROM (SELECT it, pos, tok, lead(tok) OVER (ORDER BY pos) AS nxt FROM s WHERE best IS NOT NULL AND it < {STEPS}) p
-                        LEFT JOIN merges m ON m.pair = (p.tok << 20) | p.nxt))) ))
-    WHERE gone IS NOT TRUE
-)
-SELECT it, pos, tok, best FROM s WHERE it = (SELECT max(it) FROM s) ORDER BY pos
+SELECT x, s.it = {STEPS} AS more FROM s SEMI JOIN (SELECT w, max(it) AS it FROM s GROUP BY w) l ON s.w = l.w AND s.it = l.it ORDER BY x
 """
 DECODE = "SELECT doc, list(bytes ORDER BY pos) AS bytes FROM tokens JOIN vocab USING (id) GROUP BY doc ORDER BY doc"
 
@@ -66,19 +52,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(left << 20 | right, rank, safe) of every split of a token into two tokens; bounded by the vocabulary's bytes."""
-    left, right, rank = [], [], []
+def merge_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(left << 20 | right, rank) of every split of a token into two tokens; bounded by the vocabulary's bytes."""
+    pair, rank = [], []
     for token, r in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                left.append(a), right.append(b), rank.append(r)
-    a, b, r = (np.array(x, dtype=np.int64) for x in (left, right, rank))
-    least = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, a, r)
-    np.minimum.at(least, b, r)
-    return a << 20 | b, r, least[r] > r
+                pair.append(a << 20 | b), rank.append(r)
+    return np.array(pair, dtype=np.int64), np.array(rank, dtype=np.int64)
 
 
 def class_table(top: int) -> np.ndarray:
@@ -131,52 +113,141 @@ def piece_starts(points: np.ndarray, row_starts: np.ndarray, table: np.ndarray)
     return np.flatnonzero(start)
 
 
+_VALUE = stream(256, 3)
+
+
+def hashes_by_length(ranks: dict[bytes, int]) -> dict[int, np.ndarray]:
+    """Sorted hashes of the tokens of two and more bytes, by length."""
+    out = {}
+    for size in sorted({len(t) for t in ranks} - {1}):
+        buf = np.frombuffer(b"".join(t for t in ranks if len(t) == size), dtype=np.uint8)
+        at = np.arange(0, len(buf), size)
+        out[size] = np.sort(Rolling(_VALUE[buf]).ranges(at, at + size))
+    return out
+
+
+def cuts(buf: np.ndarray, offs: np.ndarray, hashes: dict[int, np.ndarray]) -> np.ndarray:
+    """Row starts, and places within rows that no occurrence of a token spans; equal hashes of other bytes only leave a cut out."""
+    n = len(buf)
+    rolling, end = Rolling(_VALUE[buf]), np.repeat(offs[1:], np.diff(offs))
+    spans = np.zeros(n + 2, dtype=np.int64)
+    for size, known in hashes.items():
+        at = np.flatnonzero(np.arange(size, n + size) <= end)
+        value = rolling.ranges(at, at + size)
+        at = at[known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value]
+        spans += np.bincount(at + 1, minlength=n + 2) - np.bincount(at + size, minlength=n + 2)
+    cut = np.cumsum(spans)[:n] == 0
+    cut[offs[:-1]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """Pieces to ids within one task; remembers a bounded number of pieces."""
 
     def __init__(self, ranks: dict[bytes, int], merges):
         import duckdb
 
-        self.ranks, self.known = ranks, {}
+        self.ranks, self.known, self.held = ranks, {}, 0
         self.table = class_table(0xFFFF)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        arrow = pa.table({"pair": merges[0], "rank": merges[1], "safe": merges[2]})
+        arrow = pa.table({"pair": merges[0], "rank": merges[1]})
         self.con.register("merge_arrow", arrow)
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merge_arrow")
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.size[list(ranks.values())] = [len(t) for t in ranks]
+        self.hashes = hashes_by_length(ranks)
+
+    def remember(self, piece: bytes, ids: np.ndarray) -> None:
+        self.known[piece] = ids
+        self.held += len(piece)
 
     def learn(self, pieces: list[bytes]) -> None:
         """Encode pieces that are not remembered."""
-        if len(self.known) > CACHED_WORDS:
+        if self.held > CACHED_BYTES:
             self.known.clear()
+            self.held = 0
+        rest = self.without_tokens(pieces)
+        if not rest:
+            return
+        raw = b"".join(rest)
+        offs = np.concatenate(([0], np.cumsum([len(p) for p in rest])))
+        cut = cuts(np.frombuffer(raw, dtype=np.uint8), offs, self.hashes)
+        parts = [raw[a:b] for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(raw)])]
+        self.encode_parts(self.without_tokens(dict.fromkeys(parts)))
+        bounds = np.searchsorted(cut, offs).tolist()
+        for p, a, b in zip(rest, bounds[:-1], bounds[1:]):
+            if b - a > 1:
+                self.remember(p, np.concatenate([self.known[x] for x in parts[a:b]]))
+
+    def without_tokens(self, pieces) -> list[bytes]:
+        """Pieces that are neither remembered nor tokens; tokens are remembered."""
         new = [p for p in pieces if p not in self.known]
-        rest = []
         for p in new:
-            r = self.ranks.get(p)
-            if r is not None:
-                self.known[p] = np.array([r], dtype=np.int32)
-            elif len(p) <= SHORT_BYTES:
-                rest.append(p)
-            else:
-                self.known[p] = self.long(p)
-        for i in range(0, len(rest), WORDS_PER_QUERY):
-            part = rest[i : i + WORDS_PER_QUERY]
-            size = np.array([len(p) for p in part])
-            pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            x = np.repeat(np.arange(len(part)), size) << 40 | pos << 20 | self.byte[np.frombuffer(b"".join(part), dtype=np.uint8)]
-            self.con.register("start", pa.table({"x": x}))
-            out = self.con.sql(ENCODE).to_arrow_table().column(0).to_numpy()
-            ids = (out & 1048575).astype(np.int32)
-            self.known.update(zip(part, np.split(ids, np.searchsorted(out >> 40, np.arange(1, len(part))))))
-
-    def long(self, piece: bytes) -> np.ndarray:
-        pos, tok = np.arange(len(piece)), self.byte[np.frombuffer(piece, dtype=np.uint8)]
-        while True:
-            self.con.register("start", pa.table({"pos": pos, "tok": tok}))
-            out = self.con.sql(ENCODE_LONG).to_arrow_table()
-            pos, tok = out.column("pos").to_numpy(), out.column("tok").to_numpy()
-            if out.column("best")[0].as_py() is None:
-                return tok.astype(np.int32)
+            if p in self.ranks:
+                self.remember(p, np.array([self.ranks[p]], dtype=np.int32))
+        return [p for p in new if p not in self.ranks]
+
+    def encode_parts(self, parts: list[bytes]) -> None:
+        half = WINDOW // 2
+        windows = [[p[a : a + WINDOW] for a in range(0, max(1, len(p) - half), half)] for p in parts]
+        distinct = list(dict.fromkeys(w for ws in windows for w in ws))
+        found = dict(zip(distinct, self.contract(distinct)))
+        for p, ws in zip(parts, windows):
+            self.remember(p, found[p] if len(ws) == 1 else self.joined(p, ws, [found[w] for w in ws]))
+
+    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word by the recursion, in queries over words of about BYTES_PER_QUERY bytes."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(words)
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        group = (np.cumsum(size) - size) // BYTES_PER_QUERY
+        for part in np.split(np.arange(len(words)), np.flatnonzero(np.diff(group)) + 1):
+            n = size[part]
+            pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            x = np.repeat(np.arange(len(part)), n) << 40 | pos << 20 | self.byte[np.frombuffer(b"".join(words[i] for i in part), dtype=np.uint8)]
+            while len(x):
+                self.con.register("start", pa.table({"x": x}))
+                rows = self.con.sql(ENCODE).to_arrow_table()
+                x, more = rows.column("x").to_numpy(), rows.column("more").to_numpy()
+                done = x[~more]
+                which, first = np.unique(done >> 40, return_index=True)
+                for w, ids in zip(which.tolist(), np.split((done & 1048575).astype(np.int32), first[1:])):
+                    out[part[w]] = ids
+                x = x[more]
+        return out
+
+    def joined(self, part: bytes, windows: list[bytes], ids: list[np.ndarray]) -> np.ndarray:
+        """Ids of a part from those of its windows, changing over at the first token that a window shares with the one before."""
+        half = WINDOW // 2
+        flat, win = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        size, bytes_of = self.size[flat], np.array([len(w) for w in windows])
+        at = np.cumsum(size) - size - (np.cumsum(bytes_of) - bytes_of)[win]
+        late = at >= half
+        before = (win[late] + 1) << 40 | (at[late] - half) << 20 | flat[late]
+        both = np.flatnonzero(np.isin(win << 40 | at << 20 | flat, before))
+        which, first = np.unique(win[both], return_index=True)
+        if len(which) < len(ids) - 1:
+            return self.in_turn(part)
+        meet = at[both[first]]
+        lo, hi = np.concatenate(([0], meet)), np.concatenate((meet + half, [WINDOW + 1]))
+        return flat[(at >= lo[win]) & (at < hi[win])].astype(np.int32)
+
+    def in_turn(self, part: bytes) -> np.ndarray:
+        """As `joined` where some windows share no token: each window starts at a token of the one before, and grows until both agree on it."""
+        out, start, width = [], 0, WINDOW
+        ids = self.contract([part[:width]])[0]
+        while start + width < len(part):
+            ends = np.cumsum(self.size[ids])
+            j = int(np.searchsorted(ends, width // 2, side="right"))  # first token that ends behind the middle
+            if j:
+                nxt = self.contract([part[start + int(ends[j - 1]) : start + int(ends[j - 1]) + width]])[0]
+                if nxt[0] == ids[j]:
+                    out.append(ids[:j])
+                    start, ids = start + int(ends[j - 1]), nxt
+                    continue
+            width *= 2
+            ids = self.contract([part[start : start + width]])[0]
+        return np.concatenate([*out, ids])
 
     def rows(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and their number per row."""
