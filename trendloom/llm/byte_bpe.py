@@ -4,7 +4,7 @@ A text is split into the tokenizer's pieces by code-point classes. Every distinc
 token-position rows; the recursion joins neighbouring rows with the merge table and contracts each word's leftmost pair of least rank
 until no pair is left. Decoding joins ids with the vocabulary and concatenates their bytes by ordered aggregation.
 
-Pieces of any length go one way. A piece is cut where no token's bytes in it span the cut, since no merge can cross there. What is longer
+Pieces of any length go one way. Beyond the size of a word a piece is cut where no token's bytes in it span the cut, since no merge can cross there. What is longer
 than a window is encoded in half-overlapping windows, which are joined at a token that both have: a sequence of tokens is the encoding of
 its bytes if and only if every two neighbours are the encoding of theirs (the first merge across a border would also be made by the two
 tokens alone), and every two neighbours of the joined sequence come from one window.
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from trendloom.llm.arrays import Rolling, hash_spans, lists, raw_text, slices, stream
 
+WORD_BYTES = 24  # shorter pieces are not cut first: looking for cuts would cost more than the steps it saves
 WINDOW = 96  # bytes encoded together; half is a multiple of 2, 3 and 4 bytes, so runs of one character meet in step
 BYTES_PER_QUERY = 200_000
 CACHED_BYTES = 4_000_000
@@ -168,13 +169,15 @@ class Encoder:
             self.known.clear()
             self.held = 0
         rest = self.without_tokens(pieces)
+        words = [p for p in rest if len(p) <= WORD_BYTES]
+        rest = [p for p in rest if len(p) > WORD_BYTES]
         if not rest:
-            return
+            return self.encode_parts(words)
         raw = b"".join(rest)
         offs = np.concatenate(([0], np.cumsum([len(p) for p in rest])))
         cut = cuts(np.frombuffer(raw, dtype=np.uint8), offs, self.hashes)
         parts = [raw[a:b] for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(raw)])]
-        self.encode_parts(self.without_tokens(dict.fromkeys(parts)))
+        self.encode_parts(list(dict.fromkeys(words + self.without_tokens(dict.fromkeys(parts)))))
         bounds = np.searchsorted(cut, offs).tolist()
         for p, a, b in zip(rest, bounds[:-1], bounds[1:]):
             if b - a > 1:
