@@ -206,3 +206,37 @@ def test_rollback_leaves_no_links_to_removed_entries(table):
     assert [tuple(r) for r in left["occurrences"].orderBy("occurrence_id").collect()] == [(1, 100, "old"), (1, 101, None)]
     assert rows_of(left["decisions"], "decision_id") == [(1,), (4,)]
     assert rows_of(left["canonicals"], "canonical_id") == [("old",), ("seeded",)]
+
+
+TEXTS = "language string, title string, summary string, rationale string"
+
+
+def test_edits_reach_both_languages(table):
+    rows = [
+        ("applied", "correct", 1, 10, 100, "New", None, "de"), ("applied", "confirm", 2, 20, 101, "ignored", None, "en"),
+        ("applied", "correct", 3, 30, 102, None, "Long", "en"), ("applied", "correct", 3, 30, 90, "older", None, "en"), ("refused", "correct", 4, 40, 103, "x", None, "en"),
+    ]
+    outcomes = table(rows, "outcome string, action string, decided_id long, o_trend_id long, decision_key long, new_title string, new_summary string, edit_language string")
+    texts = table([(t, lang, f"T{t}{lang}", f"S{t}{lang}", f"R{t}{lang}") for t in (10, 20, 30, 40) for lang in ("de", "en")], "trend_id long, " + TEXTS)
+    before = table([(c, lang, f"old{c}", "s", None) for c in (1, 4) for lang in ("de", "en")], "canonical_id long, " + TEXTS)
+    supplied = table([(102, "Titel", "Lang", None), (90, "wrong", "wrong", "wrong")], "decision_key long, title string, summary string, rationale string")
+    got = {(r[0], r[1]): tuple(r[2:]) for r in P.sync_translations(outcomes, before, texts, supplied).collect()}
+    assert got == {
+        (1, "de"): ("New", "S10de", "R10de"), (1, "en"): ("New", "S10de", "R10de"), (2, "de"): ("T20de", "S20de", "R20de"), (2, "en"): ("T20en", "S20en", "R20en"),
+        (3, "en"): ("T30en", "Long", "R30en"), (3, "de"): ("Titel", "Lang", "R30en"), (4, "de"): ("old4", "s", None), (4, "en"): ("old4", "s", None),
+    }
+
+
+def test_silent_updates_bring_their_texts(table):
+    occurrences = table([(1, 5, 10, []), (1, 6, 11, []), (2, 6, 12, ["moved"]), (None, 6, 13, [])], "canonical_id long, run_id long, trend_id long, review_reasons array<string>")
+    texts = table([(t, "en", f"T{t}", "s", None) for t in (10, 11, 12, 13)], "trend_id long, " + TEXTS)
+    before = table([(c, "en", f"old{c}", "s", None) for c in (1, 2)], "canonical_id long, " + TEXTS)
+    assert rows_of(M.auto_apply_texts(before, occurrences, texts), "canonical_id", "title") == [(1, "T11"), (2, "old2")]
+
+
+def test_topics_without_documents_are_judged_by_evidence(table):
+    trends = table([(1, 1), (2, 2), (3, 3)], "trend_id long, topic_id long")
+    members = table([(1, 7, "own", date(2024, 1, 1), False, 0), (1, 8, "newer", date(2025, 1, 1), False, 0), (2, 9, "outlier", None, True, 0)], "topic_id long, doc_id long, title string, published_at date, is_outlier boolean, tie int")
+    evidence = table([(1, 1, "unused"), (2, 2, "second"), (2, 1, "first"), (2, 3, "")], "trend_id long, ord int, title string")
+    got = {r[0]: tuple(r[1:]) for r in G.representative_titles(trends, members, evidence).collect()}
+    assert got == {1: (["newer", "own"], False), 2: (["first", "second"], True), 3: ([], False)}

@@ -324,6 +324,21 @@ def g19(m):
     )
 
 
+@catalog.add(
+    "g19_evidence_fallback",
+    f"""WITH o AS (SELECT topic_id, 'Paper ' || {word('doc_id')} AS title, row_number() OVER (PARTITION BY topic_id ORDER BY published_at DESC, doc_id, source_id) AS rank
+            FROM {{topic_docs}} WHERE NOT is_outlier AND topic_id % 3 <> 0),
+        own AS (SELECT topic_id, string_agg(title, '|' ORDER BY rank) AS titles FROM o WHERE rank <= 8 GROUP BY 1),
+        ev AS (SELECT trend_id, string_agg(title, '|' ORDER BY ord) AS titles FROM {{evidence}} WHERE title <> '' GROUP BY 1)
+        SELECT t.trend_id, coalesce(own.titles, ev.titles, '') AS titles, own.titles IS NULL AND ev.titles IS NOT NULL AS from_evidence
+        FROM {{trends}} t LEFT JOIN own ON own.topic_id = t.topic_id LEFT JOIN ev ON ev.trend_id = t.trend_id""",
+)
+def g19_fallback(m):
+    """Every third topic has lost its documents: its trends are judged by their stored evidence."""
+    docs = m.topic_docs.where("topic_id % 3 <> 0").withColumn("title", F.concat(F.lit("Paper "), F.expr(word("doc_id")))).withColumn("tie", F.col("source_id"))
+    return G.representative_titles(m.trends, docs, m.evidence).withColumn("titles", F.array_join("titles", "|"))
+
+
 @catalog.add(
     "g20_chart_data",
     """WITH tp AS (SELECT topic_id, string_agg(period || ':' || CAST(doc_count AS STRING), ',' ORDER BY period) AS points FROM {timepoints} GROUP BY 1)

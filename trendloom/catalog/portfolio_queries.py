@@ -301,6 +301,19 @@ def h13(m):
     return rows.select("canonical_id", "title", "uncertainty", "last_run_id", "updated_at")
 
 
+@catalog.add(
+    "h13_auto_applied_texts",
+    f"""WITH {RECONCILE_SQL}, si AS (SELECT canonical_id, arg_max(trend_id, (run_id, trend_id)) AS trend_id FROM oc WHERE reasons = '' AND canonical_id IS NOT NULL GROUP BY 1)
+        SELECT c.canonical_id, l.language, CASE WHEN si.trend_id IS NULL THEN c.title WHEN x.trend_id IS NOT NULL THEN x.title ELSE p.title END AS title,
+            CASE WHEN si.trend_id IS NULL THEN c.summary WHEN x.trend_id IS NOT NULL THEN x.summary ELSE p.summary END AS summary,
+            CASE WHEN si.trend_id IS NOT NULL THEN coalesce(nullif(x.rationale, ''), a.rationale) END AS rationale
+        FROM {{canonicals}} c CROSS JOIN (VALUES ('de'), ('en')) l(language) LEFT JOIN si ON si.canonical_id = c.canonical_id LEFT JOIN {{trends}} p ON p.trend_id = si.trend_id
+        LEFT JOIN {{assessments}} a ON a.trend_id = si.trend_id LEFT JOIN {{translations}} x ON x.trend_id = si.trend_id AND x.language = l.language""",
+)
+def h13_texts(m):
+    return M.auto_apply_texts(P.base_texts(m.canonicals), reconciled(m), review_texts(m))
+
+
 # ---------------------------------------------------------------- run diff
 
 SNAP_COLUMNS = ", ".join(
@@ -861,9 +874,40 @@ def h43(m):
         UNION ALL SELECT c.canonical_id, l.language, c.title, c.summary, NULL FROM {{canonicals}} c CROSS JOIN (VALUES ('de'), ('en')) l(language) WHERE c.canonical_id NOT IN (SELECT canonical_id FROM ac)""",
 )
 def h44(m):
-    base = m.trends.join(m.assessments.select("trend_id", "rationale"), "trend_id", "left")
-    texts = G.resolve_texts(base, m.translations)
-    supplied = m.decisions.where("new_title LIKE '%solar%' OR new_title LIKE '%glass%'").select(
-        F.col("new_title").alias("text"), F.concat(F.lit("Bearbeitet: "), F.col("new_title")).alias("translated")
-    ).distinct()
-    return P.sync_translations(outcomes(m), P.base_texts(m.canonicals), texts, supplied)
+    return P.sync_translations(outcomes(m), P.base_texts(m.canonicals), review_texts(m), supplied_titles(m.decisions))
+
+
+def review_texts(m):
+    return G.resolve_texts(m.trends.join(m.assessments.select("trend_id", "rationale"), "trend_id", "left"), m.translations)
+
+
+def supplied_titles(decisions):
+    """Translations of the edited titles about solar or glass."""
+    none = F.lit(None).cast("string")
+    known = decisions.where("new_title LIKE '%solar%' OR new_title LIKE '%glass%'")
+    return known.groupBy("decision_key").agg(F.concat(F.lit("Bearbeitet: "), F.min("new_title")).alias("title")).withColumns({"summary": none, "rationale": none})
+
+
+EDITS = {
+    "edit_language": "CASE WHEN decision_key % 2 = 0 THEN 'de' ELSE 'en' END",
+    "new_summary": "CASE WHEN decision_key % 5 < 2 THEN 'Summary of ' || new_title END",
+}
+
+
+@catalog.add(
+    "h44_translation_edits",
+    f"""WITH {REVIEW_SQL}, {PROP_SQL}, ac AS (SELECT decided_id AS canonical_id, max(decision_key) AS k, arg_max({{'t': o_trend_id, 'e': CASE WHEN action = 'correct' THEN nullif(new_title, '') END}}, decision_key) AS a FROM rr
+            WHERE outcome = 'applied' AND action IN ('confirm', 'correct', 'create') GROUP BY 1),
+        ed AS (SELECT canonical_id, a.t AS trend_id, a.e AS e, CASE WHEN k % 5 < 2 THEN 'Summary of ' || a.e END AS s, CASE WHEN k % 2 = 0 THEN 'de' ELSE 'en' END AS lang FROM ac),
+        b AS (SELECT ed.*, l.language, CASE WHEN x.trend_id IS NOT NULL THEN x.title ELSE p.title END AS title, CASE WHEN x.trend_id IS NOT NULL THEN x.summary ELSE p.summary END AS summary,
+            coalesce(nullif(x.rationale, ''), p.rationale) AS rationale FROM ed JOIN prop p ON p.trend_id = ed.trend_id CROSS JOIN (VALUES ('de'), ('en')) l(language)
+            LEFT JOIN {{translations}} x ON x.trend_id = p.trend_id AND x.language = l.language)
+        SELECT b.canonical_id, b.language, CASE WHEN b.e IS NULL THEN b.title WHEN b.language = b.lang THEN b.e WHEN b.e LIKE '%solar%' OR b.e LIKE '%glass%' THEN 'Bearbeitet: ' || b.e ELSE b.e END AS title,
+            CASE WHEN b.e IS NULL THEN b.summary ELSE coalesce(b.s, o.summary) END AS summary, CASE WHEN b.e IS NULL THEN b.rationale ELSE o.rationale END AS rationale
+        FROM b JOIN b o ON o.canonical_id = b.canonical_id AND o.language = b.lang
+        UNION ALL SELECT c.canonical_id, l.language, c.title, c.summary, NULL FROM {{canonicals}} c CROSS JOIN (VALUES ('de'), ('en')) l(language) WHERE c.canonical_id NOT IN (SELECT canonical_id FROM ac)""",
+)
+def h44_edits(m):
+    """Reviewers of both languages, some also with a new summary."""
+    rows = outcomes(m).withColumns({c: F.expr(e) for c, e in EDITS.items()})
+    return P.sync_translations(rows, P.base_texts(m.canonicals), review_texts(m), supplied_titles(m.decisions))

@@ -286,6 +286,20 @@ def representative_documents(members: DataFrame, n: int = 8) -> DataFrame:
     return inside.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
 
 
+def representative_titles(trends: DataFrame, members: DataFrame, evidence: DataFrame, n: int = 8) -> DataFrame:
+    """trend_id, titles, from_evidence: titles of a topic's newest n documents, without any the titles of the trend's stored evidence.
+
+    trends: trend_id, topic_id; evidence: trend_id, ord, title. Outliers and blank titles give none.
+    """
+    listed = lambda order: F.transform(F.array_sort(F.collect_list(F.struct(order, "title"))), lambda x: x["title"])
+    newest = representative_documents(members, n).where("title <> ''").groupBy("topic_id").agg(listed("rank").alias("own"))
+    rows = trends.select("trend_id", "topic_id").join(newest, "topic_id", "left")
+    stored = evidence.where("title <> ''").join(rows.where("own IS NULL").select("trend_id"), "trend_id", "left_semi")
+    rows = rows.join(stored.groupBy("trend_id").agg(listed("ord").alias("kept")), "trend_id", "left")
+    titles = F.coalesce("own", "kept", F.array().cast("array<string>"))
+    return rows.select("trend_id", titles.alias("titles"), (F.col("own").isNull() & F.col("kept").isNotNull()).alias("from_evidence"))
+
+
 def chart_data(trends: DataFrame, assessments: DataFrame, timepoints: DataFrame) -> DataFrame:
     """One row per trend with its ordered time points, ranked by impact and uncertainty inside the run."""
     points = timepoints.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("period", "doc_count"))).alias("timepoints"))

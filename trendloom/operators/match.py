@@ -304,13 +304,18 @@ def reconcile(
     })
 
 
+def newest_silent(occurrences: DataFrame) -> DataFrame:
+    """canonical_id, run_id, trend_id of the newest occurrence of every entry that needs no review."""
+    silent = occurrences.where((F.size("review_reasons") == 0) & F.col("canonical_id").isNotNull())
+    return silent.groupBy("canonical_id").agg(F.max(F.struct("run_id", "trend_id")).alias("a")).select("canonical_id", "a.*")
+
+
 def auto_apply(canonicals: DataFrame, proposed: DataFrame, occurrences: DataFrame, runs: DataFrame) -> DataFrame:
     """New portfolio snapshot: occurrences without a review reason overwrite values and mark the run.
 
     When several runs are applied at once the newest wins; the update time is the end of the run.
     """
-    silent = occurrences.where((F.size("review_reasons") == 0) & F.col("canonical_id").isNotNull())
-    newest = silent.groupBy("canonical_id").agg(F.max(F.struct("run_id", "trend_id")).alias("a")).select("canonical_id", "a.*")
+    newest = newest_silent(occurrences)
     values = proposed.select("trend_id", "assessed", *[F.col(f).alias(f"n_{f}") for f in PROPOSED_FIELDS])
     ended = runs.select("run_id", F.coalesce("finished_at", "started_at").alias("n_updated_at"))
     updates = newest.join(values, "trend_id").join(ended, "run_id", "left").drop("trend_id").withColumnRenamed("run_id", "n_last_run_id")
@@ -322,6 +327,16 @@ def auto_apply(canonicals: DataFrame, proposed: DataFrame, occurrences: DataFram
     return rows.withColumns(columns).select(*canonicals.columns)
 
 
+def auto_apply_texts(canonical_texts: DataFrame, occurrences: DataFrame, trend_texts: DataFrame) -> DataFrame:
+    """Texts per language after `auto_apply`: all languages of an entry that a run updates silently come from that run's trend.
+
+    canonical_texts: canonical_id and trend_texts: trend_id, each with language, title, summary, rationale.
+    """
+    newest = newest_silent(occurrences).select("canonical_id", "trend_id")
+    fresh = newest.join(trend_texts, "trend_id").select("canonical_id", "language", "title", "summary", "rationale")
+    return fresh.unionByName(canonical_texts.join(newest, "canonical_id", "left_anti").select(*fresh.columns))
+
+
 def sanitize(rows: DataFrame, before: str = "b_") -> DataFrame:
     """Drop stored differences that are noise and type the change again.
 
