@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from trendloom.llm.arrays import ALNUM, LOWER, hash_spans, slices, word_spans
 
 WINDOW = 10
+SHORT_ITEM = 5  # words of the shortest item that is cut out wherever it occurs
 AUTOMATON_WORDS = 100_000
 
 
@@ -203,10 +204,11 @@ def contamination(
     return rest.mapInArrow(run, schema)
 
 
-def remove_spans(found: DataFrame, text_col: str = "text", least_words: int = WINDOW, most_coverage: float = 0.5) -> DataFrame:
+def remove_spans(found: DataFrame, text_col: str = "text", least_words: int = SHORT_ITEM, most_coverage: float = 0.5) -> DataFrame:
     """Rows of `contamination` with hit spans of at least `least_words` words cut out of the text; rows hit beyond `most_coverage` go.
 
-    Shorter spans (whole short items) are cut only from rows whose coverage exceeds half of `most_coverage`.
+    Spans below the window are whole short items; those below `least_words` are phrases that clean texts use too and are cut only from
+    rows whose coverage exceeds half of `most_coverage`.
     """
     names, schema = found.columns, found.schema
 
