@@ -84,6 +84,18 @@ def write_parts(df, path, parts):
         df.where(part).coalesce(1).write.mode("append").parquet(path)
 
 
+def test_tables_stream_from_one_file_and_from_a_folder_of_files(spark, table, tmp_path):
+    docs = table([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    write_parts(docs, str(tmp_path / "many.parquet"), ["doc_id < 7", "doc_id >= 7"])
+    single = next((tmp_path / "many.parquet").glob("part-*.parquet"))
+    single.rename(tmp_path / "one.parquet")
+    for name in ("many", "one"):
+        stream = K.log_stream(spark, str(tmp_path), f"{name}.parquet")
+        K.drain_append(stream, str(tmp_path / f"out-{name}"))
+    kept = [set(r[0] for r in spark.read.parquet(str(tmp_path / f"out-{name}/data")).collect()) for name in ("many", "one")]
+    assert all(kept) and kept[0] | kept[1] == set(range(20)) and not kept[0] & kept[1]
+
+
 def test_streamed_progress_equals_batch(spark, table, tmp_path):
     rows = [(i, i % 4, ["ingest", "embed", "match"][i % 3], i * 9 - 20, f"m{i}", "source_searched" if i % 5 == 0 else None) for i in range(30)]
     events = table(rows, EVENTS)

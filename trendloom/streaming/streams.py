@@ -23,12 +23,13 @@ FETCH_EVENTS = ("source_searched", "source_failed")
 
 
 def log_stream(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
-    """Stream of a Parquet table folder or of one file in it; the schema is taken from the files."""
+    """Stream of a Parquet table, a folder or one file; the schema is taken from the files."""
     path = f"{folder}/{name}"
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    if name.endswith(".parquet"):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
