@@ -227,6 +227,17 @@ def test_edits_reach_both_languages(table):
     }
 
 
+def test_supplied_translations_belong_to_one_decision(table):
+    """Two decisions of one key: the newer one counts, with its own translation or none."""
+    rows = [("applied", "correct", 1, 10, 100, 2, "Roof"), ("applied", "correct", 2, 20, 101, 1, "Glass"), ("applied", "correct", 2, 20, 101, 3, "Wall")]
+    outcomes = table(rows, "outcome string, action string, decided_id long, o_trend_id long, decision_key long, tie long, new_title string")
+    texts = table([(t, lang, f"T{t}{lang}", "s", None) for t in (10, 20) for lang in ("de", "en")], "trend_id long, " + TEXTS)
+    supplied = table([(100, 1, "Glas", None, None), (101, 1, "Glas", None, None), (101, 3, "Wand", None, None)], "decision_key long, tie long, title string, summary string, rationale string")
+    before = table([(9, "en", "old", "s", None)], "canonical_id long, " + TEXTS)
+    got = P.sync_translations(outcomes, before, texts, supplied, order=("decision_key", "tie"))
+    assert rows_of(got.where("canonical_id < 9"), "canonical_id", "language", "title") == [(1, "de", "Roof"), (1, "en", "Roof"), (2, "de", "Wand"), (2, "en", "Wall")]
+
+
 def test_silent_updates_bring_their_texts(table):
     occurrences = table([(1, 5, 10, []), (1, 6, 11, []), (2, 6, 12, ["moved"]), (None, 6, 13, [])], "canonical_id long, run_id long, trend_id long, review_reasons array<string>")
     texts = table([(t, "en", f"T{t}", "s", None) for t in (10, 11, 12, 13)], "trend_id long, " + TEXTS)

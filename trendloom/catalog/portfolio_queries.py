@@ -874,7 +874,7 @@ def h43(m):
         UNION ALL SELECT c.canonical_id, l.language, c.title, c.summary, NULL FROM {{canonicals}} c CROSS JOIN (VALUES ('de'), ('en')) l(language) WHERE c.canonical_id NOT IN (SELECT canonical_id FROM ac)""",
 )
 def h44(m):
-    return P.sync_translations(outcomes(m), P.base_texts(m.canonicals), review_texts(m), supplied_titles(m.decisions))
+    return P.sync_translations(outcomes(m), P.base_texts(m.canonicals), review_texts(m), supplied_titles(m.decisions), order=tuple(ORDER))
 
 
 def review_texts(m):
@@ -885,7 +885,7 @@ def supplied_titles(decisions):
     """Translations of the edited titles about solar or glass."""
     none = F.lit(None).cast("string")
     known = decisions.where("new_title LIKE '%solar%' OR new_title LIKE '%glass%'")
-    return known.groupBy("decision_key").agg(F.concat(F.lit("Bearbeitet: "), F.min("new_title")).alias("title")).withColumns({"summary": none, "rationale": none})
+    return known.groupBy(*ORDER).agg(F.concat(F.lit("Bearbeitet: "), F.min("new_title")).alias("title")).withColumns({"summary": none, "rationale": none})
 
 
 EDITS = {
@@ -910,4 +910,4 @@ EDITS = {
 def h44_edits(m):
     """Reviewers of both languages, some also with a new summary."""
     rows = outcomes(m).withColumns({c: F.expr(e) for c, e in EDITS.items()})
-    return P.sync_translations(rows, P.base_texts(m.canonicals), review_texts(m), supplied_titles(m.decisions))
+    return P.sync_translations(rows, P.base_texts(m.canonicals), review_texts(m), supplied_titles(m.decisions), order=tuple(ORDER))

@@ -375,27 +375,28 @@ def reorder(canonicals: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFra
     return moved.select(*canonicals.columns), wanted.join(canonicals, "canonical_id", "left_anti")
 
 
-def sync_translations(outcomes: DataFrame, canonical_texts: DataFrame, trend_texts: DataFrame, supplied: DataFrame, language: str = "en") -> DataFrame:
+def sync_translations(outcomes: DataFrame, canonical_texts: DataFrame, trend_texts: DataFrame, supplied: DataFrame, language: str = "en", order: tuple[str, ...] = ("decision_key",)) -> DataFrame:
     """Bilingual texts of entries after accepted reviews; the newest accepted review of an entry counts.
 
     Base is the accepted trend's text per language. A correction's new title and summary (`new_summary`, where the outcomes have it) overwrite
     the reviewer's language (`edit_language`, where the outcomes have it, else `language`); the other language then takes the translation of
     the whole edited text that `supplied` holds for the decision, field by field the same text without one.
-    canonical_texts and trend_texts: id, language, title, summary, rationale; supplied: decision_key, title, summary, rationale.
+    canonical_texts and trend_texts: id, language, title, summary, rationale; supplied: the columns of `order`, title, summary, rationale.
+    order: columns that order and tell apart the decisions.
     """
     correct = F.col("action") == "correct"
     edit = lambda c: F.when(correct & (F.col(c) != ""), F.col(c)) if c in outcomes.columns else F.lit(None).cast("string")
     accepted = outcomes.where("outcome = 'applied' AND action IN ('confirm', 'correct', 'create')").select(
-        F.col("decided_id").alias("canonical_id"), F.col("o_trend_id").alias("trend_id"), "decision_key", edit("new_title").alias("e_title"), edit("new_summary").alias("e_summary"),
+        F.col("decided_id").alias("canonical_id"), F.col("o_trend_id").alias("trend_id"), *order, edit("new_title").alias("e_title"), edit("new_summary").alias("e_summary"),
         (F.coalesce("edit_language", F.lit(language)) if "edit_language" in outcomes.columns else F.lit(language)).alias("e_language"),
     )
-    newest = F.max_by(F.struct("trend_id", "decision_key", "e_title", "e_summary", "e_language"), "decision_key")
+    newest = F.max_by(F.struct("trend_id", *order, "e_title", "e_summary", "e_language"), F.struct(*order))
     latest = accepted.groupBy("canonical_id").agg(newest.alias("a")).select("canonical_id", "a.*")
     rows = latest.join(trend_texts, "trend_id").withColumns({"title": F.coalesce(F.when(F.col("language") == F.col("e_language"), F.col("e_title")), "title"), "summary": F.coalesce(F.when(F.col("language") == F.col("e_language"), F.col("e_summary")), "summary")})
     texts = ("title", "summary", "rationale")
     own = F.max(F.when(F.col("language") == F.col("e_language"), F.struct(*texts))).over(Window.partitionBy("canonical_id"))  # one row per language
-    translated = supplied.select("decision_key", *[F.col(c).alias(f"t_{c}") for c in texts])
-    rows = rows.withColumn("own", own).join(translated, "decision_key", "left")
+    translated = supplied.select(*order, *[F.col(c).alias(f"t_{c}") for c in texts])
+    rows = rows.withColumn("own", own).join(translated, list(order), "left")
     other = F.coalesce("e_title", "e_summary").isNotNull() & (F.col("language") != F.col("e_language"))
     rows = rows.select("canonical_id", "language", *[F.when(other, F.coalesce(f"t_{c}", f"own.{c}")).otherwise(F.col(c)).alias(c) for c in texts])
     return rows.unionByName(canonical_texts.join(latest, "canonical_id", "left_anti").select("canonical_id", "language", *texts))
