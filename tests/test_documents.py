@@ -167,6 +167,24 @@ def test_near_duplicates_match_brute_force(table):
     assert dict(rows_of(D.near_duplicates(df), "seq", "near_duplicate_of")) == want
 
 
+def test_titles_of_other_sizes_never_meet(table):
+    rnd = random.Random(8)
+    titles = ["".join(rnd.choice("abc") for _ in range(rnd.choice([*range(0, 60), 94, 100, 188, 200, 4700, 5000]))) for _ in range(450)]
+    got = D.lookback_pairs(table(list(enumerate(titles)), "seq long, title string"), F.length, 0.94)
+    want = [
+        (i, j) for i, a in enumerate(titles) if len(a) >= 20 for j in range(max(0, i - 200), i)
+        if min(len(a), len(titles[j])) / max(len(a), len(titles[j])) >= 0.94
+    ]
+    assert rows_of(got, "seq", "other") == sorted(want)
+
+
+def test_near_duplicates_by_edits_at_the_border(table):
+    title = "a" * 25 + "b" * 25  # three edits of 50 reach 0.94, four do not
+    titles = [title, title, "xyz" + title[3:], "wxyz" + title[4:], title[3:], title[4:], "é" * 25, "é" * 24 + "è"]
+    got = rows_of(D.near_duplicates_by_edits(table(list(enumerate(titles)), "seq long, title string")), "seq", "near_duplicate_of")
+    assert got == [(1, 0), (2, 1), (3, 2), (4, 2), (5, 4), (7, 6)]
+
+
 def test_source_dimension(table):
     docs = table([("a", "x"), ("b", "x"), ("a", "y"), ("a", "x")], "source_name string, source_type string")
     got = D.extend_sources(docs, table([(7, "a", "x")], "source_id long, source_name string, source_type string"))

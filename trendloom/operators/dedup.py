@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -103,22 +104,26 @@ def exact_dedupe(docs: DataFrame, store: DataFrame | None = None, order: str = "
     return docs.drop(*IDENTITY).join(found, order).select(docs.columns)
 
 
-def lookback_pairs(docs: DataFrame, order: str = "seq", lookback: int = NEAR_DUPLICATE_LOOKBACK) -> DataFrame:
-    """Each title with the titles of the `lookback` documents before it.
+def lookback_pairs(docs: DataFrame, size: Callable[[str], Column], least: float, order: str = "seq", lookback: int = NEAR_DUPLICATE_LOOKBACK) -> DataFrame:
+    """Each title with the titles of the `lookback` documents before it whose size is at least `least` of the larger of the two.
 
-    `order` must be dense. Blocks of `lookback` documents make the range join an equi-join, and no
-    block ever holds more than `lookback` documents on one side and twice that on the other.
+    `order` must be dense; `size` gives a title's size from its column name. Blocks of `lookback` documents and steps of the size's logarithm
+    make the range join an equi-join: titles far apart in size never meet, and no block holds more than `lookback` documents on one side and
+    twice that on the other. Titles are normalised once.
     """
     titles = docs.select(F.col(order).alias("seq"), normalize_text(F.col("title")).alias("norm_title"))
-    titles = titles.withColumn("chars", F.length("norm_title"))
+    titles = written(titles.withColumns({"chars": F.length("norm_title"), "size": size("norm_title")}), "titles")
     block = F.floor(F.col("seq") / lookback)
-    left = titles.where(F.col("chars") >= 20).withColumn("block", block)
+    # a hair wider than the ratio, so that titles at exactly the ratio are never two steps apart
+    step = F.floor(F.ln(F.greatest("size", F.lit(1))) / (-math.log(least) * (1 + 1e-9))).cast("int")
+    left = titles.where(F.col("chars") >= 20).withColumns({"block": block, "step": F.explode(F.array(step - 1, step, step + 1))})
     right = titles.select(
-        F.col("seq").alias("other"), F.col("norm_title").alias("other_title"), F.col("chars").alias("other_chars"),
-        F.explode(F.array(block, block + 1)).alias("block"),
+        F.col("seq").alias("other"), F.col("norm_title").alias("other_title"), F.col("chars").alias("other_chars"), F.col("size").alias("other_size"),
+        step.alias("step"), F.explode(F.array(block, block + 1)).alias("block"),
     )
-    pairs = left.join(right, "block")
-    return pairs.where((F.col("other") < F.col("seq")) & (F.col("other") >= F.col("seq") - lookback)).drop("block")
+    near = (F.col("other") < F.col("seq")) & (F.col("other") >= F.col("seq") - lookback)
+    alike = F.least("size", "other_size") / F.greatest("size", "other_size") >= least
+    return left.join(right, ["block", "step"]).where(near & alike).drop("block", "step")
 
 
 @F.pandas_udf(BooleanType())
@@ -134,7 +139,7 @@ def _alike(title: pd.Series, other: pd.Series, ratio: pd.Series) -> pd.Series:
 
 def near_duplicates(docs: DataFrame, order: str = "seq", ratio: float = NEAR_DUPLICATE_RATIO) -> DataFrame:
     """Newest of the preceding documents whose title is nearly the same; marks, never merges."""
-    pairs = lookback_pairs(docs, order)
+    pairs = lookback_pairs(docs, F.length, ratio / (2 - ratio) * (1 - 1e-9), order)
     bound = 2 * F.least("chars", "other_chars") / (F.col("chars") + F.col("other_chars"))
     close = pairs.where(bound >= ratio).where(_alike("norm_title", "other_title", F.lit(ratio)))
     return close.groupBy("seq").agg(F.max("other").alias("near_duplicate_of"))
@@ -143,13 +148,12 @@ def near_duplicates(docs: DataFrame, order: str = "seq", ratio: float = NEAR_DUP
 def near_duplicates_by_edits(docs: DataFrame, order: str = "seq", ratio: float = NEAR_DUPLICATE_RATIO) -> DataFrame:
     """Same marking on the edit distance of the UTF-8 bytes, without Python workers."""
     raw = lambda c: F.decode(F.encode(F.col(c), "UTF-8"), "ISO-8859-1")
-    pairs = lookback_pairs(docs, order).withColumns({"a": raw("norm_title"), "b": raw("other_title")})
-    longest = F.greatest(F.length("a"), F.length("b"))
-    pairs = pairs.withColumns({"longest": longest, "allowed": F.floor(longest * (1 - ratio) + 1e-9).cast("int")})
-    possible = pairs.where(F.least(F.length("a"), F.length("b")) / F.col("longest") >= ratio)
+    longest = F.greatest("size", "other_size")
+    guess = F.floor(longest * (1 - ratio) + 1e-9).cast("int")
+    allowed = F.when(1 - guess / longest >= ratio, guess).otherwise(guess - 1)
+    pairs = lookback_pairs(docs, F.octet_length, ratio, order).withColumns({"a": raw("norm_title"), "b": raw("other_title"), "allowed": allowed})
     # The bounded distance walks a band as wide as the allowed edits and gives -1 beyond it.
-    edits = F.expr("levenshtein(a, b, allowed)")
-    close = possible.where((edits >= 0) & (1 - edits / F.col("longest") >= ratio))
+    close = pairs.where(F.expr("CASE WHEN norm_title = other_title THEN 0 ELSE levenshtein(a, b, allowed) END >= 0"))
     return close.groupBy("seq").agg(F.max("other").alias("near_duplicate_of"))
 
 
