@@ -182,3 +182,14 @@ def test_lda_reads_documents_without_vectors(table):
         patch.setattr(E, "comparison_report", lambda ranked, pairs, count: read.append({r["term"] for r in pairs.collect()}) or report(ranked, pairs, count))
         topics_queries.e13(m)
     assert read == [16, {"meadow", "river", "forest", "copper", "alloy", "furnace"}]
+
+
+def test_terms_are_counted_in_bounded_pieces_and_ranked_over_all_tasks(spark, table):
+    """One run's terms stay spread: neither its text nor its ranking lies in one task."""
+    from trendloom.functions.joins import in_pieces
+
+    docs = table([(1, i % 3, f"word{i % 50} word{i % 7} common") for i in range(600)], "run_id long, topic_index int, text string")
+    assert in_pieces(docs, "text", 500).rdd.getNumPartitions() >= 20
+    ranked = E.keywords(E.class_terms(docs, bigrams=True))
+    assert "BroadcastHashJoin [run_id" in ranked._jdf.queryExecution().executedPlan().toString()
+    assert ranked.count() == 24

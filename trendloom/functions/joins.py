@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +25,9 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores for expensive per-row work on an input of few splits; big inputs pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def in_pieces(df: DataFrame, column: str, chars: int = 8 << 20) -> DataFrame:
+    """Partitions of about `chars` characters of `column` each, for steps whose memory grows with the text of a task."""
+    whole = df.agg(F.sum(F.length(column))).first()[0] or 0
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(whole / chars)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.constants import MAX_TOPICS, STOP_WORDS
-from trendloom.functions.joins import salted_join
+from trendloom.functions.joins import in_pieces, salted_join
 from trendloom.functions.tables import written
 from trendloom.functions.text import let, words
 from trendloom.functions.vectors import as_doubles, cosine
@@ -188,8 +188,11 @@ def terms(text: Column, stop_words=STOP_WORDS, bigrams: bool = False) -> Column:
 
 
 def class_terms(docs: DataFrame, bigrams: bool = False, stop_words=STOP_WORDS, min_df: int = 1) -> DataFrame:
-    """Term counts per (run, topic). `min_df` counts documents of the whole run, outliers included."""
-    listed = docs.select("run_id", "topic_index", terms(F.col("text"), stop_words, bigrams).alias("terms"))
+    """Term counts per (run, topic). `min_df` counts documents of the whole run, outliers included.
+
+    A task counts the terms of a bounded piece of the text, since its counts take many times the room of the text.
+    """
+    listed = in_pieces(docs, "text").select("run_id", "topic_index", terms(F.col("text"), stop_words, bigrams).alias("terms"))
     if min_df > 1:  # read twice, tokenised once
         listed = written(listed, "tokens")
     tokens = listed.select("run_id", "topic_index", F.explode("terms").alias("term"))
@@ -211,7 +214,7 @@ def keywords(counts: DataFrame, topn: int = 8) -> DataFrame:
         (F.sum("tf") / F.count_distinct("topic_index")).alias("avg_words")
     )
     total = F.sum("tf").over(Window.partitionBy("run_id", "term"))
-    scored = counts.withColumn("total", total).join(classes, "run_id")
+    scored = counts.withColumn("total", total).join(F.broadcast(classes), "run_id")  # a row per run
     scored = scored.withColumn("score", F.col("tf") * F.ln(1 + F.col("avg_words") / F.col("total"))).where("score > 0")
     best = Window.partitionBy("run_id", "topic_index").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= topn).select(
