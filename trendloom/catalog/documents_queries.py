@@ -72,22 +72,25 @@ def a1(m):
         F.col("abstract_inverted_index"),
         F.array(F.struct(F.array(F.struct(country.alias("country_code")), F.struct(country.alias("country_code"))).alias("institutions"))).alias("authorships"),
     )
-    raw = m.raw_docs.where((F.col("title") != "") | (F.col("doc_id") % 10 == 0)).join(inverted_index(m), "doc_id")
-    lines = raw.select(F.to_json(work).alias("line"))
-    parsed = lines.select(F.from_json("line", readers.WORK_SCHEMA).alias("w")).select("w.*")
-    docs = readers.works_to_documents(parsed)
+    raw = inverted_index(m).where((F.col("title") != "") | (F.col("doc_id") % 10 == 0))
+    landed = scratch_dir(m.spark, "works")
+    raw.select(F.to_json(work).alias("line")).write.text(landed)
+    docs = readers.works_to_documents(m.spark.read.schema(readers.WORK_SCHEMA).json(landed))
     return docs.select(
         "external_id", "title", "text", F.date_format("published_at", "yyyy-MM-dd").alias("published"), "language", "region", "country"
     )
 
 
 def inverted_index(m):
-    """Landed form of an abstract: word to positions, built from the document text."""
-    placed = m.raw_docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
-    per_word = placed.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return per_word.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("w", "positions"))).alias("abstract_inverted_index")
-    )
+    """raw_docs with the landed form of an abstract: word to positions, built from the document text within its row."""
+    def by_word(placed):  # sorted (w, p): a word's positions lie side by side
+        new = lambda i: (i == 0) | (F.get(placed, i)["w"] != F.get(placed, i - 1)["w"])
+        return T.let(F.filter(F.transform(placed, lambda x, i: F.when(new(i), i)), lambda i: i.isNotNull()), lambda starts: F.transform(starts, lambda i, k: F.struct(
+            F.get(placed, i)["w"].alias("w"),
+            F.transform(F.slice(placed, i + 1, F.coalesce(F.get(starts, k + 1), F.size(placed)) - i), lambda x: x["p"]).alias("positions"))))
+
+    placed = F.array_sort(F.transform(F.split("text", " "), lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    return m.raw_docs.where("text IS NOT NULL").withColumn("abstract_inverted_index", F.map_from_entries(T.let(placed, by_word)))
 
 
 @catalog.add("a2_abstract_from_index", "SELECT doc_id, text AS abstract FROM {raw_docs}")

@@ -92,7 +92,7 @@ def works_to_documents(works: DataFrame) -> DataFrame:
         parse_date(F.col("publication_date")).alias("published_at"), "language",
         region_for_country(country).alias("region"), country.alias("country"),
         F.lit("OpenAlex").alias("source_name"), F.lit("science").alias("source_type"),
-    ).where(strip(F.col("text")) != "")
+    )  # no text is blank: each holds the stop behind its title
 
 
 def entries_to_documents(entries: DataFrame) -> DataFrame:
