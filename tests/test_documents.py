@@ -2,11 +2,13 @@ import difflib
 import json
 import random
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from trendloom.catalog import documents_queries
 from trendloom.functions import text as T
 from trendloom.functions.ordering import dense_positions
 from trendloom.operators import corpus as C
@@ -278,3 +280,19 @@ def test_runs_by_day_has_no_nested_loop(spark, table):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     want = docs.crossJoin(runs).where("created_at <= cutoff").select("doc_id", "run_id")
     assert rows_of(got, "run_id", "doc_id") == rows_of(want, "run_id", "doc_id")
+
+
+def test_inverted_index_is_built_within_its_row(table):
+    rows = [(1, "b a b  a c"), (2, ""), (3, None), (4, "x")]
+    got = documents_queries.inverted_index(SimpleNamespace(raw_docs=table(rows, "doc_id long, text string")))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {1: {"b": [0, 2], "a": [1, 4], "": [3], "c": [5]}, 2: {"": [0]}, 4: {"x": [0]}}
+    assert {r["doc_id"]: r["abstract_inverted_index"] for r in got.collect()} == want
+
+
+def test_dump_lines_meet_their_section_where_they_are(table):
+    lines = [("COPY public.run (run_id, status) FROM stdin;",), ("1\tdone",), ("2\t\\N",), ("\\.",), ("3\tlost",)]
+    df = table([("f", (0, i), v[0]) for i, v in enumerate(lines)], "file string, pos struct<block:int,row:int>, value string")
+    got = dumps.copy_block_rows(df)
+    assert "BroadcastHashJoin [file" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["row"]["run_id"], r["row"]["status"]) for r in got.collect()) == [("1", "done"), ("2", None)]

@@ -53,10 +53,10 @@ def copy_block_rows(lines: DataFrame) -> DataFrame:
     """Rows of every `COPY public.<table> (...)` block as (table_name, row map).
 
     A line looks its section up among those of its own split, so the key is (file, split): one large dump file spreads over as many keys
-    as it has splits, and the sections, a few rows per split, are broadcast while the optimizer finds them small.
+    as it has splits. The sections, a few short rows per split, are broadcast, so that no line leaves its task.
     """
     inside = (F.col("pos") > F.col("since")) & (F.col("until").isNull() | (F.col("pos") < F.col("until")))
-    rows = lines.withColumn("split", F.col("pos.block")).join(copy_sections(lines), ["file", "split"]).where(inside)
+    rows = lines.withColumn("split", F.col("pos.block")).join(F.broadcast(copy_sections(lines)), ["file", "split"]).where(inside)
     values = F.transform(F.split("value", "\t"), lambda v: F.when(v != "\\N", unescape(v)))
     width = F.least(F.size("names"), F.size(values))
     return rows.select(
