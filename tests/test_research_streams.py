@@ -1,8 +1,10 @@
 import random
+from types import SimpleNamespace
 
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from trendloom.catalog import research_queries
 from trendloom.operators import dedup as D
 from trendloom.operators import evaluate as I  # noqa: E741
 from trendloom.operators import research as J
@@ -149,3 +151,12 @@ def test_documents_count_however_late(spark, table, tmp_path):
     K.drain_updates(K.daily_counts(K.log_stream(spark, str(tmp_path), "m", 1)), str(tmp_path / "o"))
     got = rows_of(K.quarters_of_days(K.current_state(spark, str(tmp_path / "o"), ["run_id", "topic_index", "day"])), "period", "doc_count")
     assert got == [("2023-Q2", 1), ("2024-Q1", 3)]
+
+
+def test_missed_and_novel_match_once(spark, table):
+    docs = table([(1, "Circular economy materials\nDrone inspection"), (2, "Timber skyscraper")], "doc_id long, text string")
+    refs = table([(10, "Circular materials economy"), (11, "Green roof")], "reference_id long, title string")
+    got = research_queries.i4(SimpleNamespace(spark=spark, documents=docs, references=refs))
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # nothing of the matching is left in the plan
+    want = [(1, "missed", 11), (1, "novel", 100002), (2, "missed", 10), (2, "missed", 11), (2, "novel", 200001)]
+    assert rows_of(got, "run_id", "kind", "id") == want

@@ -9,6 +9,7 @@ from trendloom.catalog.documents_queries import HASH_SQL
 from trendloom.catalog.model import Catalog, spark_sql
 from trendloom.constants import EXPANSION_STOP, OVERLAP_STOP, PESTEL_LENSES, REGION_CONTEXT
 from trendloom.functions.python_hooks import batch_embedder
+from trendloom.functions.tables import written
 from trendloom.operators import evaluate as I  # noqa: E741
 from trendloom.operators import research as J
 from trendloom.operators import vectors as V
@@ -89,7 +90,7 @@ def i3(m):
 )
 def i4(m):
     trends, references = overlap_inputs(m)
-    matches = I.best_matches(I.similar_pairs(trends, references))
+    matches = written(I.best_matches(I.similar_pairs(trends, references)), "matches")  # read twice
     missed = I.missed_references(overlap_runs(m), references, matches).select("run_id", F.lit("missed").alias("kind"), F.col("reference_id").alias("id"), "title")
     novel = I.novel_trends(trends, matches).select("run_id", F.lit("novel").alias("kind"), F.col("trend_id").alias("id"), "title")
     return missed.unionByName(novel)
