@@ -5,6 +5,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from trendloom.constants import PROPOSED_FIELDS
+from trendloom.functions.joins import join_spreading_nulls
 from trendloom.operators import assess as G
 from trendloom.operators import match as M
 from trendloom.operators import portfolio as P
@@ -251,3 +252,18 @@ def test_topics_without_documents_are_judged_by_evidence(table):
     evidence = table([(1, 1, "unused"), (2, 2, "second"), (2, 1, "first"), (2, 3, "")], "trend_id long, ord int, title string")
     got = {r[0]: tuple(r[1:]) for r in G.representative_titles(trends, members, evidence).collect()}
     assert got == {1: (["newer", "own"], False), 2: (["first", "second"], True), 3: ([], False)}
+
+
+def test_rows_without_a_key_spread_over_the_tasks(table):
+    big = table([(i, f"t{i}" if i % 10 == 0 else None) for i in range(400)], "id long, target string")
+    small = table([("t10", True), ("t11", True), (None, True)], "target string, known boolean")
+    got = join_spreading_nulls(big.repartition(3), small.hint("merge"), "target", "id").withColumn("task", F.spark_partition_id())
+    rows = got.collect()
+    assert sorted(r["id"] for r in rows) == list(range(400)) and [r["id"] for r in rows if r["known"]] == [10]
+    spark = big.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len({r["task"] for r in got.where("target IS NULL").collect()}) > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)

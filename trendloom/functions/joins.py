@@ -21,6 +21,13 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: st
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
+def join_spreading_nulls(big: DataFrame, small: DataFrame, key: str, spread_by: str, salts: int = 1024) -> DataFrame:
+    """Left join on a key that most of `big` may lack: rows without one match nothing and spread over the tasks, instead of meeting in one."""
+    own = F.pmod(F.xxhash64(key), F.lit(1))  # always 0, but no constant that the optimizer would take out of the join
+    salt = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(salts)) + 1).otherwise(own)
+    return big.withColumn("_salt", salt).join(small.withColumn("_salt", own), [key, "_salt"], "left").drop("_salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for expensive per-row work on an input of few splits; big inputs pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -17,6 +17,7 @@ from trendloom.constants import (
     PROPOSED_FIELDS,
     SUPPORTED_LANGUAGES,
 )
+from trendloom.functions.joins import join_spreading_nulls
 from trendloom.operators.match import previous_occurrences, sanitize
 from trendloom.operators.series import last_points
 from trendloom.session import ensure_checkpoint_dir
@@ -32,7 +33,7 @@ def run_diff(occurrences: DataFrame, proposed: DataFrame) -> DataFrame:
     before = proposed.select(F.col("trend_id").alias("prev_trend_id"), F.lit(True).alias("has_before"), *[F.col(f).alias(f"b_{f}") for f in PROPOSED_FIELDS])
     prev = previous_occurrences(occurrences).select("occurrence_id", "prev_trend_id")
     rows = occurrences.join(proposed.drop("run_id"), "trend_id").join(prev, "occurrence_id", "left")
-    rows = rows.join(before, "prev_trend_id", "left").withColumns({
+    rows = join_spreading_nulls(rows, before, "prev_trend_id", "occurrence_id").withColumns({
         "has_before": F.coalesce("has_before", F.lit(False)),
         "evidence_changed": (F.col("evidence_added") > 0) | (F.col("evidence_removed") > 0),
     })
@@ -207,7 +208,7 @@ def checked_decisions(decisions: DataFrame, canonicals: DataFrame, occurrences:
     """
     known = canonicals.select("canonical_id", F.lit(True).alias("exists"))
     target = canonicals.select(F.col("canonical_id").alias("target_id"), F.lit(True).alias("target_exists"))
-    rows = decisions.join(known, "canonical_id", "left").join(target, "target_id", "left")
+    rows = join_spreading_nulls(decisions.join(known, "canonical_id", "left"), target, "target_id", "canonical_id")
     foreign = F.lit(False)
     if occurrences is not None:
         owner = occurrences.select("occurrence_id", F.col("canonical_id").alias("owner_id"), F.lit(True).alias("recorded"))
@@ -271,7 +272,7 @@ def review_outcomes(decisions: DataFrame, occurrences: DataFrame, canonicals: Da
     """
     state = occurrences.select("occurrence_id", "run_id", F.col("trend_id").alias("o_trend_id"), F.col("canonical_id").alias("own_id"), "review_status")
     target = canonicals.select(F.col("canonical_id").alias("target_id"), F.lit(True).alias("target_exists"))
-    rows = decisions.drop("canonical_id").join(state, "occurrence_id", "left").join(target, "target_id", "left")
+    rows = join_spreading_nulls(decisions.drop("canonical_id").join(state, "occurrence_id", "left"), target, "target_id", "occurrence_id")
     linking = F.col("action").isin("link", "merge")
     problem = (
         F.when(F.col("review_status").isNull(), "unknown_occurrence")
