@@ -193,3 +193,44 @@ def test_terms_are_counted_in_bounded_pieces_and_ranked_over_all_tasks(spark, ta
     ranked = E.keywords(E.class_terms(docs, bigrams=True))
     assert "BroadcastHashJoin [run_id" in ranked._jdf.queryExecution().executedPlan().toString()
     assert ranked.count() == 24
+
+
+def test_lda_steps_equal_a_loop_over_documents():
+    """Blocks of documents settle as single documents do, and digamma and the random starts are right."""
+    from trendloom.operators import lda as L
+
+    assert L.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649015329, -1.9635100260214235, 2.251752589066721], abs=1e-10)
+    assert L.trigamma(np.array([1.0, 0.5])) == pytest.approx([math.pi**2 / 6, math.pi**2 / 2], abs=1e-9)
+    draws = L.gamma_draws(np.arange(20000) - 10000, 3)
+    assert draws.mean() == pytest.approx(1, abs=0.005) and draws.std() == pytest.approx(0.1, abs=0.005)
+    rng = np.random.default_rng(1)
+    beta, alpha, gamma = rng.random((9, 3)) + 0.01, np.array([0.2, 0.3, 0.5]), L.gamma_draws(np.arange(40), 3)
+    docs = [sorted(rng.choice(9, rng.integers(1, 6), replace=False)) for _ in range(40)]
+    word, first = np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    count = rng.integers(1, 5, len(word)).astype(float)
+    wanted, sums = [], np.zeros_like(beta)
+    for i, d in enumerate(docs):
+        b, c, g, change = beta[d], count[first[i]:first[i + 1]], gamma[i], 1.0
+        while change > 1e-3:
+            theta = np.exp(L.expectation(g))
+            after = theta * (b.T @ (c / (b @ theta))) + alpha
+            g, change = after, np.abs(after - g).mean()
+        theta = np.exp(L.expectation(g))
+        sums[d] += np.outer(c / (b @ theta), theta) * b
+        wanted.append(g)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(L, "CHUNK", 16)
+        got, learnt = L.infer(beta, first, word, count, gamma, alpha)
+    assert np.allclose(got, np.array(wanted)) and np.allclose(learnt, sums)
+
+
+def test_lda_keeps_its_vocabulary_off_the_driver(spark, table):
+    """Topics part two kinds of texts, and no step returns more to the driver than two numbers per topic, however many words there are."""
+    rows = [(i, [f"{'ab'[i % 2]}{(i * 7 + j) % 400}" for j in range(30)]) for i in range(600)]
+    got = []
+    with pytest.MonkeyPatch.context() as patch:
+        for name in ("collect", "first", "toPandas"):
+            kept = getattr(spark.range(0).__class__, name)
+            patch.setattr(spark.range(0).__class__, name, lambda df, kept=kept: got.append(out := kept(df)) or out)
+        top = E.topic_words(table(rows, "doc_id long, terms array<string>"), 2, 42, 12, 1, 0.5, 10)
+    assert sum(len(x) for x in got if x) < 1000 and len({(r["topic_index"], r["rank"]) for r in top.collect()}) == 20

@@ -6,8 +6,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from trendloom.functions.joins import in_pieces, salted_join
 from trendloom.functions.tables import written
 from trendloom.functions.text import let, words
 from trendloom.functions.vectors import as_doubles, cosine
+from trendloom.operators.lda import topic_words
 
 TOP_TERMS = 10
 
@@ -311,31 +310,9 @@ def topic_diversity(ranked: DataFrame) -> DataFrame:
 
 
 def lda_keywords(docs: DataFrame, n_topics: int, seed: int = 42, iterations: int = 25, min_df: float = 5, max_df: float = 0.5) -> DataFrame:
-    """Top terms per topic of an LDA baseline."""
-    listed = docs.select("run_id", "doc_id", terms(F.col("text")).alias("terms"))
-    vectorizer = CountVectorizer(inputCol="terms", outputCol="features", minDF=float(min_df), maxDF=max_df, vocabSize=2**31 - 1).fit(listed)
-    counts = vectorizer.transform(listed).select("features").persist()
-    try:
-        model = LDA(k=n_topics, maxIter=iterations, seed=seed).fit(counts)
-        vocabulary = F.array(*[F.lit(w) for w in _used_terms(model, vectorizer.vocabulary)])
-        described = model.describeTopics(TOP_TERMS)
-        used = _used_indices(model)
-    finally:
-        counts.unpersist()
-    position = F.array(*[F.lit(i) for i in used])
-    rows = described.select(F.col("topic").alias("topic_index"), F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("r", "t"))
-    word = F.element_at(vocabulary, F.array_position(position, F.col("t.termIndices")).cast("int"))
-    return rows.select("topic_index", word.alias("term"), F.col("t.termWeights").alias("score"), (F.col("r") + 1).alias("rank"))
-
-
-def _used_indices(model) -> list[int]:
-    """Vocabulary positions in the topic descriptions: at most ten per topic."""
-    found = model.describeTopics(TOP_TERMS).select(F.explode("termIndices").alias("i")).distinct()
-    return sorted(r["i"] for r in found.collect())
-
-
-def _used_terms(model, vocabulary: list[str]) -> list[str]:
-    return [vocabulary[i] for i in _used_indices(model)]
+    """Top terms per topic of an LDA baseline; see `lda`."""
+    listed = docs.select("doc_id", terms(F.col("text")).alias("terms"))
+    return topic_words(listed, n_topics, seed, iterations, min_df, max_df, TOP_TERMS)
 
 
 def comparison_report(named: dict[str, DataFrame], doc_terms: DataFrame, outlier_counts: dict[str, DataFrame]) -> DataFrame:
