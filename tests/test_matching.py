@@ -135,3 +135,12 @@ def test_tasks_pass_on_few_scores_of_a_large_portfolio(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert strong.groupBy("cur").count().where("count <> 4").count() == 0
     assert M.one_to_one(strong).count() == 4
+
+
+def test_evidence_meets_both_topics_of_a_link_in_one_join(table):
+    """Copies of a document count once, outliers do not."""
+    links = table([(1, 10, None), (2, 11, 10), (3, 12, 11)], "occurrence_id long, topic_id long, prev_topic_id long")
+    docs = table([(10, 1, False), (10, 1, False), (10, 2, False), (11, 2, False), (11, 3, False), (11, 3, False), (11, 4, True), (13, 9, False)], "topic_id long, doc_id long, is_outlier boolean")
+    delta = M.evidence_delta(links, docs)
+    assert rows_of(delta, "occurrence_id", "evidence_added", "evidence_removed") == [(1, 2, 0), (2, 1, 1), (3, 0, 2)]
+    assert delta._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1

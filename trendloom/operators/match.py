@@ -236,12 +236,11 @@ def evidence_delta(links: DataFrame, topic_docs: DataFrame) -> DataFrame:
     links: occurrence_id, topic_id, prev_topic_id; topic_docs: topic_id, doc_id, is_outlier.
     """
     links = written(links, "links")
-    linked = links.select("topic_id").union(links.select("prev_topic_id")).distinct()
-    docs = written(topic_docs.where("NOT is_outlier").select("topic_id", "doc_id").join(linked, "topic_id", "left_semi").distinct(), "linked_docs")
-    now = links.join(docs, "topic_id").select("occurrence_id", "doc_id", F.lit(1).alias("now"), F.lit(0).alias("before"))
-    old = links.join(docs.withColumnRenamed("topic_id", "prev_topic_id"), "prev_topic_id")
-    old = old.select("occurrence_id", "doc_id", F.lit(0).alias("now"), F.lit(1).alias("before"))
-    per_doc = now.unionByName(old).groupBy("occurrence_id", "doc_id").agg(F.max("now").alias("now"), F.max("before").alias("before"))
+    side = lambda topic, now: F.struct(F.col(topic).alias("topic_id"), F.lit(now).alias("now"), F.lit(1 - now).alias("before"))
+    sides = links.select("occurrence_id", F.explode(F.array(side("topic_id", 1), side("prev_topic_id", 0))).alias("s")).select("occurrence_id", "s.*")
+    docs = topic_docs.where("NOT is_outlier").select("topic_id", "doc_id")  # met once, where they lie; the grouping below takes copies out
+    met = docs.join(sides.where("topic_id IS NOT NULL"), "topic_id")
+    per_doc = met.groupBy("occurrence_id", "doc_id").agg(F.max("now").alias("now"), F.max("before").alias("before"))
     counts = per_doc.groupBy("occurrence_id").agg(
         F.count_if(F.col("now") > F.col("before")).alias("evidence_added"),
         F.count_if(F.col("before") > F.col("now")).alias("evidence_removed"),
