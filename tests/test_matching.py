@@ -144,3 +144,12 @@ def test_evidence_meets_both_topics_of_a_link_in_one_join(table):
     delta = M.evidence_delta(links, docs)
     assert rows_of(delta, "occurrence_id", "evidence_added", "evidence_removed") == [(1, 2, 0), (2, 1, 1), (3, 0, 2)]
     assert delta._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_reconciled_rows_are_not_joined_once_their_differences_are_made(spark):
+    """The prevalence meets the trends before: nothing stands above the union of known and new trends but columns."""
+    from trendloom.catalog import portfolio_queries as queries
+    from trendloom.catalog.model import Model
+
+    plan = queries.reconciled(Model(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Join")

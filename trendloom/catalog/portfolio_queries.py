@@ -264,8 +264,9 @@ def matches(m):
     )
 
 
-def reconciled(m):
-    return M.reconcile(proposed(m), matches(m), canon(m), m.occurrences.withColumn("topic_id", F.col("trend_id")), m.topic_docs, S.latest_prevalence(m.timepoints))
+def reconciled(m, with_prevalence=True):
+    prevalence = S.latest_prevalence(m.timepoints) if with_prevalence else None
+    return M.reconcile(proposed(m), matches(m), canon(m), m.occurrences.withColumn("topic_id", F.col("trend_id")), m.topic_docs, prevalence)
 
 
 RECONCILE_SQL = f"""{DIFF_SQL}, {DELTA_SQL},
@@ -297,7 +298,7 @@ def h12(m):
         FROM {{canonicals}} c LEFT JOIN si ON si.canonical_id = c.canonical_id LEFT JOIN prop p ON p.trend_id = si.trend_id LEFT JOIN {{runs}} r ON r.run_id = si.run_id""",
 )
 def h13(m):
-    rows = M.auto_apply(canon(m), proposed(m), reconciled(m), m.runs)
+    rows = M.auto_apply(canon(m), proposed(m), reconciled(m, False), m.runs)
     return rows.select("canonical_id", "title", "uncertainty", "last_run_id", "updated_at")
 
 
@@ -311,7 +312,7 @@ def h13(m):
         LEFT JOIN {{assessments}} a ON a.trend_id = si.trend_id LEFT JOIN {{translations}} x ON x.trend_id = si.trend_id AND x.language = l.language""",
 )
 def h13_texts(m):
-    return M.auto_apply_texts(P.base_texts(m.canonicals), reconciled(m), review_texts(m))
+    return M.auto_apply_texts(P.base_texts(m.canonicals), reconciled(m, False), review_texts(m))
 
 
 # ---------------------------------------------------------------- run diff

@@ -256,12 +256,12 @@ def admit_new(unmatched: DataFrame, cap: int) -> DataFrame:
 
 def reconcile(
     proposed: DataFrame, matches: DataFrame, canonicals: DataFrame, history: DataFrame, topic_docs: DataFrame,
-    prevalence: DataFrame, max_new: int | None = None,
+    prevalence: DataFrame | None, max_new: int | None = None,
 ) -> DataFrame:
     """Occurrence rows of runs from given matches.
 
     proposed: with_proposed() rows; matches: trend_id, canonical_id, score, margin, reason;
-    history: earlier occurrences with their topic_id; prevalence: topic_id, prevalence. Only the history of the
+    history: earlier occurrences with their topic_id; prevalence: topic_id, prevalence, None where nobody reads it. Only the history of the
     matched entries is read on, and the documents of the topics that are compared. `max_new`: new trends per run, all if None.
     """
     rows, matches = written(proposed.join(matches, "trend_id", "left"), "proposed"), written(matches, "matches")
@@ -269,7 +269,6 @@ def reconcile(
     if max_new is not None:
         fresh = admit_new(fresh, max_new).drop("rank")
     matched = rows.where("canonical_id IS NOT NULL")
-    known = against_portfolio(matched, canonicals)
     keys = ["occurrence_id", "canonical_id", "run_id", "trend_id", "topic_id"]
     current = matched.withColumn("occurrence_id", F.col("trend_id")).select(*keys)
     past = history.select(*keys).join(matches.select("canonical_id").distinct(), "canonical_id", "left_semi")
@@ -279,12 +278,18 @@ def reconcile(
         topic_of.select(F.col("trend_id").alias("prev_trend_id"), F.col("topic_id").alias("prev_topic_id")), "prev_trend_id", "left"
     ).select("occurrence_id", "topic_id", "prev_topic_id")
     delta = evidence_delta(links, topic_docs).withColumnRenamed("occurrence_id", "trend_id")
-    known = known.join(delta, "trend_id")
+    # what a trend's values do not decide meets the trends before the differences make their rows wide
+    if prevalence is None:  # a reader of few columns takes the differences first
+        unread = F.lit(None).cast("double").alias("prevalence")
+        known, fresh = against_portfolio(matched, canonicals).join(delta, "trend_id").select("*", unread), fresh.select("*", unread)
+    else:
+        shown = rows.where("canonical_id IS NOT NULL").select("trend_id", "topic_id").join(prevalence, "topic_id", "left").groupBy("trend_id").agg(F.first("prevalence").alias("prevalence"))
+        known, fresh = against_portfolio(matched.join(delta, "trend_id").join(shown, "trend_id"), canonicals), fresh.join(prevalence, "topic_id", "left")
     moved = (F.col("evidence_added") > 0) | (F.col("evidence_removed") > 0)
     known = known.select(
         "trend_id", "run_id", "topic_id", "canonical_id", "score", "margin", "evidence_added", "evidence_removed",
         change_type(F.col("diffs"), moved).alias("change_type"), field_names(F.col("diffs")).alias("changed_fields"),
-        review_reasons(F.col("diffs"), F.col("reason")).alias("review_reasons"),
+        review_reasons(F.col("diffs"), F.col("reason")).alias("review_reasons"), "prevalence",
     )
     own = topic_docs.where("NOT is_outlier").join(fresh.select("topic_id").distinct(), "topic_id", "left_semi").groupBy("topic_id").agg(F.count_distinct("doc_id").alias("evidence_added"))
     text, labels = PROPOSED_FIELDS[:3], PROPOSED_FIELDS
@@ -294,10 +299,9 @@ def reconcile(
         "trend_id", "run_id", "topic_id", "canonical_id", "score", "margin", F.coalesce("evidence_added", F.lit(0)).alias("evidence_added"),
         F.lit(0).cast("bigint").alias("evidence_removed"), F.lit("new").alias("change_type"),
         F.when(F.col("assessed"), F.array(*[F.lit(f) for f in labels])).otherwise(F.array(*[F.lit(f) for f in text])).alias("changed_fields"),
-        F.array(start.cast(REASON)).alias("review_reasons"),
+        F.array(start.cast(REASON)).alias("review_reasons"), "prevalence",
     )
-    occurrences = known.unionByName(fresh).join(prevalence, "topic_id", "left")
-    return occurrences.withColumns({
+    return known.unionByName(fresh).withColumns({
         "review_status": F.when(F.size("review_reasons") > 0, "pending").otherwise("not_required"),
         "review_reason": F.get("review_reasons", F.lit(0))["code"],
     })
