@@ -4,8 +4,10 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from trendloom.catalog import portfolio_queries as queries
+from trendloom.catalog.model import Model
 from trendloom.constants import PROPOSED_FIELDS
-from trendloom.functions.joins import join_spreading_nulls
+from trendloom.functions.joins import join_in_groups, join_spreading_nulls
 from trendloom.operators import assess as G
 from trendloom.operators import match as M
 from trendloom.operators import portfolio as P
@@ -267,3 +269,13 @@ def test_rows_without_a_key_spread_over_the_tasks(table):
         assert len({r["task"] for r in got.where("target IS NULL").collect()}) > 1
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_distinct_evidence_is_not_numbered_and_joins_in_groups(spark, table):
+    got = queries.h43(Model(spark, "/root/testdata/sf0.001"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("RepartitionByExpression [trend_id") == 2
+    big, small = table([(i % 40, i) for i in range(400)], "trend_id long, n long"), table([(i, -i) for i in range(0, 60, 2)], "trend_id long, m long")
+    joined = join_in_groups(big, small, "trend_id", rows=20)
+    assert joined.rdd.getNumPartitions() == 20
+    assert rows_of(joined, "trend_id", "n", "m") == sorted((i % 40, i, -(i % 40)) for i in range(400) if i % 2 == 0)

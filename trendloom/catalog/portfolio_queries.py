@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trendloom.catalog.model import Catalog, word
 from trendloom.catalog.topics_queries import CENTROID_SQL
 from trendloom.constants import MAX_NEW_TRENDS, PROPOSED_FIELDS
+from trendloom.functions.joins import join_in_groups
 from trendloom.operators import assess as G
 from trendloom.operators import corpus as C
 from trendloom.operators import match as M
@@ -858,8 +859,10 @@ def h42(m):
         FROM {occurrences} o JOIN {evidence} e ON e.trend_id = o.trend_id WHERE canonical_id IS NOT NULL AND e.title <> '' GROUP BY 1, 2, 3""",
 )
 def h43(m):
-    rows = m.occurrences.where("canonical_id IS NOT NULL").select("canonical_id", "run_id", "occurrence_id", "trend_id").join(m.evidence.where("title <> ''"), "trend_id")
-    return W.distinct_evidence(rows, "canonical_id", ["run_id", "occurrence_id", "ord"]).select("canonical_id", "title", "url", "run_id", "occurrence_id")
+    entries = m.occurrences.where("canonical_id IS NOT NULL").select("canonical_id", "run_id", "occurrence_id", "trend_id")
+    titled = m.evidence.where("title <> ''").select("trend_id", "title", "url")
+    # The place within the occurrence breaks ties that no returned column shows, so evidence need not be numbered for it.
+    return W.distinct_evidence(join_in_groups(titled, entries, "trend_id"), "canonical_id", ["run_id", "occurrence_id"])
 
 
 @catalog.add(

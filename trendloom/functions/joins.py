@@ -38,3 +38,12 @@ def in_pieces(df: DataFrame, column: str, chars: int = 8 << 20) -> DataFrame:
     """Partitions of about `chars` characters of `column` each, for steps whose memory grows with the text of a task."""
     whole = df.agg(F.sum(F.length(column))).first()[0] or 0
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(whole / chars)))
+
+
+def join_in_groups(big: DataFrame, small: DataFrame, key: str, rows: int = 500_000) -> DataFrame:
+    """Inner join on a key of few rows each, in tasks of about `rows` rows of `big`, however many shuffle partitions the session has.
+
+    Both sides are placed: else the join takes the partitions of the side that has some already. Counts `big`.
+    """
+    n = max(big.sparkSession.sparkContext.defaultParallelism, math.ceil(big.count() / rows))
+    return big.repartition(n, key).join(small.repartition(n, key), key)
