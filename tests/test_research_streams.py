@@ -160,3 +160,13 @@ def test_missed_and_novel_match_once(spark, table):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # nothing of the matching is left in the plan
     want = [(1, "missed", 11), (1, "novel", 100002), (2, "missed", 10), (2, "missed", 11), (2, "novel", 200001)]
     assert rows_of(got, "run_id", "kind", "id") == want
+
+
+def test_decisions_are_written_once_before_the_log(spark, table, tmp_path, monkeypatch):
+    names, plain = [], K.written
+    monkeypatch.setattr(K, "written", lambda df, name: names.append(name) or plain(df, name))
+    log = table([(i, f"k{i % 4}" if i % 5 else None) for i in range(12)], "decision_key long, idempotency_key string")
+    write_parts(log, str(tmp_path / "log"), ["decision_key < 4", "decision_key >= 4 AND decision_key < 9", "decision_key >= 9"])
+    K.log_decisions(K.log_stream(spark, str(tmp_path), "log", 1), str(tmp_path / "d"), ["decision_key"])
+    assert set(names) == {"first"} and len(names) == 3
+    assert rows_of(K.decision_store(spark, str(tmp_path / "d"), log.schema).content().where("idempotency_key IS NOT NULL"), "decision_key") == [(1,), (2,), (3,), (4,)]

@@ -39,3 +39,18 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
     put([], 2)
     assert rows_of(store.content(), "k", "v") == [("a", 1), ("b", 2)]
     assert store.lookup(spark.createDataFrame([("b",)], "k string"), 1).where("k = 'b'").count() == 0
+
+
+def test_rows_put_with_a_bound_are_read_once(spark, tmp_path):
+    schema = spark.createDataFrame([], "k string, v long").schema
+    store, read = KeyedStore(spark, str(tmp_path), ["k"], schema), spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        read.add(1)
+        return v
+
+    rows = spark.range(30).select(F.col("id").cast("string").alias("k"), F.udf(counted, "long")("id").alias("v"))
+    store.put(rows, 0, most=50)
+    assert read.value == 30 and [s["rows"] for s in store.segments()] == [30]
+    store.put(rows.where("k = 'absent'"), 1, most=50)
+    assert len(store.segments()) == 1 and store.content().agg(F.sum("v")).first()[0] == sum(range(30))

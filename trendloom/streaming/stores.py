@@ -68,12 +68,15 @@ class KeyedStore:
         placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
         return {"name": name, "tier": tier, "bits": bits, "rows": n}
 
-    def put(self, rows: DataFrame, batch_id: int) -> None:
-        """Append the rows of a batch. `rows` must be cheap to read twice: a written table."""
+    def put(self, rows: DataFrame, batch_id: int, most: int | None = None) -> None:
+        """Append the rows of a batch. They are read once if the caller knows that they are `most` at most; else they are counted first,
+        and must be cheap to read twice: a written table."""
         live = self.segments(batch_id)
-        n = rows.count()
+        n = rows.count() if most is None else most
         if n:
-            live.append(self._write(rows, f"segment={batch_id}-0", 0, n))
+            added = self._write(rows, f"segment={batch_id}-0", 0, n)
+            added["rows"] = n if most is None else self._segment(added).count()
+            live += [added] if added["rows"] else []
         tier = 0
         while len(same := [s for s in live if s["tier"] == tier]) >= self.fold:
             merged = self._write(self._read(same), f"segment={batch_id}-{tier + 1}", tier + 1, sum(s["rows"] for s in same))

@@ -187,8 +187,11 @@ def log_decisions(stream: DataFrame, out: str, order: list[str]) -> None:
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         first = written(first_per_key(batch, order), "first")
-        known = log.lookup(first, batch_id).select("idempotency_key")
-        log.put(written(first.join(known, "idempotency_key", "left_anti").select(stream.columns), "fresh"), batch_id)
+        fresh = first
+        if log.segments(batch_id):  # an empty log drops nothing, and the join would move all rows to find that out
+            known = log.lookup(first, batch_id).select("idempotency_key")
+            fresh = first.join(known, "idempotency_key", "left_anti").select(stream.columns)
+        log.put(fresh, batch_id, first.count())
 
     drain_batches(stream, out, handle)
 
