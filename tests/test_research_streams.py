@@ -34,6 +34,21 @@ def test_similar_pairs_equal_brute_force(table):
     assert rows_of(got, "run_id", "trend_id", "reference_id") == sorted((r, t, k) for r, t, a in trends for k, b in refs if like(a, b) >= 0.6)
 
 
+def test_low_thresholds_equal_brute_force_and_no_set_is_joined_back(table, monkeypatch):
+    rnd, names, plain = random.Random(9), [], I.written
+    monkeypatch.setattr(I, "written", lambda df, name: names.append(name) or plain(df, name))
+    some = lambda words, most: sorted(rnd.sample([f"w{i}" for i in range(words)], rnd.randrange(0, most)))
+    trends, refs = [(i % 3, i, some(40, 25)) for i in range(120)], [(i, some(25, 14)) for i in range(20)]  # w25 to w39 are in no reference
+    like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a and b else 0.0
+    for threshold in (0.18, 0.25, 0.5):
+        got = I.similar_pairs(table(trends, "run_id long, trend_id long, tokens array<string>"), table(refs, "reference_id long, tokens array<string>"), threshold)
+        wanted = sorted((r, t, k, like(a, b)) for r, t, a in trends for k, b in refs if like(a, b) >= threshold)
+        assert wanted and rows_of(got, "run_id", "trend_id", "reference_id", "score") == wanted
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "least" in plan and not any("trend_id" in line for line in plan.splitlines() if "Join Inner" in line)
+    assert "trends" not in names
+
+
 def test_gate(table):
     docs = table([(1, "Facade panels", "glass"), (2, "Cooking pasta", "kitchen"), (3, "Facade cooking", "kitchen recipes")], "doc_id long, title string, text string")
     assert rows_of(J.relevant(docs, ["facade design"], ["cooking kitchen"]), "doc_id") == [(1,)]

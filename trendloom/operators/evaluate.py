@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.constants import OVERLAP_STOP, OVERLAP_THRESHOLD
 from trendloom.functions.joins import salted_join
+from trendloom.functions.ordering import dense_positions
 from trendloom.functions.tables import written
 from trendloom.functions.text import overlap_tokens
 
@@ -16,39 +17,49 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", overlap_tokens(F.col("title"), F.col("keywords"), OVERLAP_STOP))
 
 
-def prefix_tokens(rows: DataFrame, keys: list[str], known: DataFrame, threshold: float) -> DataFrame:
-    """(keys, n, token): of each row with n tokens those among its n - ceil(threshold * n) + 1 rarest that `known` (token, df) has.
+def known_tokens(rows: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
+    """(keys, n, own): of each row with n tokens the numbers, rarest first, of those that `known` (token, no) has; rows without any are left out."""
+    sized = rows.select(*keys, F.size("tokens").alias("n"), "tokens")
+    # explode_outer: for explode the optimizer adds a filter on the size, which would find a row's tokens twice.
+    listed = sized.select(*keys, "n", F.explode_outer("tokens").alias("token")).join(known, "token")
+    return listed.groupBy(*keys, "n").agg(F.array_sort(F.collect_list("no")).alias("own"))
 
-    Tokens that no reference has are the rarest of all, so they fill the prefix first and never leave the row's task; two sets that reach
-    the threshold share a token of both prefixes. Rows are numbered within their own known tokens.
+
+def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(all of `rows`, no, rest): a row per token among the n - ceil(threshold * n) + 1 rarest, with the number of known tokens from it on.
+
+    Tokens that no reference has are the rarest of all, so they fill the prefix first and need no row.
     """
-    listed = rows.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(known, "token")
-    own = Window.partitionBy(*keys)
-    ranked = listed.withColumns({"place": F.row_number().over(own.orderBy("df", "token")), "n_known": F.count("*").over(own)})
-    wide = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return ranked.where(F.col("place") + F.col("n") - F.col("n_known") <= wide).select(*keys, "n", "token")
+    need = F.ceil(F.col("n") * threshold - 1e-9)
+    wide = F.greatest(F.size("own") - need + 1, F.lit(0)).cast("int")
+    placed = rows.select("*", F.posexplode(F.slice("own", F.lit(1), wide)).alias("place", "no"))
+    return placed.withColumn("rest", F.size("own") - F.col("place")).drop("place")
 
 
 def similar_pairs(trends: DataFrame, references: DataFrame, threshold: float = OVERLAP_THRESHOLD) -> DataFrame:
     """All (run, trend, reference) pairs whose Jaccard similarity reaches the threshold.
 
     Candidates share a token of both prefixes, which hold the rarest tokens of each set, so a token that most rows have proposes next to
-    nothing; candidates of sizes too different are no pairs. The token sets of the rest are compared. A token that many trends have in
-    their prefix is spread over salted groups. The known tokens are those of the curated list; the optimizer broadcasts them while small.
+    nothing. Sets of n and m tokens reach the threshold with threshold / (1 + threshold) * (n + m) common ones; from their rarest common
+    token on both must hold as many, which the places tell before any set is looked at. The sets of the rest are compared as token numbers
+    that the rows carry along; tokens that no reference has are common to no pair and only counted. A token that many trends have in their
+    prefix is spread over salted groups. The known tokens are those of the curated list; the optimizer broadcasts them while small.
     """
-    left = written(trends.select("run_id", "trend_id", "tokens"), "trends")
-    right = written(references.select("reference_id", "tokens"), "references")
-    known = written(right.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "tokens")
-    mine = prefix_tokens(left, ["run_id", "trend_id"], known, threshold)
-    theirs = prefix_tokens(right, ["reference_id"], known, threshold).withColumnRenamed("n", "m")
-    by_token = theirs.groupBy("token").agg(F.collect_list(F.struct("reference_id", "m")).alias("refs"))  # of the curated list
-    met = salted_join(mine, by_token, ["token"], "trend_id").select("run_id", "trend_id", "n", F.explode("refs").alias("r"))
-    possible = F.least("n", "r.m") >= threshold * F.greatest("n", "r.m") - 1e-9
-    pairs = met.where(possible).select("run_id", "trend_id", "r.reference_id").distinct()
-    sets = pairs.join(left, ["run_id", "trend_id"]).join(right.withColumnRenamed("tokens", "others"), "reference_id")
-    both = F.size(F.array_intersect("tokens", "others"))
-    score = both / (F.size("tokens") + F.size("others") - both)
-    return sets.select("run_id", "trend_id", "reference_id", score.alias("score")).where(F.col("score") >= threshold)
+    right = references.select("reference_id", "tokens")
+    counts = right.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    numbered = dense_positions(counts, [], [F.col("df"), F.col("token")], "no")
+    known = written(numbered.select("token", F.col("no").cast("int").alias("no")), "tokens")
+    mine = prefixes(known_tokens(trends.select("run_id", "trend_id", "tokens"), ["run_id", "trend_id"], known), threshold)
+    theirs = written(known_tokens(right, ["reference_id"], known), "references")
+    posting = F.struct("reference_id", F.col("n").alias("m"), F.col("rest").alias("more"))
+    by_token = prefixes(theirs, threshold).groupBy("no").agg(F.collect_list(posting).alias("refs"))  # of the curated list
+    met = salted_join(mine, by_token, ["no"], "trend_id").select("run_id", "trend_id", "n", "own", "rest", F.inline("refs"))
+    possible = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+    enough = F.least("rest", "more") >= threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9
+    sets = met.where(possible & enough).join(theirs.select("reference_id", F.col("own").alias("others")), "reference_id")
+    both = F.size(F.array_intersect("own", "others"))
+    score = both / (F.col("n") + F.col("m") - both)
+    return sets.select("run_id", "trend_id", "reference_id", score.alias("score")).where(F.col("score") >= threshold).distinct()
 
 
 def best_matches(pairs: DataFrame) -> DataFrame:
