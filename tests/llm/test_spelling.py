@@ -73,3 +73,14 @@ def test_damage_is_a_parameter(documents):
     plain = {r["word"]: r["n"] for r in spelling.word_counts(documents(rows), damage=0).collect()}
     assert plain == {"planet": 400, "planets": 400}
     assert sum(r["n"] for r in spelling.word_counts(documents(rows), damage=2).collect()) < 800 + 1
+
+
+def test_no_table_of_words_is_broadcast(spark, documents):
+    """A file of words is small beside the keys they explode into, so Spark's size check would broadcast those."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([("planet", 9), ("planets", 3), ("plane", 2)], "word string, n long")
+    pairs = spelling.near_pairs(words)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {("planet", "planets"), ("plane", "planet")}
+    groups = spelling.variant_groups(documents([(i, "planet planet planets") for i in range(9)]))
+    assert "SortMergeJoin" in plan(pairs) and "SortMergeJoin" in plan(groups)
+    assert "BroadcastHashJoin" not in plan(pairs) + plan(groups)

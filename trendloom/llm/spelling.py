@@ -139,10 +139,13 @@ def pivot_keys(grams: DataFrame) -> DataFrame:
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, a_n, b, b_n), a < b: all pairs of `words` (word, n) that differ by exactly one code point."""
+    """(a, a_n, b, b_n), a < b: all pairs of `words` (word, n) that differ by exactly one code point.
+
+    Spark sizes both sides by the words' file, not by the dozens of keys a word explodes into, and would broadcast them: the keys meet by a merge.
+    """
     grams = stored(with_grams(words), "grams")
     near = (F.abs(F.length("word") - F.length("other")) <= 1) & (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)
-    met = pivot_keys(grams).join(prefix_keys(grams), "key").where(near)
+    met = pivot_keys(grams).join(prefix_keys(grams).hint("merge"), "key").where(near)
     first = F.col("word") < F.col("other")
     pick = lambda a, b, name: F.when(first, F.col(a)).otherwise(F.col(b)).alias(name)
     return met.select(pick("word", "other", "a"), pick("n", "other_n", "a_n"), pick("other", "word", "b"), pick("other_n", "n", "b_n")).distinct()
@@ -153,7 +156,7 @@ def roots(forms: DataFrame) -> DataFrame:
     ends = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = ends.select(F.col("word").alias("at"), F.col("root").alias("onward"))
-        moved = ends.join(onward, ends["root"] == onward["at"], "left")
+        moved = ends.join(onward.hint("merge"), ends["root"] == onward["at"], "left")
         fresh = stored(moved.select("word", F.coalesce("onward", "root").alias("root"), F.col("onward").isNotNull().alias("moved")), "roots")
         done = fresh.where("moved").limit(1).count() == 0
         ends = fresh.select("word", "root")
@@ -174,7 +177,8 @@ def variant_groups(documents: DataFrame, text_col: str = "text", id_col: str = "
     chosen = stored(links.groupBy("word", "n").agg(F.count("*").alias("n_near"), best), "chosen")
     has = -F.col("best.less") >= 2 * F.col("n")
     forms = chosen.select("word", "n_near", F.when(has, F.col("best.near")).alias("form"), F.when(has, -F.col("best.less")).alias("form_n"))
-    full = words.join(forms, "word", "left").join(roots(forms.where("form IS NOT NULL").select("word", "form")), "word", "left")
+    ends = roots(forms.where("form IS NOT NULL").select("word", "form"))
+    full = words.join(forms.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left")  # files of words are a tenth of their room in memory
     return full.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
 
 
