@@ -234,3 +234,47 @@ def test_lda_keeps_its_vocabulary_off_the_driver(spark, table):
             patch.setattr(spark.range(0).__class__, name, lambda df, kept=kept: got.append(out := kept(df)) or out)
         top = E.topic_words(table(rows, "doc_id long, terms array<string>"), 2, 42, 12, 1, 0.5, 10)
     assert sum(len(x) for x in got if x) < 1000 and len({(r["topic_index"], r["rank"]) for r in top.collect()}) == 20
+
+
+def test_comparison_tokenises_once_and_reads_documents_once_for_all_models(spark, table):
+    """All models of the report share the tokens, and one pass over the documents counts the co-occurrences of their words."""
+    texts = [(i, "meadow river forest" if i < 8 else "copper alloy furnace") for i in range(16)]
+    vectors = [(i, i % 2, [float(i % 3), 1.0]) for i in range(8)]
+    m = SimpleNamespace(docs=table(texts, "doc_id long, text string"), doc_topic=table(vectors, "doc_id long, topic_index int, embedding array<float>"))
+    calls, terms = [], E.terms
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(E, "kmeans_labels", lambda *a, **b: m.doc_topic.select("doc_id", F.col("topic_index").alias("label")))
+        patch.setattr(E, "lda_keywords", lambda docs, *a: calls.append("terms" in docs.columns) or table([(0, "river", 0.5, 1), (0, "forest", 0.4, 2)], "topic_index int, term string, score double, rank int"))
+        patch.setattr(E, "terms", lambda *a: calls.append(1) or terms(*a))
+        report = {r["model"]: r for r in topics_queries.e13(m).collect()}
+    assert calls == [1, True] and set(report) == {"kmeans_ctfidf", "distance_outliers", "lda"}
+    assert report["kmeans_ctfidf"]["n_topics"] == 2 and report["kmeans_ctfidf"]["diversity"] == 0.5
+    assert report["kmeans_ctfidf"]["coherence_umass"] == pytest.approx(math.log(9 / 8))
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda x: read.add(1) or x, "long")
+    docs = table([(1, i, 0, t) for i, t in texts], "run_id long, doc_id long, topic_index int, text string")
+    pairs = E.document_terms(docs).withColumn("doc_id", seen("doc_id"))
+    ranked = E.uniform_keywords(docs)
+    got = E.comparison_report({"a": ranked, "b": ranked}, pairs, {}).collect()
+    apart = E.umass_coherence(ranked, E.document_terms(docs)).agg(F.avg("coherence")).first()[0]
+    assert [(r["model"], r["n_outliers"]) for r in sorted(got)] == [("a", 0), ("b", 0)]
+    assert {r["coherence_umass"] for r in got} == {apart} and read.value == 48
+
+
+def test_term_counts_in_pieces(spark, table, monkeypatch):
+    """Pieces of any size, null groups and empty documents give the counts of a loop."""
+    from trendloom.functions import counts as K
+
+    rows = [(i % 3 or None, i % 2, " ".join(f"w{(i * j) % 7}" for j in range(i % 5))) for i in range(40)]
+    want = {}
+    for a, b, t in rows:
+        for w in t.split():
+            tf, docs = want.get((a, b, w), (0, set()))
+            want[(a, b, w)] = (tf + 1, docs)
+        for w in set(t.split()):
+            want[(a, b, w)] = (want[(a, b, w)][0], want[(a, b, w)][1] | {len(want[(a, b, w)][1])})
+    tokens = table(rows, "a int, b int, terms string").repartition(2)
+    for size in (8 << 20, 0):
+        monkeypatch.setattr(K, "PIECE_BYTES", size)
+        got = {(r["a"], r["b"], r["term"]): (r["tf"], r["df"]) for r in K.counted_terms(tokens, ["a", "b"]).collect()}
+        assert got == {k: (tf, len(docs)) for k, (tf, docs) in want.items()}

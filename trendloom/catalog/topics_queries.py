@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from trendloom.catalog.documents_queries import HASH_SQL
 from trendloom.catalog.model import Catalog
 from trendloom.constants import EMBEDDING_DIM, STOP_WORDS
+from trendloom.functions.counts import counted_terms
+from trendloom.functions.tables import written
 from trendloom.functions.vectors import as_doubles, l2_normalize
 from trendloom.operators import corpus as C
 from trendloom.operators import topics as E
@@ -308,19 +310,25 @@ def e12(m):
 
 @catalog.add("e13_model_comparison")
 def e13(m):
-    docs = all_texts(m)
+    docs = E.tokenised(all_texts(m).drop("topic_index"))
     labels = E.kmeans_labels(m.doc_topic, 10, restarts=3)
-    grouped = docs.drop("topic_index").join(labels.withColumnRenamed("label", "topic_index"), "doc_id")
     vectors = m.doc_topic.select("doc_id", "embedding").join(labels, "doc_id").select(
         F.lit(1).cast("bigint").alias("run_id"), "doc_id", F.col("label").alias("topic_index"), "embedding"
     )
-    marked = E.outliers(vectors, V.topic_centroids(vectors)).select("doc_id", "label")
-    trimmed = docs.drop("topic_index").join(marked.withColumnRenamed("label", "topic_index"), "doc_id")
-    lda = E.lda_keywords(docs, 10).withColumn("run_id", F.lit(1).cast("bigint"))
-    count = marked.where("label < 0").agg(F.count("*").alias("n_outliers")).withColumn("run_id", F.lit(1).cast("bigint"))
+    marked = written(E.outliers(vectors, V.topic_centroids(vectors)).select("doc_id", F.col("label").alias("marked")), "marked")
+    frequency = written(counted_terms(docs, ["run_id"]), "frequency")
+    # one count of the labelled documents' words serves both models
+    grouped = docs.join(labels.join(marked, "doc_id", "left"), "doc_id").select("run_id", "label", "marked", "terms")
+    counts = written(counted_terms(grouped, ["run_id", "label", "marked"]), "counts")
+    lda = E.lda_keywords(docs, 10, frequency).withColumn("run_id", F.lit(1).cast("bigint"))
+    count = marked.where("marked < 0").agg(F.count("*").alias("n_outliers")).withColumn("run_id", F.lit(1).cast("bigint"))
     return E.comparison_report(
-        {"kmeans_ctfidf": E.uniform_keywords(grouped), "distance_outliers": E.uniform_keywords(trimmed), "lda": lda},
-        E.document_terms(docs), {"distance_outliers": count},
+        {
+            "kmeans_ctfidf": E.counted_keywords(counts.withColumnRenamed("label", "topic_index")),
+            "distance_outliers": E.counted_keywords(counts.where("marked IS NOT NULL").withColumnRenamed("marked", "topic_index")),
+            "lda": lda,
+        },
+        E.document_terms(docs, frequency=frequency), {"distance_outliers": count},
     )
 
 

@@ -15,25 +15,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from trendloom.functions.joins import in_pieces
+from trendloom.functions.counts import counted_terms
 from trendloom.functions.tables import written
 from trendloom.session import scratch_dir
 
 OFFSET, DECAY, SHARE, SHAPE = 1024.0, 0.51, 0.05, 100.0  # MLlib's learning offset and decay, share of a mini batch, shape of random starts
-BLOCK_CHARS = 32 << 20
-CHUNK = 1 << 16  # (document, word) pairs that are iterated at once
+BLOCK_CHARS = 16 << 20
+CHUNK = 1 << 15  # (document, word) pairs that are iterated at once
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    """Derivative of ln gamma for positive numbers: recurrence up to 6, then the asymptotic series."""
-    x, out = np.array(x, dtype=float), 0.0
-    for _ in range(6):
-        small = x < 6
-        out = out - np.where(small, 1 / x, 0.0)
-        x = np.where(small, x + 1, x)
-    r = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    """Derivative of ln gamma for positive numbers: six steps of the recurrence, then the asymptotic series."""
+    x = np.asarray(x, dtype=float)
+    y, z = x + 6, x * (x + 5)
+    r = 1 / (y * y)
+    series = 0.5 / y + r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    return np.log(y) - series - (2 * x + 5) * (1 / z + 1 / (z + 4) + 1 / (z + 6))  # 1 / (x + i) for i up to 5, in pairs
 
 
 def trigamma(x: np.ndarray) -> np.ndarray:
@@ -48,7 +47,8 @@ def trigamma(x: np.ndarray) -> np.ndarray:
 
 def expectation(x: np.ndarray) -> np.ndarray:
     """E[ln p] under Dirichlet(x), along the last axis."""
-    return digamma(x) - digamma(x.sum(axis=-1, keepdims=True))
+    both = digamma(np.concatenate([x, x.sum(axis=-1, keepdims=True)], axis=-1))
+    return both[..., :-1] - both[..., -1:]
 
 
 def gamma_draws(keys: np.ndarray, k: int) -> np.ndarray:
@@ -66,29 +66,37 @@ def infer(beta: np.ndarray, first: np.ndarray, word: np.ndarray, count: np.ndarr
     """(gamma, sums): topic weights of documents after their iteration has settled, and what they add to exp(E[ln beta]) per word.
 
     Document i holds the pairs first[i] to first[i + 1] of (word, count), one at least; it stops once its mean change is 0.001.
+    Documents iterate side by side, those of like length together, as rows filled up with pairs of count 0.
     """
-    gamma, share, ends = gamma.copy(), np.zeros(len(word)), np.asarray(first)
-    at, active = 0, np.arange(0)
-    while at < len(gamma) or len(active):
-        room = ends[at] + CHUNK - (ends[active + 1] - ends[active]).sum()
-        to = max(at + (not len(active)), int(np.searchsorted(ends, room, "right")) - 1)  # the next documents take the place of the settled
-        active, at = np.concatenate([active, np.arange(at, to)]), max(at, to)
-        sizes = ends[active + 1] - ends[active]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        pairs = np.arange(sizes.sum()) - np.repeat(starts - ends[active], sizes)
-        b, c, mine, moving = beta[word[pairs]], count[pairs], gamma[active], np.ones(len(active), dtype=bool)
+    gamma, ends = gamma.copy(), np.asarray(first)
+    sizes = np.diff(ends)
+    order = np.argsort(-sizes, kind="stable")
+    at, active = 0, order[:0]
+    while at < len(order) or len(active):
+        longest = sizes[active if len(active) else order[at : at + 1]].max()
+        fresh = order[at : at + max(int(not len(active)), CHUNK // longest - len(active))]  # they take the place of the settled
+        active, at = np.concatenate([active, fresh]), at + len(fresh)
+        places = np.arange(longest)
+        pairs = np.minimum(ends[active][:, None] + places, len(word) - 1)
+        b, c = beta[word[pairs]], np.where(places < sizes[active][:, None], count[pairs], 0.0)
+        mine, moving = gamma[active], np.ones(len(active), dtype=bool)
         theta = np.exp(expectation(mine))
         while 4 * moving.sum() > 3 * len(active):  # the settled stay as they are, and leave in groups
-            part = c / (np.einsum("pk,pk->p", b, np.repeat(theta, sizes, axis=0)) + 1e-100)
-            after = np.where(moving[:, None], theta * np.add.reduceat(part[:, None] * b, starts, axis=0) + alpha, mine)
+            part = c / (np.matmul(b, theta[:, :, None])[:, :, 0] + 1e-100)
+            after = np.where(moving[:, None], theta * np.matmul(part[:, None, :], b)[:, 0, :] + alpha, mine)
             moving, mine = np.abs(after - mine).mean(axis=1) > 1e-3, after
             theta = np.exp(expectation(mine))
         gamma[active] = mine
-        share[pairs] = c / (np.einsum("pk,pk->p", b, np.repeat(theta, sizes, axis=0)) + 1e-100)
         active = active[moving]
-    theta, doc = np.exp(expectation(gamma)), np.repeat(np.arange(len(gamma)), np.diff(ends))
-    sums = [np.bincount(word, share * theta[doc, t], len(beta)) for t in range(beta.shape[1])]
-    return gamma, np.stack(sums, axis=1) * beta
+    theta, sums = np.exp(expectation(gamma)), np.zeros((beta.shape[1], len(beta)))
+    doc = np.repeat(np.arange(len(gamma)), sizes)
+    for at in range(0, len(word), 16 * CHUNK):
+        some = slice(at, at + 16 * CHUNK)
+        mine = theta[doc[some]]
+        share = count[some] / (np.einsum("pk,pk->p", beta[word[some]], mine) + 1e-100)
+        for t in range(len(sums)):
+            sums[t] += np.bincount(word[some], share * mine[:, t], len(beta))
+    return gamma, sums.T * beta
 
 
 def _weights(k: int) -> list[str]:
@@ -101,7 +109,8 @@ def batches(tokens: DataFrame, seed: int, steps: int) -> DataFrame:
     tokens: doc_id, terms (joined by spaces). A document takes part in a step by a draw on its id; empty documents are left out.
     """
     chars = tokens.agg(F.sum(F.length("terms"))).first()[0] or 0
-    blocks = max(tokens.sparkSession.sparkContext.defaultParallelism, math.ceil(chars * SHARE / BLOCK_CHARS))
+    wave = tokens.sparkSession.sparkContext.defaultParallelism
+    blocks = wave * max(1, math.ceil(chars * SHARE / BLOCK_CHARS / wave))  # whole waves of tasks
     draw = lambda s: F.pmod(F.xxhash64("doc_id", F.lit(seed), s), F.lit(1 << 40)) < int(SHARE * (1 << 40))
     drawn = tokens.where("terms <> ''").select("doc_id", "terms", F.explode(F.filter(F.sequence(F.lit(1), F.lit(steps)), draw)).alias("step"))
     dealt = drawn.select(
@@ -128,10 +137,10 @@ def batches(tokens: DataFrame, seed: int, steps: int) -> DataFrame:
     return tokens.sparkSession.read.schema(made.schema).parquet(path)
 
 
-def vocabulary(tokens: DataFrame, n_docs: int, min_df: float, max_df: float) -> DataFrame:
-    """Words of `min_df` documents at least and of a share of `max_df` at most."""
-    found = in_pieces(tokens, "terms").select(F.explode(F.array_distinct(F.split("terms", " "))).alias("term")).where("term <> ''")
-    return found.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).select("term")
+def vocabulary(tokens: DataFrame, n_docs: int, min_df: float, max_df: float, frequency: DataFrame | None = None) -> DataFrame:
+    """Words of `min_df` documents at least and of a share of `max_df` at most. frequency: (term, df), if it has been counted before."""
+    found = counted_terms(tokens.withColumn("run", F.lit(1)), ["run"]) if frequency is None else frequency.groupBy("term").agg(F.sum("df").alias("df"))
+    return found.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).select("term")
 
 
 def started(words: DataFrame, k: int, seed: int) -> DataFrame:
@@ -147,7 +156,7 @@ def started(words: DataFrame, k: int, seed: int) -> DataFrame:
     return keyed.mapInArrow(run, "term string, " + ", ".join(f"{n} double" for n in names))
 
 
-def learnt(batch: DataFrame, weights: DataFrame, totals: np.ndarray, alpha: np.ndarray) -> DataFrame:
+def learnt(batch: DataFrame, weights: DataFrame, totals: np.ndarray, alpha: np.ndarray, blocks: int) -> DataFrame:
     """(term, s0, s1, ..., docs): sums of a mini batch per word; of the null word the documents' E[ln theta] and their number."""
     k, names = len(alpha), _weights(len(alpha))
     sums = [f"s{i}" for i in range(k)]
@@ -177,7 +186,8 @@ def learnt(batch: DataFrame, weights: DataFrame, totals: np.ndarray, alpha: np.n
     # weights and sums travel as floats; what they change is far below the 0.001 at which a document's iteration stops
     given = asked.join(weights, "term").select(F.col("block").alias("asking"), "pos", *[F.col(n).cast("float").alias(n) for n in names])
     schema = "term string, " + ", ".join(f"{s} float" for s in sums) + ", docs long"
-    parts = batch.groupBy("block").cogroup(given.groupBy("asking")).applyInArrow(run, schema)
+    n = 4 * blocks  # few blocks share a task, and none are brought together
+    parts = batch.repartition(n, "block").groupBy("block").cogroup(given.repartition(n, "asking").groupBy("asking")).applyInArrow(run, schema)
     return parts.groupBy("term").agg(*[F.sum(s).alias(s) for s in sums], F.sum("docs").alias("docs"))
 
 
@@ -190,27 +200,41 @@ def moved_alpha(alpha: np.ndarray, mean_log: np.ndarray, n: int, rate: float) ->
     return moved if (moved > 0).all() else alpha
 
 
-def topic_words(docs: DataFrame, k: int, seed: int, steps: int, min_df: float, max_df: float, topn: int) -> DataFrame:
-    """(topic_index, term, score, rank): the `topn` words of largest share per topic. docs: doc_id, terms (array<string>)."""
-    tokens = written(docs.select("doc_id", F.coalesce(F.array_join("terms", " "), F.lit("")).alias("terms")), "tokens")
+def topic_words(docs: DataFrame, k: int, seed: int, steps: int, min_df: float, max_df: float, topn: int, frequency: DataFrame | None = None) -> DataFrame:
+    """(topic_index, term, score, rank): the `topn` words of largest share per topic. docs: doc_id, terms (array<string>, or a written table of strings).
+
+    frequency: (term, df), in how many of the documents a word is, if it has been counted before.
+    """
+    if isinstance(docs.schema["terms"].dataType, StringType):
+        tokens = docs.select("doc_id", "terms")
+    else:
+        tokens = written(docs.select("doc_id", F.coalesce(F.array_join("terms", " "), F.lit("")).alias("terms")), "tokens")
     n_docs = tokens.count()
-    weights = written(started(vocabulary(tokens, n_docs, min_df, max_df), k, seed), "weights")
+    weights = written(started(vocabulary(tokens, n_docs, min_df, max_df, frequency), k, seed).withColumn("docs", F.lit(0).cast("long")), "weights")
     planned = batches(tokens, seed, steps)
     names, prior, alpha = _weights(k), 1.0 / k, np.full(k, 1.0 / k)
-    done = 0
-    for step in sorted(r["step"] for r in planned.select("step").distinct().collect()):  # at most `steps` numbers
-        known = weights.where("term IS NOT NULL").select("term", *names)
-        totals = np.array([x or 0.0 for x in known.agg(*[F.sum(n) for n in names]).first()])
+
+    def summed() -> tuple[np.ndarray, np.ndarray, int]:
+        """Weights of all words, the documents' E[ln theta] and their number."""
+        found = {r["words"]: r for r in weights.groupBy(F.col("term").isNotNull().alias("words")).agg(*[F.sum(n).alias(n) for n in names], F.sum("docs").alias("docs")).collect()}
+        of = lambda words: np.array([found[words][n] for n in names]) if words in found else np.zeros(k)
+        return of(True), of(False), found[False]["docs"] if False in found else 0
+
+    done, (totals, _, _) = 0, summed()
+    found = planned.groupBy("step").agg(F.max("block").alias("last")).collect()  # at most `steps` rows
+    blocks = max((r["last"] for r in found), default=0) + 1
+    for step in sorted(r["step"] for r in found):
         if not totals.all():
             break  # no vocabulary
+        known = weights.where("term IS NOT NULL").select("term", *names)
         rate, scale = (OFFSET + done + 1) ** -DECAY, n_docs / math.ceil(SHARE * n_docs)
-        sums = learnt(planned.where(F.col("step") == step), known, totals, alpha)
+        sums = learnt(planned.where(F.col("step") == step), known, totals, alpha, blocks)
         new = [F.when(F.col("term").isNull(), F.col(f"s{i}")).otherwise((1 - rate) * F.col(n) + rate * (F.coalesce(f"s{i}", F.lit(0.0)) * scale + prior)).alias(n) for i, n in enumerate(names)]
         weights = written(known.join(sums, "term", "full").select("term", *new, "docs"), "weights")
-        of_docs = weights.where("term IS NULL").first()
-        if of_docs["docs"]:
+        totals, logs, n = summed()
+        if n:
             done += 1
-            alpha = moved_alpha(alpha, np.array([of_docs[n] for n in names]) / of_docs["docs"], of_docs["docs"], rate)
+            alpha = moved_alpha(alpha, logs / n, n, rate)
     known = weights.where("term IS NOT NULL").select("term", *names)
     each = known.select("term", F.posexplode(F.array(*names)).alias("topic_index", "weight"))
     best = Window.partitionBy("topic_index").orderBy(F.desc("weight"), "term")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.constants import MAX_TOPICS, STOP_WORDS
+from trendloom.functions.counts import counted_terms
 from trendloom.functions.joins import in_pieces, salted_join
 from trendloom.functions.tables import written
 from trendloom.functions.text import let, words
@@ -48,7 +50,7 @@ def _distances(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array(batch.column("v").to_pylist(), dtype=np.int64).reshape(len(batch), -1)
+    return batch.column("v").flatten().to_numpy().reshape(len(batch), -1)
 
 
 def nearest(points: DataFrame, centres: list[list[int]]) -> DataFrame:
@@ -186,6 +188,11 @@ def terms(text: Column, stop_words=STOP_WORDS, bigrams: bool = False) -> Column:
     return let(kept, with_pairs)
 
 
+def tokenised(docs: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
+    """`docs` with `terms` (joined by spaces) for `text`, written: its readers tokenise nothing again."""
+    return written(docs.withColumn("terms", F.coalesce(F.array_join(terms(F.col("text"), stop_words), " "), F.lit(""))).drop("text"), "tokens")
+
+
 def class_terms(docs: DataFrame, bigrams: bool = False, stop_words=STOP_WORDS, min_df: int = 1) -> DataFrame:
     """Term counts per (run, topic). `min_df` counts documents of the whole run, outliers included.
 
@@ -226,6 +233,13 @@ def uniform_keywords(docs: DataFrame, topn: int = TOP_TERMS, min_df: int = 2) ->
     return keywords(class_terms(docs, min_df=min_df).where("topic_index >= 0"), topn)
 
 
+def counted_keywords(counts: DataFrame, topn: int = TOP_TERMS, min_df: int = 2) -> DataFrame:
+    """`uniform_keywords` from counts (run_id, topic_index, term, tf, df) that may have several rows per topic and term."""
+    each = counts.groupBy("run_id", "topic_index", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    whole = each.withColumn("of_run", F.sum("df").over(Window.partitionBy("run_id", "term")))
+    return keywords(whole.where((F.col("of_run") >= min_df) & (F.col("topic_index") >= 0)).select("run_id", "topic_index", "term", "tf"), topn)
+
+
 def topic_table(docs: DataFrame, ranked: DataFrame) -> DataFrame:
     """Label, size and keyword list per topic."""
     listed = ranked.groupBy("run_id", "topic_index").agg(
@@ -273,62 +287,71 @@ def outliers(members: DataFrame, centroids: DataFrame, share: float = 0.95, digi
     return flagged.withColumn("label", F.when(F.col("distance") > F.col("limit"), -1).otherwise(F.col("topic_index")))
 
 
-def document_terms(docs: DataFrame, min_df: int = 5, max_df: float = 0.5, stop_words=STOP_WORDS) -> DataFrame:
-    """Binary document-term pairs over the coherence vocabulary with document frequencies."""
-    listed = written(docs.select("run_id", "doc_id", F.array_distinct(terms(F.col("text"), stop_words)).alias("terms")), "tokens")
-    pairs = listed.select("run_id", "doc_id", F.explode("terms").alias("term"))
+def document_terms(docs: DataFrame, min_df: int = 5, max_df: float = 0.5, stop_words=STOP_WORDS, frequency: DataFrame | None = None) -> DataFrame:
+    """Binary document-term pairs over the coherence vocabulary with document frequencies. docs: run_id, doc_id, text or `tokenised` terms.
+
+    frequency: (run_id, term, df), if it has been counted before.
+    """
+    listed = docs if "terms" in docs.columns else tokenised(docs.select("run_id", "doc_id", "text"), stop_words)
+    pairs = listed.select("run_id", "doc_id", F.explode(F.array_distinct(F.split("terms", " "))).alias("term")).where("term <> ''")
     sizes = listed.groupBy("run_id").agg(F.count("*").alias("n_docs"))
-    frequency = pairs.groupBy("run_id", "term").agg(F.count("*").alias("df"))
+    frequency = counted_terms(listed, ["run_id"]) if frequency is None else frequency
     vocabulary = frequency.join(sizes, "run_id").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n_docs")))
     return salted_join(pairs, vocabulary.select("run_id", "term", "df"), ["run_id", "term"], "doc_id")
 
 
-def umass_coherence(ranked: DataFrame, doc_terms: DataFrame) -> DataFrame:
+def umass_coherence(ranked: DataFrame, doc_terms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """UMass coherence per topic and, averaged, per run; topics with fewer than two known words are skipped.
 
-    Co-occurrences are counted per document over the at most ten words of a topic it contains. Both inputs are written, because several
-    steps read them; a frequent word's documents are spread over salted groups when they meet the few topics that show it.
+    Co-occurrences are counted per document over the at most ten words of a topic it contains; these few words are broadcast, whatever the
+    size of the files. Both inputs are written, because several steps read them. `by`: columns of `ranked` that tell topics of one index
+    apart, as a model's name.
     """
+    topic = ["run_id", *by, "topic_index"]
     doc_terms, ranked = written(doc_terms, "document_terms"), written(ranked, "ranked")
+    shown = ranked.where(F.col("rank") <= TOP_TERMS).select(*topic, "term", "rank")
     vocabulary = doc_terms.select("run_id", "term", "df").distinct()
-    present = ranked.where(F.col("rank") <= TOP_TERMS).join(vocabulary, ["run_id", "term"]).select("run_id", "topic_index", "term", "rank", "df")
-    hits = salted_join(doc_terms.select("run_id", "doc_id", "term"), present.select("run_id", "topic_index", "term", "rank"), ["run_id", "term"], "doc_id")
-    sets = hits.groupBy("run_id", "topic_index", "doc_id").agg(F.array_sort(F.collect_list("rank")).alias("ranks")).where(F.size("ranks") > 1)
-    pair = F.explode(F.flatten(F.transform("ranks", lambda i: F.transform(F.filter("ranks", lambda j: j < i), lambda j: F.struct(i.alias("hi"), j.alias("lo"))))))
-    together = sets.select("run_id", "topic_index", pair.alias("p")).groupBy("run_id", "topic_index", "p.hi", "p.lo").agg(F.count("*").alias("co"))
-    a = present.select("run_id", "topic_index", F.col("rank").alias("hi"))
-    b = present.select("run_id", "topic_index", F.col("rank").alias("lo"), "df")
-    expected = a.join(b, ["run_id", "topic_index"]).where("hi > lo")
-    joined = expected.join(together, ["run_id", "topic_index", "hi", "lo"], "left")
+    present = written(vocabulary.join(F.broadcast(shown), ["run_id", "term"]).select(*topic, "term", "rank", "df"), "present")
+    hits = doc_terms.select("run_id", "doc_id", "term").join(F.broadcast(present.drop("df")), ["run_id", "term"])
+    times = {i: f"c{i}" for i in range(1, TOP_TERMS + 1)}  # how often a document has the word of rank i
+    sets = hits.groupBy(*topic, "doc_id").agg(*[F.count_if(F.col("rank") == i).alias(c) for i, c in times.items()])
+    kinds = sets.groupBy(*topic, *times.values()).agg(F.count("*").alias("n"))  # documents that show the same words are one row
+    pair = F.array(*[F.struct(F.lit(i).alias("hi"), F.lit(j).alias("lo"), (F.col(times[i]) * F.col(times[j])).alias("times")) for i in times for j in times if j < i])
+    together = kinds.select(*topic, "n", F.explode(pair).alias("p")).groupBy(*topic, "p.hi", "p.lo").agg(F.sum(F.col("n") * F.col("p.times")).alias("co"))
+    a = present.select(*topic, F.col("rank").alias("hi"))
+    b = present.select(*topic, F.col("rank").alias("lo"), "df")
+    expected = a.join(b, topic).where("hi > lo")
+    joined = expected.join(together, [*topic, "hi", "lo"], "left")
     score = F.ln((F.coalesce("co", F.lit(0)) + 1) / (F.col("df") + 1e-12))
-    return joined.groupBy("run_id", "topic_index").agg(F.avg(score).alias("coherence"))
+    return joined.groupBy(*topic).agg(F.avg(score).alias("coherence"))
 
 
-def topic_diversity(ranked: DataFrame) -> DataFrame:
+def topic_diversity(ranked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     top = ranked.where(F.col("rank") <= TOP_TERMS)
-    return top.groupBy("run_id").agg((F.count_distinct("term") / F.count("*")).alias("diversity"))
+    return top.groupBy("run_id", *by).agg((F.count_distinct("term") / F.count("*")).alias("diversity"))
 
 
-def lda_keywords(docs: DataFrame, n_topics: int, seed: int = 42, iterations: int = 25, min_df: float = 5, max_df: float = 0.5) -> DataFrame:
-    """Top terms per topic of an LDA baseline; see `lda`."""
-    listed = docs.select("doc_id", terms(F.col("text")).alias("terms"))
-    return topic_words(listed, n_topics, seed, iterations, min_df, max_df, TOP_TERMS)
+def lda_keywords(
+    docs: DataFrame, n_topics: int, frequency: DataFrame | None = None, seed: int = 42, iterations: int = 25, min_df: float = 5, max_df: float = 0.5
+) -> DataFrame:
+    """Top terms per topic of an LDA baseline; see `lda`. docs: doc_id, text or `tokenised` terms; frequency: (term, df) of these, if counted before."""
+    listed = docs if "terms" in docs.columns else docs.select("doc_id", terms(F.col("text")).alias("terms"))
+    return topic_words(listed, n_topics, seed, iterations, min_df, max_df, TOP_TERMS, frequency)
 
 
 def comparison_report(named: dict[str, DataFrame], doc_terms: DataFrame, outlier_counts: dict[str, DataFrame]) -> DataFrame:
-    """Topics, outliers, coherence and diversity per model; inputs are ranked keyword tables."""
-    report = None
-    for model, ranked in named.items():
-        coherence = umass_coherence(ranked, doc_terms).groupBy("run_id").agg(F.avg("coherence").alias("coherence_umass"))
-        counts = ranked.groupBy("run_id").agg(F.count_distinct("topic_index").alias("n_topics"))
-        row = counts.join(coherence, "run_id", "left").join(topic_diversity(ranked), "run_id", "left")
-        if model in outlier_counts:
-            row = row.join(outlier_counts[model], "run_id", "left").na.fill(0, ["n_outliers"])
-        else:
-            row = row.withColumn("n_outliers", F.lit(0).cast("bigint"))
-        row = row.select(F.lit(model).alias("model"), "run_id", "n_topics", "n_outliers", "coherence_umass", "diversity")
-        report = row if report is None else report.unionByName(row)
-    return report
+    """Topics, outliers, coherence and diversity per model; inputs are ranked keyword tables.
+
+    The documents are read once for all models, and only for words that a topic shows: ten per topic, so the driver can name them.
+    """
+    of = lambda tables, *columns: reduce(DataFrame.unionByName, [t.select("run_id", F.lit(m).alias("model"), *columns) for m, t in tables.items()])
+    shown, key = written(of(named, "topic_index", "term", "rank"), "shown"), ["run_id", "model"]
+    words = [r["term"] for r in shown.where(F.col("rank") <= TOP_TERMS).select("term").distinct().collect()]
+    coherence = umass_coherence(shown, doc_terms.where(F.col("term").isin(words)), ("model",))
+    report = shown.groupBy(*key).agg(F.count_distinct("topic_index").alias("n_topics"))
+    report = report.join(coherence.groupBy(*key).agg(F.avg("coherence").alias("coherence_umass")), key, "left").join(topic_diversity(shown, ("model",)), key, "left")
+    report = report.join(of(outlier_counts, "n_outliers"), key, "left") if outlier_counts else report.withColumn("n_outliers", F.lit(0).cast("bigint"))
+    return report.na.fill(0, ["n_outliers"]).select("model", "run_id", "n_topics", "n_outliers", "coherence_umass", "diversity")
 
 
 def dominant_geo(docs: DataFrame, order: str = "doc_id") -> DataFrame:
